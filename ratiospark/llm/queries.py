@@ -19,8 +19,8 @@ ORACLE_SQL = {
 WITH n AS (
   SELECT doc_id, length(coalesce(text, '')) AS chars, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents
 ), r AS (
-  SELECT doc_id, norm, row_number() OVER w AS at, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size
+  SELECT doc_id, norm, row_number() OVER w AS rk, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size
   FROM n WINDOW w AS (PARTITION BY norm ORDER BY chars DESC, doc_id)
 )
-SELECT doc_id, keep_id, group_size, at = 1 AS kept, sha256(norm) AS text_sha256 FROM r""",
+SELECT doc_id, keep_id, group_size, rk = 1 AS kept, sha256(norm) AS text_sha256 FROM r""",
 }

@@ -15,21 +15,23 @@ DIMS = ("bytes", "tokens", "rows")
 KEY = ["k", "crc", "size"]
 
 
-def _packer(capacity: list[float], n_shards: int):
-    """A streaming packer: each unit goes where the dot product of its size and the residual capacity is highest."""
+def _packer(capacity: list[float], residual: list[list[float]]):
+    """A streaming packer: each unit goes where the dot product of its size and the residual capacity is highest.
+
+    capacity: of one shard in one task, by dimension; residual: the part of it that is free at the start, by shard."""
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scale = np.array([1 / c if c else 0.0 for c in capacity])
-        left, turn = np.ones((n_shards, len(DIMS))), None
+        scale, left, turn = np.array([1 / c if c else 0.0 for c in capacity]), np.array(residual), None
         for pdf in batches:
             if turn is None and len(pdf):
-                turn = int(pdf["k"].iloc[0]) % n_shards  # ties fall to other shards in other partitions
+                turn = int(pdf["k"].iloc[0]) % len(left)  # ties fall to other shards in other tasks
+                left = np.roll(left, -turn, axis=0)
             sizes, at = pdf[[f"sum_{d}" for d in DIMS]].to_numpy(float) * scale, np.empty(len(pdf), np.int32)
             for i, v in enumerate(sizes):
                 at[i] = s = int((left @ v).argmax())
                 left[s] -= v
-            pdf["shard"] = (at + (turn or 0)) % n_shards
-            yield pdf[[*KEY, "chunk", "shard"]]
+            pdf["shard"] = (at + (turn or 0)) % len(left)
+            yield pdf[[*KEY, "chunk", "shard", *[f"sum_{d}" for d in DIMS]]]
 
     return pack
 
@@ -37,12 +39,13 @@ def _packer(capacity: list[float], n_shards: int):
 def pack_shards(docs: DataFrame, n_shards: int = 24, id_col: str = "doc_id", text_col: str = "text", group_col: str | None = None, overhead: int = 8, units_per_task: int = 20_000, max_tasks: int = 1024) -> DataFrame:
     """One row per row of docs: doc_id, size, text_crc32, tokens, shard, slot.
 
-    Rows of a group (equal texts, or equal group_col) are packed as one unit with the vector (bytes, tokens, rows). Units are dealt by hash to
-    tasks; each task owns the same share of every shard's capacity, takes its units in falling order of size, and
-    places each where the dot product with the residual capacity is highest. It holds one vector per shard, so that
-    memory does not grow. A group larger than an eighth of a task's share of a shard is split by id into chunks that are
-    packed on their own, so that a group of any size still fits. Slots count the rows of a shard without gaps:
-    numbered within hash blocks and shifted by the counts of the blocks before.
+    Rows of a group (equal texts, or equal group_col) are packed as one unit with the vector (bytes, tokens, rows), in falling
+    order of size, each where the dot product with the residual capacity is highest. Units of more than an eighth of
+    a task's share of a shard, whose number is bounded by the tasks, are placed first in one task; the others are dealt
+    by hash to tasks that own equal parts of every shard's remaining capacity. A task holds one vector per shard, so
+    that memory does not grow. A group larger than half a shard is split by id into chunks, so that a group of any size
+    fits; smaller groups stay together. Slots count the rows of a shard without gaps: numbered within hash blocks and
+    shifted by the counts of the blocks before.
 
     Null texts have no bytes, crc 0 and share a group. Null and repeated ids are rows like others. An empty table gives none.
     """
@@ -59,18 +62,25 @@ def pack_shards(docs: DataFrame, n_shards: int = 24, id_col: str = "doc_id", tex
     sums = [F.sum("size").alias("sum_bytes"), F.sum("tokens").alias("sum_tokens"), F.count(F.lit(1)).alias("sum_rows")]
     totals = base.agg(*sums).first()
     n_tasks = spread(totals["sum_rows"], units_per_task, max_tasks)
-    share = [(totals[f"sum_{d}"] or 0) / n_shards / n_tasks for d in DIMS]
-    # more than an eighth of a task's share of a shard: at most 8 * n_shards * max_tasks groups for each dimension
+    share = [(totals[f"sum_{d}"] or 0) / n_shards for d in DIMS]
+    part = F.greatest(*[F.col(f"sum_{d}") / s if s else F.lit(0.0) for d, s in zip(DIMS, share, strict=True)])  # of a shard
     groups = base.groupBy(*key).agg(*sums)
-    worst = F.greatest(*[F.col(f"sum_{d}") * (8 / s) if s else F.lit(0.0) for d, s in zip(DIMS, share, strict=True)])
-    heavy = groups.filter((worst > 1) & (F.col("sum_rows") > 1)).select(*key, F.ceil(worst).cast("int").alias("chunks"))
-    rows = base.join(F.broadcast(heavy), key, "left").withColumn("chunk", F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("chunks")), F.lit(0)).cast("int"))
+    # more than half a shard: at most 2 * n_shards groups for each dimension
+    split = groups.filter((part > 0.5) & (F.col("sum_rows") > 1)).select(*key, F.ceil(2 * part).cast("int").alias("chunks"))
+    rows = base.join(F.broadcast(split), key, "left").withColumn("chunk", F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("chunks")), F.lit(0)).cast("int"))
     units = rows.groupBy(*key, "chunk").agg(*sums)
     if group_col is not None:
         units = units.withColumnsRenamed({"gcrc": "crc", "gsize": "size"})
-    largest = F.greatest(*[F.col(f"sum_{d}") / s if s else F.lit(0.0) for d, s in zip(DIMS, share, strict=True)])
-    dealt = units.withColumn("largest", largest).repartition(n_tasks, *KEY, "chunk").sortWithinPartitions(F.desc("largest"), *KEY, "chunk")
-    placed = dealt.drop("largest").mapInPandas(_packer(share, n_shards), "k long, crc long, size long, chunk int, shard int")
+    units = written(units.withColumn("part", part), "shard-units")
+    order, schema = [F.desc("part"), *KEY, "chunk"], "k long, crc long, size long, chunk int, shard int, sum_bytes long, sum_tokens long, sum_rows long"
+    # at most 8 * n_shards * n_tasks units for each dimension
+    large = F.col("part") * 8 * n_tasks > 1 if n_tasks > 1 else F.lit(False)
+    first = units.filter(large).coalesce(1).sortWithinPartitions(*order).mapInPandas(_packer(share, [[1.0] * len(DIMS)] * n_shards), schema)
+    first = written(first, "shard-large") if n_tasks > 1 else first
+    load = {r["shard"]: r for r in first.groupBy("shard").agg(*[F.sum(f"sum_{d}").alias(d) for d in DIMS]).collect()} if n_tasks > 1 else {}
+    residual = [[1 - load[i][d] / s if i in load and s else 1.0 for d, s in zip(DIMS, share, strict=True)] for i in range(n_shards)]
+    dealt = units.filter(~large).repartition(n_tasks, *KEY, "chunk").sortWithinPartitions(*order)
+    placed = first.unionByName(dealt.mapInPandas(_packer([s / n_tasks for s in share], residual), schema))
     placed = placed.select(*[F.col(a).alias(b) for a, b in zip(KEY, key, strict=True)], "chunk", "shard")
     n_blocks = spread(totals["sum_rows"], 50_000, 4096)
     rows = rows.join(placed, [*key, "chunk"]).withColumn("block", F.pmod(F.xxhash64("doc_id", "k"), F.lit(n_blocks)).cast("int"))

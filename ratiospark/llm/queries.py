@@ -5,14 +5,16 @@ from __future__ import annotations
 from .common import table
 from .exact_dedup import exact_dedup
 from .mixing import op2
+from .quality import op6
 from .sharding import op1
+from .toxicity import op10
 
 
 def op9(spark, sf_dir):
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_sharding": op1, "op2_mixing": op2, "op9_exact_dedup": op9}
+QUERIES = {"op1_sharding": op1, "op2_mixing": op2, "op6_quality": op6, "op9_exact_dedup": op9, "op10_toxicity": op10}
 
 ORACLE_SQL = {
     "op9_exact_dedup": r"""

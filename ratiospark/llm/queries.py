@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from .common import table
+from .decontamination import op5
 from .exact_dedup import exact_dedup
 from .mixing import op2
 from .quality import op6
 from .sharding import op1
+from .simhash import op3
 from .toxicity import op10
 
 
@@ -14,7 +16,7 @@ def op9(spark, sf_dir):
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_sharding": op1, "op2_mixing": op2, "op6_quality": op6, "op9_exact_dedup": op9, "op10_toxicity": op10}
+QUERIES = {"op1_sharding": op1, "op2_mixing": op2, "op3_simhash": op3, "op5_decontamination": op5, "op6_quality": op6, "op9_exact_dedup": op9, "op10_toxicity": op10}
 
 ORACLE_SQL = {
     "op9_exact_dedup": r"""

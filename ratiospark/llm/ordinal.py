@@ -182,7 +182,7 @@ def train(docs: DataFrame, labels: DataFrame, grade: Column, n_grades: int, rows
         for pdf in batches:
             yield pd.DataFrame({"i": pdf["_i"], "g": pdf["_g"], "w": pdf["_w"], "f": [np.array(sorted(text_features(t, words)), np.int32) for t in pdf["_t"]]})
 
-    got = texts.mapInPandas(extract, "i long, g int, w double, f array<int>").toPandas()
+    got = texts.mapInPandas(extract, "i long, g int, w double, f array<int>").toArrow().to_pandas()
     if len(got):  # in a fixed order, so that sums agree between runs
         got = got.assign(n=[f.tobytes() for f in got["f"]]).sort_values(["i", "n"], kind="stable")
     return fit([np.asarray(f) for f in got["f"]], got["g"].to_numpy(int), got["w"].to_numpy(float), n_grades, **how)

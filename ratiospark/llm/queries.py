@@ -10,15 +10,25 @@ from .quality import op6
 from .sharding import op1
 from .simhash import op3
 from .toxicity import op10
+from .warc import op4
 
 
 def op9(spark, sf_dir):
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_sharding": op1, "op2_mixing": op2, "op3_simhash": op3, "op5_decontamination": op5, "op6_quality": op6, "op9_exact_dedup": op9, "op10_toxicity": op10}
+QUERIES = {"op1_sharding": op1, "op2_mixing": op2, "op3_simhash": op3, "op4_warc": op4, "op5_decontamination": op5, "op6_quality": op6, "op9_exact_dedup": op9, "op10_toxicity": op10}
 
 ORACLE_SQL = {
+    "op4_warc": r"""
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages
+)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
+  list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + ((CAST('0x' || substr(hex, CAST(1 + 5 * (i // 4) AS BIGINT), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS INTEGER)) & 31) AS BIGINT), 1)), 'string_agg', '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
+FROM p""",
     "op9_exact_dedup": r"""
 WITH n AS (
   SELECT doc_id, length(coalesce(text, '')) AS chars, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents

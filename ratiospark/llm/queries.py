@@ -5,6 +5,7 @@ from __future__ import annotations
 from .common import table
 from .decontamination import op5
 from .exact_dedup import exact_dedup
+from .html_extract import op7
 from .mixing import op2
 from .quality import op6
 from .sharding import op1
@@ -17,7 +18,7 @@ def op9(spark, sf_dir):
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_sharding": op1, "op2_mixing": op2, "op3_simhash": op3, "op4_warc": op4, "op5_decontamination": op5, "op6_quality": op6, "op9_exact_dedup": op9, "op10_toxicity": op10}
+QUERIES = {"op1_sharding": op1, "op2_mixing": op2, "op3_simhash": op3, "op4_warc": op4, "op5_decontamination": op5, "op6_quality": op6, "op7_html_extract": op7, "op9_exact_dedup": op9, "op10_toxicity": op10}
 
 ORACLE_SQL = {
     "op4_warc": r"""
@@ -29,7 +30,7 @@ SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
   CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
 FROM p""",
-    "op9_exact_dedup": r"""
+    "op7_html_extract": op7, "op9_exact_dedup": r"""
 WITH n AS (
   SELECT doc_id, length(coalesce(text, '')) AS chars, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents
 ), r AS (

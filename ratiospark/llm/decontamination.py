@@ -155,13 +155,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
     """docs without the rows that overlap an item, columns unchanged."""
     for index in _indexes(benchmark, item_col, item_text_col, block_words):
+        docs = docs.filter(_clean(index)(F.col(text_col)))
+    return docs
 
-        @pandas_udf("boolean")
-        def clean(texts: pd.Series, index=index) -> pd.Series:
-            return pd.Series([not index.value.overlaps(t) for t in texts], dtype=bool)
 
-        docs = docs.filter(clean(F.col(text_col)))
-    return docs
+def _clean(index):
+    @pandas_udf("boolean")
+    def clean(texts: pd.Series) -> pd.Series:
+        return pd.Series([not index.value.overlaps(t) for t in texts], dtype=bool)
+
+    return clean
 
 
 def op5(spark, sf_dir):

@@ -38,8 +38,40 @@ def targets(sizes: DataFrame, weights: Sequence[float], most: float) -> DataFram
     return s.withColumn("target", F.when(free, F.col("w") * F.col("final.level")).otherwise(F.col("cap"))).select("sk", "source_size", "target")
 
 
+def _keyed(docs: DataFrame, seed: int, id_col: str, text_col: str, source_col: str, weight: Column | None) -> DataFrame:
+    """docs with _id, _tie, _sk (source, null last), _size (words), _key and its _cell."""
+    text = F.col(text_col)
+    u = (F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.lit(seed)), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
+    docs = docs.withColumns({
+        "_id": F.col(id_col).cast("long"), "_tie": F.xxhash64(text), "_sk": F.when(F.col(source_col).isNull(), "t").otherwise(F.concat(F.lit("s"), F.col(source_col))),
+        "_size": n_words(text), "_key": -F.log(u) / (quality_weight(text) if weight is None else weight),
+    })
+    return docs.withColumn("_cell", F.least(F.lit(CELLS - 1), F.floor((1 - F.exp(-F.col("_key") * LEAST_WEIGHT)) * CELLS)).cast("int"))
+
+
+def _sources(base: DataFrame, weights: Sequence[float], most: float) -> DataFrame:
+    """_sk, source_size, target, epochs, edge_cell, last: the cell in which the budget ends and the last place taken in it."""
+    cells = base.groupBy("_sk", "_cell").agg(F.sum("_size").alias("words"))
+    goal = targets(cells.groupBy(F.col("_sk").alias("sk")).agg(F.sum("words").alias("source_size")), weights, most).withColumnRenamed("sk", "_sk")
+    goal = goal.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
+    goal = goal.withColumn("budget", F.col("target") - F.col("epochs") * F.col("source_size"))
+    start = F.sum("words").over(Window.partitionBy("_sk").orderBy("_cell")) - F.col("words")
+    edge = cells.select("_sk", "_cell", start.alias("start")).join(goal, "_sk").filter(F.col("start") <= F.col("budget")).groupBy("_sk", "source_size", "target", "epochs", "budget")
+    edge = written(edge.agg(F.max(F.struct("_cell", "start")).alias("edge")).withColumns({"edge_cell": F.col("edge._cell"), "start": F.col("edge.start")}).drop("edge"), "mix-edges")
+    upto = F.col("start") + F.sum("_size").over(Window.partitionBy("_sk").orderBy("_key", F.asc_nulls_first("_id"), "_tie").rowsBetween(Window.unboundedPreceding, 0))
+    close = base.join(edge, "_sk").filter(F.col("_cell") == F.col("edge_cell")).withColumn("chosen", 2 * upto - F.col("_size") < 2 * F.col("budget"))
+    last = close.filter("chosen").groupBy("_sk").agg(F.max(F.struct("_key", "_id", "_tie")).alias("last"))
+    return written(edge.join(last, "_sk", "left"), "mix-sources")
+
+
+def _repeats() -> Column:
+    place = F.struct("_key", "_id", "_tie")
+    chosen = (F.col("_cell") < F.col("edge_cell")) | ((F.col("_cell") == F.col("edge_cell")) & F.coalesce(place <= F.col("last"), F.lit(False)))
+    return F.col("epochs") + chosen.cast("long")
+
+
 def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: float = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight: Column | None = None) -> DataFrame:
-    """One row per row of docs: doc_id, tie, source, size, source_size, target, taken (words, repeats counted).
+    """One row per row of docs: doc_id, source, size, source_size, target, repeats, taken (words, repeats counted).
 
     A source first gives whole epochs; the rest of its target comes from a sample without replacement: every document gets
     the key -ln(u) / weight, u from a hash of the id and seed, keys are sorted within the source and sizes summed up to
@@ -48,28 +80,20 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: float = 3,
     To sort no source in one task, keys go into CELLS cells in their order; cells below the one with the edge are taken
     whole, those above not at all, and rows are sorted in the cell with the edge alone (about 4 / CELLS of the source).
 
-    Null texts have no words and are never taken; null sources form the last source; equal keys are ordered by id and text hash.
-    """
-    text = F.col(text_col)
-    u = (F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.lit(seed)), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
-    base = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("tie"), F.col(source_col).alias("source"),
-        F.when(F.col(source_col).isNull(), "t").otherwise(F.concat(F.lit("s"), F.col(source_col))).alias("sk"), n_words(text).alias("size"),
-        (-F.log(u) / (quality_weight(text) if weight is None else weight)).alias("key"),
-    )
-    base = written(base.withColumn("cell", F.least(F.lit(CELLS - 1), F.floor((1 - F.exp(-F.col("key") * LEAST_WEIGHT)) * CELLS)).cast("int")), "mix-rows")
-    cells = base.groupBy("sk", "cell").agg(F.sum("size").alias("words"))
-    goal = targets(cells.groupBy("sk").agg(F.sum("words").alias("source_size")), weights, most)
-    goal = goal.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
-    goal = goal.withColumn("budget", F.col("target") - F.col("epochs") * F.col("source_size"))
-    start = F.sum("words").over(Window.partitionBy("sk").orderBy("cell")) - F.col("words")
-    edge = cells.select("sk", "cell", start.alias("start")).join(goal, "sk").filter(F.col("start") <= F.col("budget")).groupBy("sk", "source_size", "target", "epochs", "budget")
-    edge = written(edge.agg(F.max(F.struct("cell", "start")).alias("edge")), "mix-sources")
-    rows = base.join(edge, "sk")
-    sure = rows.filter(F.col("cell") != F.col("edge.cell")).withColumn("chosen", F.col("cell") < F.col("edge.cell"))
-    upto = F.col("edge.start") + F.sum("size").over(Window.partitionBy("sk").orderBy("key", "doc_id", "tie").rowsBetween(Window.unboundedPreceding, 0))
-    close = rows.filter(F.col("cell") == F.col("edge.cell")).withColumn("chosen", 2 * upto - F.col("size") < 2 * F.col("budget"))
-    return sure.unionByName(close).select("doc_id", "tie", "source", "size", "source_size", "target", ((F.col("epochs") + F.col("chosen").cast("long")) * F.col("size")).alias("taken"))
+    Null texts have no words; null sources form the last source; equal keys are ordered by id (null first) and text hash,
+    and rows that agree in these are taken together. An empty table gives no rows; other columns are ignored."""
+    base = _keyed(docs.select(id_col, text_col, source_col), seed, id_col, text_col, source_col, weight).select(F.col(source_col).alias("source"), "_id", "_tie", "_sk", "_size", "_key", "_cell")
+    base = written(base, "mix-rows")
+    rows = base.join(_sources(base, weights, most), "_sk")
+    return rows.select(F.col("_id").alias("doc_id"), "source", F.col("_size").alias("size"), "source_size", "target", _repeats().alias("repeats"), (_repeats() * F.col("_size")).alias("taken"))
+
+
+def mix_documents(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: float = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight: Column | None = None) -> DataFrame:
+    """docs as mix takes them: each row as many times as it is taken, columns unchanged. Texts are not shuffled."""
+    keyed = _keyed(docs, seed, id_col, text_col, source_col, weight)
+    sources = _sources(written(keyed.select("_id", "_tie", "_sk", "_size", "_key", "_cell"), "mix-rows"), weights, most)
+    rows = keyed.join(sources, "_sk").withColumn("_n", _repeats().cast("int")).filter("_n > 0")
+    return rows.withColumn("_n", F.explode(F.sequence(F.lit(1), "_n"))).select(docs.columns)
 
 
 def op2(spark, sf_dir):

@@ -6,6 +6,7 @@ from .common import table
 from .decontamination import op5
 from .exact_dedup import exact_dedup
 from .html_extract import op7
+from .line_dedup import op8
 from .mixing import op2
 from .quality import op6
 from .sharding import op1
@@ -18,7 +19,7 @@ def op9(spark, sf_dir):
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_sharding": op1, "op2_mixing": op2, "op3_simhash": op3, "op4_warc": op4, "op5_decontamination": op5, "op6_quality": op6, "op7_html_extract": op7, "op9_exact_dedup": op9, "op10_toxicity": op10}
+QUERIES = {"op1_sharding": op1, "op2_mixing": op2, "op3_simhash": op3, "op4_warc": op4, "op5_decontamination": op5, "op6_quality": op6, "op7_html_extract": op7, "op8_line_dedup": op8, "op9_exact_dedup": op9, "op10_toxicity": op10}
 
 ORACLE_SQL = {
     "op4_warc": r"""

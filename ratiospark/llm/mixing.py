@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from .common import n_words, table, written
 
-#: Cells of the order-preserving histogram of keys, for each source.
-CELLS = 1 << 16
+#: Cells of the order-preserving histogram of keys for each source: FINE coarse ones of FINE each.
+FINE = 1 << 10
+CELLS = FINE * FINE
 LEAST_WEIGHT = 0.25
 
 
@@ -43,31 +44,44 @@ def _keyed(docs: DataFrame, seed: int, id_col: str, text_col: str, source_col: s
     text = F.col(text_col)
     u = (F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.lit(seed)), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
     docs = docs.withColumns({
-        "_id": F.col(id_col).cast("long"), "_tie": F.xxhash64(text), "_sk": F.when(F.col(source_col).isNull(), "t").otherwise(F.concat(F.lit("s"), F.col(source_col))),
-        "_size": n_words(text), "_key": -F.log(u) / (quality_weight(text) if weight is None else weight),
+        "__rs_id": F.col(id_col).cast("long"), "__rs_tie": F.xxhash64(text), "__rs_sk": F.when(F.col(source_col).isNull(), "t").otherwise(F.concat(F.lit("s"), F.col(source_col))),
+        "__rs_size": n_words(text), "__rs_key": -F.log(u) / (quality_weight(text) if weight is None else weight),
     })
-    return docs.withColumn("_cell", F.least(F.lit(CELLS - 1), F.floor((1 - F.exp(-F.col("_key") * LEAST_WEIGHT)) * CELLS)).cast("int"))
+    return docs.withColumn("__rs_cell", F.least(F.lit(CELLS - 1), F.floor((1 - F.exp(-F.col("__rs_key") * LEAST_WEIGHT)) * CELLS)).cast("int"))
+
+
+def _edge(cells: DataFrame, goal: DataFrame, cell: str) -> DataFrame:
+    """goal with edge and start: the last cell that begins within the budget, and the words before it. cells: sk, cell, words, with at
+    most FINE rows a source; goal.start is where they begin."""
+    before = F.sum("words").over(Window.partitionBy("__rs_sk").orderBy(cell).rowsBetween(Window.unboundedPreceding, -1))
+    starts = cells.withColumn("before", F.coalesce(before, F.lit(0))).join(goal, "__rs_sk").withColumn("begin", F.col("start") + F.col("before")).filter(F.col("begin") <= F.col("budget"))
+    edge = starts.groupBy("__rs_sk").agg(F.max(F.struct(F.col(cell).alias("c"), "begin")).alias("e"))
+    return goal.drop("start").join(edge, "__rs_sk").withColumns({f"edge_{cell}": F.col("e.c"), "start": F.col("e.begin")}).drop("e")
 
 
 def _sources(base: DataFrame, weights: Sequence[float], most: float) -> DataFrame:
-    """_sk, source_size, target, epochs, edge_cell, last: the cell in which the budget ends and the last place taken in it."""
-    cells = base.groupBy("_sk", "_cell").agg(F.sum("_size").alias("words"))
-    goal = targets(cells.groupBy(F.col("_sk").alias("sk")).agg(F.sum("words").alias("source_size")), weights, most).withColumnRenamed("sk", "_sk")
+    """sk and __rs_source: size, target, epochs, the cell in which the budget ends and the last place taken in it.
+
+    The edge is looked for among FINE coarse cells, then among the FINE cells of one of these, then among the rows of one of those."""
+    coarse = base.withColumn("coarse", F.floor(F.col("__rs_cell") / FINE).cast("int"))
+    cells = written(coarse.groupBy("__rs_sk", "coarse").agg(F.sum("__rs_size").alias("words")), "mix-cells")
+    goal = targets(cells.groupBy(F.col("__rs_sk").alias("sk")).agg(F.sum("words").alias("source_size")), weights, most).withColumnRenamed("sk", "__rs_sk")
     goal = goal.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
-    goal = goal.withColumn("budget", F.col("target") - F.col("epochs") * F.col("source_size"))
-    start = F.sum("words").over(Window.partitionBy("_sk").orderBy("_cell")) - F.col("words")
-    edge = cells.select("_sk", "_cell", start.alias("start")).join(goal, "_sk").filter(F.col("start") <= F.col("budget")).groupBy("_sk", "source_size", "target", "epochs", "budget")
-    edge = written(edge.agg(F.max(F.struct("_cell", "start")).alias("edge")).withColumns({"edge_cell": F.col("edge._cell"), "start": F.col("edge.start")}).drop("edge"), "mix-edges")
-    upto = F.col("start") + F.sum("_size").over(Window.partitionBy("_sk").orderBy("_key", F.asc_nulls_first("_id"), "_tie").rowsBetween(Window.unboundedPreceding, 0))
-    close = base.join(edge, "_sk").filter(F.col("_cell") == F.col("edge_cell")).withColumn("chosen", 2 * upto - F.col("_size") < 2 * F.col("budget"))
-    last = close.filter("chosen").groupBy("_sk").agg(F.max(F.struct("_key", "_id", "_tie")).alias("last"))
-    return written(edge.join(last, "_sk", "left"), "mix-sources")
+    goal = written(goal.withColumns({"budget": F.col("target") - F.col("epochs") * F.col("source_size"), "start": F.lit(0).cast("long")}), "mix-goal")
+    first = written(_edge(cells, goal, "coarse"), "mix-edge")
+    inner = coarse.join(first.select("__rs_sk", "edge_coarse"), "__rs_sk").filter(F.col("coarse") == F.col("edge_coarse"))
+    cells = written(inner.groupBy("__rs_sk", F.col("__rs_cell").alias("fine")).agg(F.sum("__rs_size").alias("words")), "mix-cells")
+    edge = written(_edge(cells, first, "fine"), "mix-edge")
+    upto = F.col("start") + F.sum("__rs_size").over(Window.partitionBy("__rs_sk").orderBy("__rs_key", F.asc_nulls_first("__rs_id"), "__rs_tie").rowsBetween(Window.unboundedPreceding, 0))
+    close = base.join(edge, "__rs_sk").filter(F.col("__rs_cell") == F.col("edge_fine")).withColumn("chosen", 2 * upto - F.col("__rs_size") < 2 * F.col("budget"))
+    last = close.filter("chosen").groupBy("__rs_sk").agg(F.max(F.struct("__rs_key", "__rs_id", "__rs_tie")).alias("last"))
+    return written(edge.join(last, "__rs_sk", "left").select("__rs_sk", F.struct("source_size", "target", "epochs", F.col("edge_fine").alias("cell"), "last").alias("__rs_source")), "mix-sources")
 
 
 def _repeats() -> Column:
-    place = F.struct("_key", "_id", "_tie")
-    chosen = (F.col("_cell") < F.col("edge_cell")) | ((F.col("_cell") == F.col("edge_cell")) & F.coalesce(place <= F.col("last"), F.lit(False)))
-    return F.col("epochs") + chosen.cast("long")
+    s, place = F.col("__rs_source"), F.struct("__rs_key", "__rs_id", "__rs_tie")
+    chosen = (F.col("__rs_cell") < s["cell"]) | ((F.col("__rs_cell") == s["cell"]) & F.coalesce(place <= s["last"], F.lit(False)))
+    return s["epochs"] + chosen.cast("long")
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: float = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight: Column | None = None) -> DataFrame:
@@ -79,21 +93,22 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: float = 3,
 
     To sort no source in one task, keys go into CELLS cells in their order; cells below the one with the edge are taken
     whole, those above not at all, and rows are sorted in the cell with the edge alone (about 4 / CELLS of the source).
+    Sums of cells find that cell in two steps, with FINE rows a source in each.
 
     Null texts have no words; null sources form the last source; equal keys are ordered by id (null first) and text hash,
     and rows that agree in these are taken together. An empty table gives no rows; other columns are ignored."""
-    base = _keyed(docs.select(id_col, text_col, source_col), seed, id_col, text_col, source_col, weight).select(F.col(source_col).alias("source"), "_id", "_tie", "_sk", "_size", "_key", "_cell")
+    base = _keyed(docs.select(*dict.fromkeys([id_col, text_col, source_col])), seed, id_col, text_col, source_col, weight).select(F.col(source_col).alias("source"), "__rs_id", "__rs_tie", "__rs_sk", "__rs_size", "__rs_key", "__rs_cell")
     base = written(base, "mix-rows")
-    rows = base.join(_sources(base, weights, most), "_sk")
-    return rows.select(F.col("_id").alias("doc_id"), "source", F.col("_size").alias("size"), "source_size", "target", _repeats().alias("repeats"), (_repeats() * F.col("_size")).alias("taken"))
+    rows = base.join(_sources(base, weights, most), "__rs_sk")
+    return rows.select(F.col("__rs_id").alias("doc_id"), "source", F.col("__rs_size").alias("size"), "__rs_source.source_size", "__rs_source.target", _repeats().alias("repeats"), (_repeats() * F.col("__rs_size")).alias("taken"))
 
 
 def mix_documents(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: float = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight: Column | None = None) -> DataFrame:
     """docs as mix takes them: each row as many times as it is taken, columns unchanged. Texts are not shuffled."""
     keyed = _keyed(docs, seed, id_col, text_col, source_col, weight)
-    sources = _sources(written(keyed.select("_id", "_tie", "_sk", "_size", "_key", "_cell"), "mix-rows"), weights, most)
-    rows = keyed.join(sources, "_sk").withColumn("_n", _repeats().cast("int")).filter("_n > 0")
-    return rows.withColumn("_n", F.explode(F.sequence(F.lit(1), "_n"))).select(docs.columns)
+    sources = _sources(written(keyed.select("__rs_id", "__rs_tie", "__rs_sk", "__rs_size", "__rs_key", "__rs_cell"), "mix-rows"), weights, most)
+    rows = keyed.join(sources, "__rs_sk").withColumn("__rs_n", _repeats().cast("int")).filter("__rs_n > 0")
+    return rows.withColumn("__rs_n", F.explode(F.sequence(F.lit(1), "__rs_n"))).select(docs.columns)
 
 
 def op2(spark, sf_dir):

@@ -54,7 +54,10 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
     digest = digest32(payload)
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     head = [("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", _record_id(page_id, digest)), ("WARC-Date", DATE), ("WARC-Payload-Digest", f"sha1:{digest}"), ("Content-Type", "application/http; msgtype=response")]
-    head += [("WARC-Target-URI", _line(url))] * (url is not None) + [("X-Page-ID", page_id)] * (page_id is not None)
+    if url is not None:
+        head.append(("WARC-Target-URI", _line(url)))
+    if page_id is not None:
+        head.append(("X-Page-ID", page_id))
     if revisit:
         head += [("WARC-Profile", REVISIT), ("WARC-Refers-To", _record_id(refers_to, digest)), ("X-Refers-To-Page-ID", refers_to)]
     block = http if revisit else http + payload

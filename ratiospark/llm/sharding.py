@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .common import n_words, spread, table, written
 
 DIMS = ("bytes", "tokens", "rows")
-KEY = ["_k1", "_k2", "_k3"]
+KEY = ["__rs_k1", "__rs_k2", "__rs_k3"]
 
 
 def _packer(capacity: list[float], residual: list[list[float]]):
@@ -24,14 +24,14 @@ def _packer(capacity: list[float], residual: list[list[float]]):
         scale, left, turn = np.array([1 / c if c else 0.0 for c in capacity]), np.array(residual), None
         for pdf in batches:
             if turn is None and len(pdf):
-                turn = int(pdf["_k1"].iloc[0]) % len(left)  # ties fall to other shards in other tasks
+                turn = int(pdf["__rs_k1"].iloc[0]) % len(left)  # ties fall to other shards in other tasks
                 left = np.roll(left, -turn, axis=0)
             sizes, at = pdf[[f"sum_{d}" for d in DIMS]].to_numpy(float) * scale, np.empty(len(pdf), np.int32)
             for i, v in enumerate(sizes):
                 at[i] = s = int((left @ v).argmax())
                 left[s] -= v
             pdf["shard"] = (at + (turn or 0)) % len(left)
-            yield pdf[[*KEY, "_chunk", "shard", *[f"sum_{d}" for d in DIMS]]]
+            yield pdf[[*KEY, "__rs_chunk", "shard", *[f"sum_{d}" for d in DIMS]]]
 
     return pack
 
@@ -41,34 +41,34 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str, group_col: str | None, o
     text = F.coalesce(F.col(text_col), F.lit(""))
     size, crc = (F.octet_length(text) + F.lit(overhead)).cast("long"), F.crc32(F.encode(text, "UTF-8"))
     key = [F.xxhash64(text), crc, size] if group_col is None else [F.xxhash64(group_col), F.lit(0).cast("long"), F.lit(0).cast("long")]
-    return docs.withColumns({"_id": F.col(id_col).cast("long"), "_size": size, "_crc": crc, "_tokens": n_words(F.col(text_col))} | dict(zip(KEY, key, strict=True)))
+    return docs.withColumns({"__rs_id": F.col(id_col).cast("long"), "__rs_size": size, "__rs_crc": crc, "__rs_tokens": n_words(F.col(text_col))} | dict(zip(KEY, key, strict=True)))
 
 
 def _chunk(rows: DataFrame, split: DataFrame) -> DataFrame:
-    return rows.join(F.broadcast(split), KEY, "left").withColumn("_chunk", F.coalesce(F.pmod(F.xxhash64("_id"), F.col("_chunks")), F.lit(0)).cast("int"))
+    return rows.join(F.broadcast(split), KEY, "left").withColumn("__rs_chunk", F.coalesce(F.pmod(F.xxhash64("__rs_id"), F.col("__rs_chunks")), F.lit(0)).cast("int"))
 
 
 def _place(base: DataFrame, n_shards: int, units_per_task: int, max_tasks: int) -> tuple[DataFrame, DataFrame, int]:
-    """Rows with keys and sizes -> the groups that are split (KEY, _chunks), every unit's shard (KEY, _chunk, shard), and the number of rows."""
-    sums = [F.sum("_size").alias("sum_bytes"), F.sum("_tokens").alias("sum_tokens"), F.count(F.lit(1)).alias("sum_rows")]
+    """Rows with keys and sizes -> the groups that are split (KEY, __rs_chunks), every unit's shard (KEY, __rs_chunk, shard), and the number of rows."""
+    sums = [F.sum("__rs_size").alias("sum_bytes"), F.sum("__rs_tokens").alias("sum_tokens"), F.count(F.lit(1)).alias("sum_rows")]
     totals = base.agg(*sums).first()
     n_tasks = spread(totals["sum_rows"], units_per_task, max_tasks)
     share = [(totals[f"sum_{d}"] or 0) / n_shards for d in DIMS]
     part = F.greatest(*[F.col(f"sum_{d}") / s if s else F.lit(0.0) for d, s in zip(DIMS, share, strict=True)])  # of a shard
     # more than half a shard: at most 2 * n_shards groups for each dimension
     groups = base.groupBy(*KEY).agg(*sums)
-    split = written(groups.filter((part > 0.5) & (F.col("sum_rows") > 1)).select(*KEY, F.ceil(2 * part).cast("int").alias("_chunks")), "shard-split")
-    units = written(_chunk(base, split).groupBy(*KEY, "_chunk").agg(*sums).withColumn("part", part), "shard-units")
-    order, schema = [F.desc("part"), *KEY, "_chunk"], ", ".join(f"{k} long" for k in KEY) + ", _chunk int, shard int, sum_bytes long, sum_tokens long, sum_rows long"
+    split = written(groups.filter((part > 0.5) & (F.col("sum_rows") > 1)).select(*KEY, F.ceil(2 * part).cast("int").alias("__rs_chunks")), "shard-split")
+    units = written(_chunk(base, split).groupBy(*KEY, "__rs_chunk").agg(*sums).withColumn("part", part), "shard-units")
+    order, schema = [F.desc("part"), *KEY, "__rs_chunk"], ", ".join(f"{k} long" for k in KEY) + ", __rs_chunk int, shard int, sum_bytes long, sum_tokens long, sum_rows long"
     if n_tasks == 1:
-        return split, units.coalesce(1).sortWithinPartitions(*order).mapInPandas(_packer(share, [[1.0] * len(DIMS)] * n_shards), schema).select(*KEY, "_chunk", "shard"), totals["sum_rows"]
+        return split, units.coalesce(1).sortWithinPartitions(*order).mapInPandas(_packer(share, [[1.0] * len(DIMS)] * n_shards), schema).select(*KEY, "__rs_chunk", "shard"), totals["sum_rows"]
     # at most 8 * n_shards * n_tasks units for each dimension
     large = F.col("part") * 8 * n_tasks > 1
     first = written(units.filter(large).coalesce(1).sortWithinPartitions(*order).mapInPandas(_packer(share, [[1.0] * len(DIMS)] * n_shards), schema), "shard-large")
     load = {r["shard"]: r for r in first.groupBy("shard").agg(*[F.sum(f"sum_{d}").alias(d) for d in DIMS]).collect()}
     residual = [[1 - load[i][d] / s if i in load and s else 1.0 for d, s in zip(DIMS, share, strict=True)] for i in range(n_shards)]
-    dealt = units.filter(~large).repartition(n_tasks, *KEY, "_chunk").sortWithinPartitions(*order)
-    return split, first.unionByName(dealt.mapInPandas(_packer([s / n_tasks for s in share], residual), schema)).select(*KEY, "_chunk", "shard"), totals["sum_rows"]
+    dealt = units.filter(~large).repartition(n_tasks, *KEY, "__rs_chunk").sortWithinPartitions(*order)
+    return split, first.unionByName(dealt.mapInPandas(_packer([s / n_tasks for s in share], residual), schema)).select(*KEY, "__rs_chunk", "shard"), totals["sum_rows"]
 
 
 def pack_shards(docs: DataFrame, n_shards: int = 24, id_col: str = "doc_id", text_col: str = "text", group_col: str | None = None, overhead: int = 8, units_per_task: int = 20_000, max_tasks: int = 1024) -> DataFrame:
@@ -85,11 +85,11 @@ def pack_shards(docs: DataFrame, n_shards: int = 24, id_col: str = "doc_id", tex
     Null texts have no bytes, crc 0 and share a group with empty ones. Null and repeated ids are rows like others. An empty
     table gives no rows; other columns are ignored."""
     cols = dict.fromkeys([id_col, text_col, *([group_col] if group_col else [])])
-    base = written(_keyed(docs.select(*cols), id_col, text_col, group_col, overhead).select("_id", "_size", "_crc", "_tokens", *KEY), "shard-rows")
+    base = written(_keyed(docs.select(*cols), id_col, text_col, group_col, overhead).select("__rs_id", "__rs_size", "__rs_crc", "__rs_tokens", *KEY), "shard-rows")
     split, placed, n = _place(base, n_shards, units_per_task, max_tasks)
     n_blocks = spread(n, 50_000, 4096)
-    rows = _chunk(base, split).join(placed, [*KEY, "_chunk"]).withColumn("block", F.pmod(F.xxhash64("_id", *KEY), F.lit(n_blocks)).cast("int"))
-    rows = written(rows.select(F.col("_id").alias("doc_id"), F.col("_size").alias("size"), F.col("_crc").alias("text_crc32"), F.col("_tokens").alias("tokens"), "shard", "block", *KEY), "shard-placed")
+    rows = _chunk(base, split).join(placed, [*KEY, "__rs_chunk"]).withColumn("block", F.pmod(F.xxhash64("__rs_id", *KEY), F.lit(n_blocks)).cast("int"))
+    rows = written(rows.select(F.col("__rs_id").alias("doc_id"), F.col("__rs_size").alias("size"), F.col("__rs_crc").alias("text_crc32"), F.col("__rs_tokens").alias("tokens"), "shard", "block", *KEY), "shard-placed")
     before = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     # n_shards * 4096 rows at most
     starts = rows.groupBy("shard", "block").count().select("shard", "block", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
@@ -100,10 +100,10 @@ def pack_shards(docs: DataFrame, n_shards: int = 24, id_col: str = "doc_id", tex
 def shard_documents(docs: DataFrame, n_shards: int = 24, id_col: str = "doc_id", text_col: str = "text", group_col: str | None = None, overhead: int = 8, units_per_task: int = 20_000, max_tasks: int = 1024) -> DataFrame:
     """docs with the column shard (in place of one of that name), packed as by pack_shards."""
     keyed = _keyed(docs, id_col, text_col, group_col, overhead)
-    split, placed, _ = _place(written(keyed.select("_id", "_size", "_crc", "_tokens", *KEY), "shard-rows"), n_shards, units_per_task, max_tasks)
-    placed = written(placed.withColumnRenamed("shard", "_shard"), "shard-placed")
-    rows = _chunk(keyed, split).join(placed, [*KEY, "_chunk"])
-    return rows.select(*[c for c in docs.columns if c != "shard"], F.col("_shard").alias("shard"))
+    split, placed, _ = _place(written(keyed.select("__rs_id", "__rs_size", "__rs_crc", "__rs_tokens", *KEY), "shard-rows"), n_shards, units_per_task, max_tasks)
+    placed = written(placed.withColumnRenamed("shard", "__rs_shard"), "shard-placed")
+    rows = _chunk(keyed, split).join(placed, [*KEY, "__rs_chunk"])
+    return rows.select(*[c for c in docs.columns if c != "shard"], F.col("__rs_shard").alias("shard"))
 
 
 def op1(spark, sf_dir):

@@ -1,6 +1,7 @@
 import glob
 import os
 
+import pandas as pd
 import pytest
 
 duckdb = pytest.importorskip("duckdb")
@@ -11,7 +12,7 @@ from ratiospark.plans import catalogue  # noqa: E402
 
 
 def plain(x):
-    if x is None or x != x:
+    if pd.isna(x):
         return None
     return int(x) if isinstance(x, float) and x.is_integer() else x
 

@@ -252,13 +252,16 @@ class MatrixFrame:
         return given.mapInPandas(elimination.kernel(what), elimination.OUT)
 
     @staticmethod
-    def _frames(out: DataFrame, part: str) -> MatrixFrame:
-        """Numbers of over 38 digits raise an error here; the kernel's texts have them."""
-        mine = out.filter(F.col("part") == part)
-        cells = mine.select(ID, "n_cols", F.posexplode(F.arrays_zip("num", "den")).alias("k", "v"))
+    def _unpacked(out: DataFrame) -> DataFrame:
+        """part, matrix_id, i, j, val. Numbers of over 38 digits raise an error here; the kernel's texts have them."""
+        cells = out.select("part", ID, "n_cols", F.posexplode(F.arrays_zip("num", "den")).alias("k", "v"))
         val = F.struct(F.col("v.num").cast(frac.DECIMAL).alias("num"), F.col("v.den").cast(frac.DECIMAL).alias("den"))
-        cells = cells.select(ID, F.floor(F.col("k") / F.col("n_cols")).cast("int").alias("i"), (F.col("k") % F.col("n_cols")).alias("j"), val.alias("val"))
-        return MatrixFrame(cells, mine.select(ID, "n_rows", "n_cols", "augment"), "frac")
+        return cells.select("part", ID, F.floor(F.col("k") / F.col("n_cols")).cast("int").alias("i"), (F.col("k") % F.col("n_cols")).alias("j"), val.alias("val"))
+
+    @classmethod
+    def _frames(cls, out: DataFrame, part: str) -> MatrixFrame:
+        mine = out.filter(F.col("part") == part)
+        return MatrixFrame(cls._unpacked(mine).drop("part"), mine.select(ID, "n_rows", "n_cols", "augment"), "frac")
 
     def ref(self) -> MatrixFrame:
         return self._frames(self._eliminated("ref"), "ref")
@@ -275,6 +278,10 @@ class MatrixFrame:
         out = self._eliminated("plu")
         return self._frames(out, "P"), self._frames(out, "L"), self._frames(out, "U")
 
+    def factors(self) -> DataFrame:
+        """part (P, L or U), matrix_id, i, j, val: all three from one pass of the kernel."""
+        return self._unpacked(self._eliminated("plu"))
+
     def lower_upper(self) -> tuple[MatrixFrame, MatrixFrame]:
         """lower, U with lower U = A: lower is the transpose of P, times L."""
         out = self._eliminated("lower")

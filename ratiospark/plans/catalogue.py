@@ -469,9 +469,8 @@ def mat_ref_u(spark, sf_dir):
 
 @query(" UNION ALL ".join(f"SELECT '{part}' AS part, * FROM ({_cells_sql(_int(cells))}) x" for part, cells in (("P", _I3), ("L", _L), ("U", _U))))
 def mat_plu(spark, sf_dir):
-    parts = zip("PLU", S(spark, sf_dir).plu(), strict=True)
-    p, l, u = [_cells(m).select(F.lit(name).alias("part"), "*") for name, m in parts]
-    return p.unionByName(l).unionByName(u)
+    cells = S(spark, sf_dir).factors()
+    return cells.select("part", ID, "i", "j", F.col("val.num").cast("long").alias("num"), F.col("val.den").cast("long").alias("den"))
 
 
 @query(_cells_sql(_int(_L)))

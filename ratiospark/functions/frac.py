@@ -63,7 +63,10 @@ def _pair(num: Column, den: Column) -> Column:
 
 def frac(num, den=1) -> Column:
     """num / den in lowest terms; both may be integers or rationals. A zero denominator raises an error, as does a fractional number."""
-    num, den = as_frac(num), as_frac(den)
+    if any(isinstance(x, float) for x in (num, den)):
+        raise TypeError("a float is no exact number")
+    if not marked(num) and not marked(den):
+        return reduced(_dec(num), _dec(den))
     return div(num, den)
 
 

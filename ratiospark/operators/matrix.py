@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import frac, vec
 from ..functions.arith import FRAC, KINDS, Arith
-from . import elimination
+from . import bareiss, elimination
 
 ID = "matrix_id"
 
@@ -269,6 +269,15 @@ class MatrixFrame:
     def rref(self) -> MatrixFrame:
         return self._frames(self._eliminated("rref"), "rref")
 
+    def rref_native(self) -> MatrixFrame:
+        """rref of integer matrices within the JVM, for numbers whose minors fit 32 digits (see bareiss); the constants of zero
+        rows may differ from rref's by the order of rows."""
+        if self.kind.name != "int":
+            raise TypeError("needs integers")
+        done = self.dense().select(ID, bareiss.rref(F.col("m"), F.col("augment")).alias("m"))
+        cells = done.select(ID, F.posexplode("m").alias("i", "r")).select(ID, "i", F.posexplode("r").alias("j", "val"))
+        return self._with(cells, kind=FRAC)
+
     def pivots(self) -> DataFrame:
         """matrix_id, pivots, rank."""
         return self._eliminated("ref").select(ID, "pivots", F.size("pivots").alias("rank"))

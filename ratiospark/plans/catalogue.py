@@ -462,6 +462,11 @@ def mat_rref_aug(spark, sf_dir):
     return _cells(S(spark, sf_dir).insert_cols(right_side(spark, sf_dir)).augment_line().rref())
 
 
+@query(ORACLE_SQL["mat_rref_aug"])
+def mat_rref_native(spark, sf_dir):
+    return _cells(S(spark, sf_dir).insert_cols(right_side(spark, sf_dir)).augment_line().rref_native())
+
+
 @query(_cells_sql(_int(_U)))
 def mat_ref_u(spark, sf_dir):
     return _cells(S(spark, sf_dir).ref())

@@ -104,6 +104,22 @@ def test_kernel(m):
         assert times(e, m) == textbook(m) and times(inverse(e), e) == [[Q(i == j) for j in range(len(m))] for i in range(len(m))]
 
 
+def test_native_reduced_form(spark):
+    rng = random.Random(8)
+    given = {k: [[rng.choice([0, 0, 1, -1, 2, -7, 30]) for _ in range(m)] for _ in range(n)] for k, (n, m) in enumerate((rng.randint(1, 4), rng.randint(1, 5)) for _ in range(60))}
+    given |= {100 + k: m for k, m in enumerate(EDGE.values())} | {200: [[0, 0], [0, 0]]}
+    out = from_literals(spark, given).rref_native()
+    found = {}
+    for r in out.cells.collect():
+        found.setdefault(r.matrix_id, {})[r.i, r.j] = Q(int(r.val.num), int(r.val.den))
+    for k, m in given.items():
+        assert [[found[k][i, j] for j in range(len(m[0]))] for i in range(len(m))] == textbook(m)
+    plan = out.cells._jdf.queryExecution().executedPlan().toString()
+    assert "EvalPython" not in plan and "MapInPandas" not in plan
+    solved = from_literals(spark, {1: [[1, 1, 1, 6], [0, 2, 5, -4], [2, 5, -1, 27]]}).augment_line()
+    assert values(solved.rref_native()) == values(solved.rref())
+
+
 def test_edges_on_spark(spark):
     frame = from_literals(spark, {i: m for i, m in enumerate(EDGE.values())})
     low, up = frame.lower_upper()

@@ -177,14 +177,14 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """docs with one row of each component, that with the smallest id (null last, then smallest text hash); columns unchanged."""
     rows, named = _named(docs, id_col, text_col, posting)
     rows = written(rows.join(named.select("fp", "root"), "fp").groupBy("root", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("times")), "simhash-keys")
-    first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("first"))
+    first = written(rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("first")), "simhash-first")
     gone = rows.join(first, "root").filter(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))))
-    gone = gone.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
-    mine = (docs[id_col].cast("long").eqNullSafe(F.col("_id"))) & (F.xxhash64(docs[text_col]) == F.col("_hash"))
+    gone = gone.select(F.col("doc_id").alias("__rs_id"), F.col("text_hash").alias("__rs_hash"))
+    mine = (docs[id_col].cast("long").eqNullSafe(F.col("__rs_id"))) & (F.xxhash64(docs[text_col]) == F.col("__rs_hash"))
     kept = docs.join(gone, mine, "left_anti")
     if rows.filter("times > 1").isEmpty():
         return kept
-    return kept.withColumns({"_id": F.col(id_col).cast("long"), "_hash": F.xxhash64(text_col)}).dropDuplicates(["_id", "_hash"]).drop("_id", "_hash")
+    return kept.withColumns({"__rs_id": F.col(id_col).cast("long"), "__rs_hash": F.xxhash64(text_col)}).dropDuplicates(["__rs_id", "__rs_hash"]).drop("__rs_id", "__rs_hash")
 
 
 def op3(spark, sf_dir):

@@ -102,23 +102,28 @@ class OrdinalModel:
         return scored(text)
 
 
-def fit(features: list[np.ndarray], grades: np.ndarray, row_weights: np.ndarray, n_grades: int, l1: float = 3e-4, least_rows: int = 3, rounds: int = 200) -> OrdinalModel:
+def fit(features: list[np.ndarray], grades: np.ndarray, row_weights: np.ndarray, n_grades: int, l1: float = 3e-4, least_rows: int = 3, rounds: int = 300) -> OrdinalModel:
     """Weights under an L1 penalty by accelerated proximal gradient steps over all rows, the same on every run.
 
-    features: distinct buckets of each row. A step is 1 / h for a weight, where h bounds the curvature: a quarter of the share
-    of the rows that have the feature, times their number of features. A grade without rows keeps a threshold far up."""
+    features: distinct buckets of each row. A step is 1 / h for a weight, where h bounds the curvature: the share of
+    the rows that have the feature, times their number of features and the most that their grade's loss bends. A grade without rows keeps a threshold far up."""
     n = len(grades)
     if not n:
         return OrdinalModel({}, tuple(700.0 for _ in range(n_grades - 1)))
+    if (top := int(grades.max())) < n_grades - 1:  # grades above the highest seen stay out of reach
+        seen = fit(features, grades, row_weights, max(top + 1, 2), l1, least_rows, rounds) if top else OrdinalModel({}, ())
+        return OrdinalModel(seen.weights, (*seen.thresholds, *(700.0 for _ in range(n_grades - 1 - len(seen.thresholds)))))
     flat, rows = np.concatenate(features), np.repeat(np.arange(n), [len(f) for f in features])
     names, column, count = np.unique(flat, return_inverse=True, return_counts=True)
+    del flat
     often = count >= least_rows
     use = often[column]
     column, rows, names = (np.cumsum(often) - 1)[column[use]], rows[use], names[often]
     share = row_weights / row_weights.sum()
     above = np.clip([(share * (grades >= k)).sum() for k in range(1, n_grades)], 1e-6, 1 - 1e-6)
     edges = np.maximum.accumulate(-np.log(above / (1 - above)) + 1e-3 * np.arange(n_grades - 1))
-    h = 0.25 * np.bincount(column, weights=(share * np.bincount(rows, minlength=n))[rows], minlength=len(names))
+    bend = np.where((grades == 0) | (grades == n_grades - 1), 0.25, 0.5)
+    h = np.bincount(column, weights=(bend * share * np.bincount(rows, minlength=n))[rows], minlength=len(names))
     w = ahead = np.zeros(len(names))
     t = 1.0
     for _ in range(rounds):
@@ -147,18 +152,17 @@ def _below(edges: np.ndarray, f: np.ndarray, grades: np.ndarray) -> tuple[np.nda
 
 
 def _edges(edges: np.ndarray, f: np.ndarray, grades: np.ndarray, share: np.ndarray) -> np.ndarray:
-    """A damped Newton step for each threshold, in order."""
+    """A bounded Newton step for each threshold, which stays between its neighbours. The loss is convex in each."""
     edges = edges.copy()
     for k in range(len(edges)):
         a, b = _below(edges, f, grades)
-        p = np.maximum(a - b, 1e-12)
-        up, down = grades == k, grades == k + 1
-        slope = (share * (down * b * (1 - b) - up * a * (1 - a)) / p).sum()
-        e = 1 / (1 + np.exp(-np.clip(edges[k] - f, -700, 700)))
-        curve = (share * (up | down) * e * (1 - e)).sum() + 1e-4
-        edges[k] -= np.clip(slope / curve, -1, 1)
-        if k:
-            edges[k] = max(edges[k], edges[k - 1] + 1e-3)
+        p, up, down = np.maximum(a - b, 1e-12), grades == k, grades == k + 1
+        da, db = a * (1 - a) / p, b * (1 - b) / p
+        slope = (share * (down * db - up * da)).sum()
+        curve = (share * (up * (da * da - da * (1 - 2 * a)) + down * (db * db + db * (1 - 2 * b)))).sum() + 1e-4
+        low = edges[k - 1] + 1e-2 if k else -700.0
+        high = edges[k + 1] - 1e-2 if k + 1 < len(edges) else 700.0
+        edges[k] = min(max(edges[k] - np.clip(slope / curve, -1, 1), low), max(low, high))
     return edges
 
 
@@ -175,7 +179,7 @@ def train(docs: DataFrame, labels: DataFrame, grade: Column, n_grades: int, rows
     draw = F.shiftrightunsigned(F.xxhash64("_i", F.lit(seed)), 11) / F.lit(float(1 << 53))
     # about n_grades * rows_per_grade rows
     sample = F.broadcast(given.withColumn("_s", share).filter(draw < F.col("_s")))
-    texts = docs.select(F.col(id_col).cast("long").alias("_i"), F.col(text_col).alias("_t")).join(sample, "_i").select("_i", "_g", (1 / F.col("_s")).alias("_w"), "_t")
+    texts = docs.select(F.col(id_col).cast("long").alias("_i"), F.col(text_col).alias("_t")).join(sample, "_i").select("_i", "_g", F.when(F.col("_s") > 0, 1 / F.col("_s")).alias("_w"), "_t")
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = _Words()
@@ -184,5 +188,7 @@ def train(docs: DataFrame, labels: DataFrame, grade: Column, n_grades: int, rows
 
     got = texts.mapInPandas(extract, "i long, g int, w double, f array<int>").toArrow().to_pandas()
     if len(got):  # in a fixed order, so that sums agree between runs
-        got = got.assign(n=[f.tobytes() for f in got["f"]]).sort_values(["i", "n"], kind="stable")
-    return fit([np.asarray(f) for f in got["f"]], got["g"].to_numpy(int), got["w"].to_numpy(float), n_grades, **how)
+        got = got.assign(n=[zlib.crc32(f.tobytes()) for f in got["f"]]).sort_values(["i", "n"], kind="stable")
+    features, grades, row_weights = [np.asarray(f) for f in got["f"]], got["g"].to_numpy(int), got["w"].to_numpy(float)
+    del got
+    return fit(features, grades, row_weights, n_grades, **how)

@@ -409,6 +409,13 @@ def vec_outer(spark, sf_dir):
     return rows.select("vec_id", "i", F.posexplode("r").alias("j", "val")).withColumn("val", F.col("val").cast("long"))
 
 
+@query()
+def vec_outer_whole(spark, sf_dir):
+    """All products of v and w; vec_outer gives those of their first eight elements, as its SQL does."""
+    rows = vectors(spark, sf_dir).select("vec_id", F.posexplode(vec.outer(F.col("v"), F.col("w"), INT)).alias("i", "r"))
+    return rows.select("vec_id", "i", F.posexplode("r").alias("j", "val")).withColumn("val", F.col("val").cast("long"))
+
+
 @query(f"WITH {V_SQL} SELECT vec_id, CAST(list_sum(v) * list_sum(w) AS BIGINT) AS val FROM V")
 def sum_2d(spark, sf_dir):
     return vectors(spark, sf_dir).select("vec_id", vec.sum_2d(vec.outer(F.col("v"), F.col("w"), INT), INT).cast("long").alias("val"))

@@ -18,8 +18,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of SimHash near-duplicates."""
-    return drop_near_duplicates(docs)
+    """Keeps one document of each group of near-duplicates, by SimHash or by 5-word similarity of 0.8 or more."""
+    return drop_near_duplicates(docs, similar=True)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

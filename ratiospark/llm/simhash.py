@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import LongType
 
-from .common import partitions, table, written
+from .common import discard, partitions, table, written
 from .components import components
+from .shingles import linked, shingle_sets
 
 #: Bit patterns of the 256 byte values, least significant bit first.
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)[None, :]) & 1).astype(np.int64)
@@ -152,12 +153,16 @@ def near_links(prints: DataFrame, posting: int = POSTING) -> DataFrame:
     return found.filter("mask = 0").unionByName(deep).select("a", "b")
 
 
-def _named(docs: DataFrame, id_col: str, text_col: str, posting: int) -> tuple[DataFrame, DataFrame]:
+def _named(docs: DataFrame, id_col: str, text_col: str, posting: int, similar: bool = False) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, text_hash, fp) and classes (fp, root, component_id); a fingerprint's root is that of its component."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), fingerprints(F.col(text_col)).alias("fp"))
-    rows = written(rows, "simhash-rows")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), (F.col(text_col) if similar else fingerprints(F.col(text_col))).alias("t" if similar else "fp"))
+    whole = written(shingle_sets(rows, fingerprint).withColumn("node", F.xxhash64("words")) if similar else rows, "simhash-rows")
+    rows = written(whole.select("doc_id", "text_hash", "fp"), "simhash-rows") if similar else whole
     classes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-classes")
-    roots = written(components(near_links(classes.select("fp"), posting)), "simhash-roots")
+    links = near_links(classes.select("fp"), posting)
+    roots = written(linked(whole, links) if similar else components(links), "simhash-roots")
+    if similar:
+        discard(whole)
     reach = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     ids = reach.groupBy("root").agg(F.min("least").alias("component_id"))
     return rows, reach.select("fp", "root").join(ids, "root")
@@ -173,9 +178,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(named, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", posting: int = POSTING) -> DataFrame:
-    """docs with one row of each component, that with the smallest id (null last, then smallest text hash); columns unchanged."""
-    rows, named = _named(docs, id_col, text_col, posting)
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", posting: int = POSTING, similar: bool = False) -> DataFrame:
+    """docs with one row of each component, that with the smallest id (null last, then smallest text hash); columns unchanged.
+
+    similar: documents whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more are linked too."""
+    rows, named = _named(docs, id_col, text_col, posting, similar)
     rows = written(rows.join(named.select("fp", "root"), "fp").groupBy("root", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("times")), "simhash-keys")
     first = written(rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("first")), "simhash-first")
     gone = rows.join(first, "root").filter(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))))

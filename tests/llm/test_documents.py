@@ -271,6 +271,85 @@ def test_drop_near_duplicates(docs, clash, empty):
     assert simhash.near_duplicates(empty).count() == 0 and simhash.drop_near_duplicates(empty).count() == 0
 
 
+def near_corpus(seed):
+    """Texts with 0 to 12 words replaced, so that similarities lie on both sides of 0.8, copies, and one passage in many texts."""
+    r, texts = random.Random(seed), [None, "", "one", "one two", "ONE two", "one two three four five"]
+    word = lambda: f"n{r.randrange(5000)}"
+    passage = [word() for _ in range(12)]
+    for _ in range(40):
+        base = [word() for _ in range(r.choice([3, 6, 30, 100, 300]))] + passage * (r.random() < 0.5)
+        for _ in range(r.randint(1, 5)):
+            w = list(base)
+            for _ in range(r.randint(0, max(1, len(w) // 25))):
+                w[r.randrange(len(w))] = word()
+            texts.append(" ".join(w))
+    base = [word() for _ in range(150)]
+    for _ in range(60):  # a dense group
+        w = list(base)
+        for _ in range(r.randint(0, 4)):
+            w[r.randrange(len(w))] = word()
+        texts.append(" ".join(w))
+    texts += [texts[50], texts[50].upper(), texts[60] + "\n", base[0] + " x " * 40, base[0] + " x " * 80]
+    r.shuffle(texts)
+    return list(enumerate(texts))
+
+
+def brute_similar(rows):
+    grams = []
+    for _, t in rows:
+        w = WORDS.findall((t or "").lower())
+        grams.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    prints, parent, fresh = [brute_print(t) for _, t in rows], list(range(len(rows))), 0
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            near = (prints[i] ^ prints[j]).bit_count() <= 4
+            if near or grams[i] and 5 * len(grams[i] & grams[j]) >= 4 * len(grams[i] | grams[j]):
+                parent[max(root(i), root(j))] = min(root(i), root(j))
+                fresh += not near
+    return {root(i) for i in range(len(rows))}, fresh
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_drop_similar_documents(spark, empty, seed):
+    rows = near_corpus(seed)
+    want, fresh = brute_similar(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"words": F.lit(0), "node": F.lit("x")})
+    out = simhash.drop_near_duplicates(df, similar=True)
+    assert fresh > 100 and out.columns == df.columns and sorted(r.doc_id for r in out.collect()) == sorted(want)
+    assert simhash.drop_near_duplicates(df).count() > len(want)
+    assert simhash.drop_near_duplicates(empty, similar=True).count() == 0
+
+
+def test_near_dedup_stage_drops_similar_documents(spark):
+    import corpus_pipeline
+
+    words = [f"s{i}" for i in range(200)]
+    near = [f"x{i}" if i in (20, 70, 120, 170) else w for i, w in enumerate(words)]
+    rows = [(1, " ".join(words)), (2, " ".join(near)), (3, " ".join([*words[:100], *[f"t{i}" for i in range(100)]]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert (brute_print(rows[0][1]) ^ brute_print(rows[1][1])).bit_count() > 4
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, df, "").collect()) == [1, 3]
+
+
+def test_pairs_that_no_first_decides():
+    """Of a posting whose first member is like none, all others still meet."""
+    import pyarrow as pa
+
+    from ratiospark.llm import shingles
+
+    cols = {"w": [1, 1, 1, 2, 2, 3], "node": [7, 8, 9, 7, 8, 9], "n": [100] * 6, "at": [0] * 6, "root": [7, 8, 9, 7, 7, 9]}
+    batch = pa.RecordBatch.from_pydict({k: pa.array(v, pa.int64()) for k, v in cols.items()})
+    for parts in ([batch], [batch.slice(i, 1) for i in range(6)], [batch.slice(0, 2), batch.slice(2)]):
+        found = pa.Table.from_batches(list(shingles._apart(iter(parts)))).to_pylist()
+        assert sorted((p["a"], p["b"]) for p in found) == [(7, 8), (7, 9), (8, 9)]
+
+
 # decontamination
 
 

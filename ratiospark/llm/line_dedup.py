@@ -482,6 +482,9 @@ def line_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     on whole sets. A line is given the first candidates of a posting, and all of them if those don't decide about it, so that
     a dense group of near copies costs about as many pairs as it has lines.
 
+    The join reports one witness a line, not all links between similar lines. It is an earlier similar line, but not always the
+    earliest: that may be hidden where a posting has more than `first` candidates before it and another posting gives a match.
+
     Lines without words stay. Null and empty texts have none. Rows with a null id come last. Rows that agree in id are ordered by
     line number alone: of two such lines with one number neither makes the other redundant. An empty table gives no rows."""
     base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(int(NO_ID))).alias("doc"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("t"))

@@ -6,23 +6,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import table
-from .ordinal import train
+from .ordinal import OrdinalModel, train
 
 #: P(grade >= 1) from which a document is kept.
 LIMIT = 0.5
 
 
-def rating() -> Column:
-    """Grade of a label: 0 low quality, 1 good but toxic, 2 good."""
-    return F.when(F.col("quality") == 0, 0).when(F.col("quality") == 1, F.when(F.col("toxic") == 1, 1).otherwise(2))
+def fit_quality(docs: DataFrame, labels: DataFrame, grade: Column | None = None, **how) -> OrdinalModel:
+    """A model of ratings: of the given grades 0, 1, 2, or of the label `quality`, whose ones are graded 1 or 2 by the strength of the
+    evidence for it (ordinal.graded)."""
+    if grade is None:
+        return train(docs, labels, F.col("quality"), 2, split=True, **how)
+    return train(docs, labels, grade, 3, **how)
 
 
-def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """One row per row of docs: doc_id, expected_grade, grade, p_good (grade 1 or more), p_best (grade 2), kept.
+def p_good(model: OrdinalModel, text: Column) -> Column:
+    """P(grade >= 1) of texts."""
+    return F.element_at(model.column(text).getField("tails"), 1)
 
-    The model is fitted on labels (see train), then scores every whole text. Null and empty texts have no features and get the
-    thresholds' base rate; ids may be null or repeated; other columns are ignored; an empty table gives no rows."""
-    model = train(docs, labels, rating(), 3, id_col=id_col, text_col=text_col, **how)
+
+def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", grade: Column | None = None, **how) -> DataFrame:
+    """One row per row of docs: doc_id, expected_grade, grade (0 low, 1 good, 2 surely good), p_good (grade 1 or more), p_best (grade 2), kept.
+
+    The model is fitted on labels (see fit_quality and train), then scores every whole text. Null and empty texts have the features of an
+    empty text; ids may be null or repeated; equal texts get equal scores; other columns are ignored; an empty table gives no rows."""
+    model = fit_quality(docs, labels, grade, id_col=id_col, text_col=text_col, **how)
     s = docs.select(F.col(id_col).cast("long").alias("doc_id"), model.column(F.col(text_col)).alias("s"))
     good = F.element_at("s.tails", 1)
     return s.select("doc_id", F.col("s.expected").alias("expected_grade"), F.col("s.grade").alias("grade"), good.alias("p_good"), F.element_at("s.tails", 2).alias("p_best"), (good >= LIMIT).alias("kept"))

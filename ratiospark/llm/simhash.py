@@ -6,11 +6,11 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import LongType
 
 from .common import discard, partitions, table, written
@@ -21,9 +21,12 @@ from .shingles import linked, shingle_sets
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)[None, :]) & 1).astype(np.int64)
 BYTES, BITS = 8, 64
 MAX_BITS = 4
-#: A posting with more fingerprints is looked through by the half-bytes of the bytes that are not its key.
+#: A posting with more fingerprints is indexed once more by further places.
 POSTING = 4096
-
+#: Postings up to this length are compared all with all in common steps; longer ones grow a spanning forest each.
+SHORT = 24
+#: Members a posting has on average at most; beyond it the index takes one more place.
+FULL = 64
 
 def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
     """64-bit SimHash of the word shingles, repeats counted: a bit is 1 if it is set in over half of their hashes."""
@@ -50,9 +53,9 @@ def majority(hashes: np.ndarray) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes), bitorder="little").tobytes(), "little")
 
 
-@pandas_udf(LongType())
-def _fingerprints(texts: pd.Series) -> pd.Series:
-    return pd.Series([f - (1 << 64) if f >= 1 << 63 else f for f in map(fingerprint, texts)], dtype="int64")
+@arrow_udf(LongType())
+def _fingerprints(texts: pa.Array) -> pa.Array:
+    return pa.array(np.fromiter((fingerprint(t.as_py()) for t in texts), np.uint64, len(texts)).view(np.int64))
 
 
 def fingerprints(text: Column) -> Column:
@@ -60,8 +63,16 @@ def fingerprints(text: Column) -> Column:
     return _fingerprints(text)
 
 
-def _bits_set(x: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(x)
+def tally(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many of the eight positional bytes each pair shares."""
+    return ((a ^ b).view(np.uint8).reshape(-1, BYTES) == 0).sum(axis=1)
+
+
+def near(a: np.ndarray, b: np.ndarray, most: int = MAX_BITS) -> np.ndarray:
+    """Places of the pairs that pass the count filter, as fingerprints within `most` bits share at least 8 - most positional bytes,
+    and whose bits then verify it."""
+    some = np.flatnonzero(tally(a, b) >= BYTES - most)
+    return some[np.bitwise_count((a[some] ^ b[some]).view(np.uint64)) <= most]
 
 
 def forest(prints: np.ndarray, most: int) -> list[tuple[int, int]]:
@@ -72,85 +83,130 @@ def forest(prints: np.ndarray, most: int) -> list[tuple[int, int]]:
         queue, rest = [rest[0]], rest[1:]
         while queue and len(rest):
             x = queue.pop()
-            near = _bits_set((rest ^ x).view(np.uint64)) <= most
-            if near.any():
-                found = rest[near]
+            at = near(rest, np.full(len(rest), x), most)
+            if len(at):
+                found = rest[at]
                 links += [(int(x), int(y)) for y in found]
                 queue += list(found)
-                rest = rest[~near]
+                rest = np.delete(rest, at)
     return links
 
 
-def _masks(parts: int, keep: int, width: int) -> list[int]:
-    """All patterns that keep `keep` of `parts` places of `width` bits, as signed longs."""
-    found = [sum(((1 << width) - 1) << (width * i) for i in c) for c in combinations(range(parts), keep)]
-    return [m - (1 << 64) if m >= 1 << 63 else m for m in found]
+def covering(size: int) -> list[tuple[int, ...]]:
+    """Sets of `size` of the eight places, chosen greedily, of which one lies within any four places: fingerprints that share four
+    positional bytes share all bytes of one of these."""
+    open_, chosen = set(combinations(range(BYTES), BYTES - MAX_BITS)), []
+    while open_:
+        best = max(combinations(range(BYTES), size), key=lambda c: sum(set(c) <= set(x) for x in open_))
+        chosen.append(best)
+        open_ = {x for x in open_ if not set(best) <= set(x)}
+    return chosen
 
 
-def _runs(frames: Iterator[pd.DataFrame], keys: list[str], limit: int) -> Iterator[tuple[tuple, np.ndarray, bool]]:
-    """Runs of equal keys from batches in the keys' order, those of one row left out. A run that goes past limit comes in
-    parts, marked True, so that memory doesn't grow with it."""
-    key, held, size, over = None, [], 0, False
+def _mask(places: tuple[int, ...], width: int = 8) -> int:
+    """A pattern that keeps the places of `width` bits, as a signed long."""
+    m = sum(((1 << width) - 1) << (width * i) for i in places)
+    return m - (1 << 64) if m >= 1 << 63 else m
 
-    def closed():
-        if size and (over or size > 1):
-            yield key, np.concatenate(held), over
 
-    for pdf in frames:
-        if not len(pdf):
+def _parts(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[list[np.ndarray], bool]]:
+    """Columns mask, key, fp of whole postings, many at a time, from batches in their order; a posting that goes past limit comes in
+    parts and with True, so that memory doesn't grow with it."""
+    held, over = [np.array([], np.int64)] * 3, None
+    for batch in batches:
+        if not batch.num_rows:
             continue
-        k, f = pdf[keys].to_numpy(np.int64), pdf["fp"].to_numpy(np.int64)
-        edges = np.concatenate([[0], np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1, [len(k)]])
-        wide = np.diff(edges) > 1
-        wide[[0, -1]] = True  # these may go on in another batch
-        for i in np.flatnonzero(wide):
-            part, own = f[edges[i] : edges[i + 1]], tuple(k[edges[i]])
-            if own != key:
-                yield from closed()
-                key, held, size, over = own, [], 0, False
-            held.append(part)
-            size += len(part)
-            if size > limit:
-                over = True
-                yield key, np.concatenate(held), True
-                held, size = [], 0
-    yield from closed()
+        cols = [np.concatenate([h, batch.column(c).to_numpy()]) for h, c in zip(held, ("mask", "key", "fp"), strict=True)]
+        if over is not None:  # what follows of a long posting
+            end = int(np.argmin(np.append((cols[0] == over[0]) & (cols[1] == over[1]), False)))
+            if end:
+                yield [c[:end] for c in cols], True
+            cols = [c[end:] for c in cols]
+            if not len(cols[0]):
+                held = cols
+                continue
+            over = None
+        last = len(cols[0]) - int(np.argmin(np.append(((cols[0] == cols[0][-1]) & (cols[1] == cols[1][-1]))[::-1], False)))
+        if last:
+            yield [c[:last] for c in cols], False
+        held = [c[last:] for c in cols]
+        if len(held[0]) > limit:
+            yield held, True
+            over, held = (held[0][0], held[1][0]), [np.array([], np.int64)] * 3
+    if len(held[0]):
+        yield held, False
+
+
+LINKS = "a long, b long, mask long"
 
 
 def _search(limit: int):
-    """Links within postings; a row for each member, with its posting, of those with more than limit members."""
-
-    def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for (mask, key), members, over in _runs(frames, ["mask", "key"], limit):
-            if over:
-                yield pd.DataFrame({"a": members, "b": members, "mask": mask, "key": key})
-            elif links := forest(members, MAX_BITS):
-                yield pd.DataFrame(links, columns=["a", "b"]).assign(mask=0, key=0)
+    """(mask, key, fp) in the order of postings -> LINKS: links within postings, with mask 0; of postings with more than limit
+    members a row for each member, with the posting's mask."""
+
+    def out(a, b, mask):
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(mask, pa.int64())], ["a", "b", "mask"])
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (mask, key, fp), over in _parts(batches, limit):
+            fresh = np.flatnonzero(np.concatenate([[True], (mask[1:] != mask[:-1]) | (key[1:] != key[:-1])]))
+            size = np.diff(np.append(fresh, len(fp)))
+            long = np.repeat((size > limit) | over, size)
+            if long.any():
+                yield out(fp[long], fp[long], mask[long])
+            links = [np.empty((0, 2), np.int64)]
+            for k in np.flatnonzero((size > SHORT) & (size <= limit) & (not over)):
+                links.append(np.array(forest(fp[fresh[k] : fresh[k] + size[k]], MAX_BITS), np.int64).reshape(-1, 2))
+            end = np.repeat(np.append(fresh, len(fp))[1:], size)
+            here, k = np.flatnonzero(np.repeat((size > 1) & (size <= min(SHORT, limit)) & (not over), size)), 1
+            while len(here := here[here + k < end[here]]):  # every member meets its k-th next
+                at = here[near(fp[here], fp[here + k])]
+                links.append(np.stack([fp[at], fp[at + k]], axis=1))
+                k += 1
+            found = np.unique(np.concatenate(links), axis=0)
+            if len(found):
+                yield out(found[:, 0], found[:, 1], np.zeros(len(found), np.int64))
 
     return search
 
 
-def near_links(prints: DataFrame, posting: int = POSTING) -> DataFrame:
+def _looked_up(keyed: DataFrame, rows: int, limit: int) -> tuple[DataFrame, DataFrame]:
+    """keyed (fp, mask, key), about so many rows -> links (a, b), and the members (fp, mask) of postings longer than limit."""
+    n = partitions(keyed.sparkSession)
+    # those that would fill a task of their own go on at once: at most one for each task
+    hot = F.broadcast(written(keyed.groupBy("mask", "key").count().filter(F.col("count") > max(limit, rows // n)).select("mask", "key"), "simhash-hot"))
+    rest = keyed.join(hot, ["mask", "key"], "left_anti").select("mask", "key", "fp").repartition(n, "mask", "key").sortWithinPartitions("mask", "key")
+    found = written(rest.mapInArrow(_search(limit), LINKS), "simhash-links")
+    long = found.filter("mask <> 0").select(F.col("a").alias("fp"), "mask").unionByName(keyed.join(hot, ["mask", "key"], "left_semi").select("fp", "mask"))
+    return found.filter("mask = 0").select("a", "b"), written(long, "simhash-long")
+
+
+def near_links(prints: DataFrame, posting: int = POSTING, full: int = FULL) -> DataFrame:
     """prints (fp: distinct longs) -> (a, b): links that join what any chain of pairs within MAX_BITS bits joins.
 
-    Two fingerprints within 4 bits differ in at most 4 of their 8 bytes, so they share at least 4 positional bytes. The index
-    has a posting for each set of 4 places and their bytes: being in one posting together means that the tally of shared
-    positional bytes reaches that minimum. Members are verified by their bits. A posting longer than `posting` is indexed once
-    more: the 4 bytes outside its key hold 8 half-bytes of which at least 4 are shared, which leaves 2^16 fingerprints at most."""
-    spark = prints.sparkSession
-    n = partitions(spark)
-    schema = "a long, b long, mask long, key long"
-    places = _masks(BYTES, BYTES - MAX_BITS, 8)
-    keyed = prints.select("fp", F.explode(F.array(*[F.lit(m) for m in places])).alias("mask")).withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
-    found = written(keyed.repartition(n, "mask", "key").sortWithinPartitions("mask", "key", "fp").mapInPandas(_search(posting), schema), "simhash-links")
-    halves = _masks(2 * BYTES, 2 * BYTES - MAX_BITS, 4)
-    long = found.filter("mask <> 0").select(F.col("a").alias("fp"), F.col("mask").alias("outer"))
+    Two fingerprints within 4 bits differ in at most 4 of their 8 bytes, so they share at least 4 positional bytes. The inverted index
+    has postings for sets of positional bytes, two places to a set, or more if postings would have over `full` members on average; the sets
+    are chosen so that any four places hold one of them. For each pair that meets in a posting the shared positional bytes
+    are tallied, pairs with at least 4 are kept, and those are verified by their bits. Postings longer than `posting` are indexed once
+    more, by four bytes that contain theirs, and if they are still too long by 12 of the 16 half-bytes, which leaves 2^16
+    fingerprints at most. Postings with more than a task's share of all rows go there without meeting in a task."""
+    count = prints.count()
+    size = next((s for s in (2, 3) if count >> (8 * s) < full), 4)
+    keyed = lambda p, masks: p.withColumn("mask", F.explode(masks)).withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
+    first = covering(size)
+    links, long = _looked_up(keyed(prints, F.array(*[F.lit(_mask(c)) for c in first])), count * len(first), posting)
+    four = list(combinations(range(BYTES), BYTES - MAX_BITS))
+    halves = [_mask(c, 4) for c in combinations(range(2 * BYTES), 2 * BYTES - MAX_BITS)]
     # of the half-bytes' patterns those that contain the posting's own places: 70 for each
-    inner = {m: [h for h in halves if h & m == m] for m in places}
-    choice = F.create_map(*[x for m, hs in inner.items() for x in (F.lit(m), F.array(*[F.lit(h) for h in hs]))])
-    finer = long.select("fp", F.explode(F.element_at(choice, F.col("outer"))).alias("mask")).distinct().withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
-    deep = finer.repartition(n, "mask", "key").sortWithinPartitions("mask", "key", "fp").mapInPandas(_search(1 << 16), schema)
-    return found.filter("mask = 0").unionByName(deep).select("a", "b")
+    steps = [({_mask(c): [_mask(x) for x in four if set(c) <= set(x)] for c in first}, posting), ({_mask(c): [h for h in halves if h & _mask(c) == _mask(c)] for c in four}, 1 << 16)]
+    for choice, limit in steps[1:] if size == 4 else steps:
+        if long.isEmpty():
+            break
+        masks = F.element_at(F.create_map(*[x for m, inner in choice.items() for x in (F.lit(m), F.array(*[F.lit(i) for i in inner]))]), F.col("mask"))
+        finer = written(keyed(long.select("fp", masks.alias("masks")), F.col("masks")).select("fp", "mask", "key").distinct(), "simhash-finer")
+        more, long = _looked_up(finer, finer.count(), limit)
+        links = links.unionByName(more)
+    return links
 
 
 def _named(docs: DataFrame, id_col: str, text_col: str, posting: int, similar: bool = False) -> tuple[DataFrame, DataFrame]:

@@ -212,6 +212,46 @@ def brute_components(rows):
     return prints, [least.get(root(i)) for i in range(len(rows))]
 
 
+def test_places_of_the_index_cover_every_four():
+    from itertools import combinations
+
+    for size in (2, 3, 4):
+        chosen = simhash.covering(size)
+        assert all(any(set(c) <= set(four) for c in chosen) for four in combinations(range(8), 4))
+        assert len(chosen) <= {2: 8, 3: 28, 4: 70}[size]
+
+
+def test_count_filter_leaves_few_candidates():
+    """Pairs that share a posting, those that the tally keeps, and those that the bits verify."""
+    r = np.random.default_rng(2)
+    prints = r.integers(-(2**63), 2**63 - 1, 30_000)
+    prints = np.unique(np.concatenate([prints, prints[:500] ^ 5]))
+    met = kept = good = 0
+    for c in simhash.covering(2):
+        key = prints & simhash._mask(c)
+        order = np.argsort(key, kind="stable")
+        a, b = prints[order][:-1], prints[order][1:]
+        same = key[order][:-1] == key[order][1:]
+        a, b = a[same], b[same]
+        met, kept, good = met + len(a), kept + (simhash.tally(a, b) >= 4).sum(), good + len(simhash.near(a, b))
+    print("candidates", met, "after the count filter", kept, "verified", good)
+    assert met > 20 * kept >= 20 * good > 0
+
+
+@pytest.mark.parametrize("full", [0, simhash.FULL, 1 << 62])
+def test_near_links_with_more_places(spark, full):
+    r = np.random.default_rng(9)
+    prints = r.integers(-(2**63), 2**63 - 1, 150)
+    flips = [prints[i] ^ np.bitwise_or.reduce(np.int64(1) << r.choice(62, k, replace=False).astype(np.int64)) for i in range(150) for k in (3, 4, 5)]
+    prints = np.unique(np.concatenate([prints, flips, r.integers(0, 1 << 14, 400)]))
+    want = {(int(a), int(b)) for i, a in enumerate(prints) for b in prints[i + 1 :] if int(a ^ b).bit_count() <= 4}
+    links = simhash.near_links(spark.createDataFrame([(int(p),) for p in prints], "fp long"), full=full, posting=50)
+    got = {r["node"]: r["root"] for r in components(links).collect()}
+    for a, b in want:
+        assert got[a] == got[b]
+    assert {tuple(sorted((r["a"], r["b"]))) for r in links.collect()} <= want
+
+
 @pytest.mark.parametrize("posting", [simhash.POSTING, 2])
 def test_simhash(docs, posting):
     prints, comps = brute_components(ROWS)

@@ -6,10 +6,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
+from pyspark.sql.types import StringType
 
 from .common import discard, partitions, table, written
+from .words import Lanes, bounds, portions
+from .words import mix as _mix
 
 SIMILARITY = 0.8
 #: Words are counted in so many cells, which gives the order of rarity; a table of this size is broadcast.
@@ -23,70 +27,17 @@ PLACES = 1 << 27
 #: Sorts last, for rows without an id.
 NO_ID = np.iinfo(np.int64).max
 _POSTINGS = 1 << 18
+#: Lines whose postings make up one bucket on average, which is what a task holds at once.
+BUCKET_LINES = 50_000
 _FIELDS = (("token", "<u8"), ("doc", "<i8"), ("line", "<i4"), ("n", "<i4"), ("at", "<i4"), ("bits1", "<u8"), ("bits2", "<u8"))
 _U = np.uint64
 
 
-#: Words are hashed as polynomials in this odd number, modulo 2^64.
-_BASE = 0x9E6C63D0876A9A35
-_SPACES = np.zeros(256, bool)
-_SPACES[[32, *range(9, 14)]] = True
-#: Bytes of text that are taken at once; a longer line is taken as a whole.
-_PORTION = 1 << 18
-
-
-class _Powers:
-    """Powers of the base and of its inverse, as far as texts have needed them."""
-
-    def __init__(self):
-        self.up = self.down = np.ones(1, _U)
-
-    def reach(self, n: int) -> None:
-        if n > len(self.up):
-            n = max(n, _PORTION)
-            step = np.full(n, _BASE, _U)
-            step[0] = 1
-            back = np.full(n, pow(_BASE, -1, 1 << 64), _U)
-            back[0] = 1
-            self.up, self.down = np.multiply.accumulate(step), np.multiply.accumulate(back)
-
-
-def _portions(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
-    """Bytes of whole texts, about _PORTION at a time, where each begins, and the row of the first. A null text is empty."""
-    if texts.null_count:
-        texts = texts.fill_null("")
-    offsets = np.frombuffer(texts.buffers()[1], np.int64 if pa.types.is_large_string(texts.type) else np.int32, len(texts) + 1, texts.offset * (8 if pa.types.is_large_string(texts.type) else 4)).astype(np.int64)
-    data = np.frombuffer(texts.buffers()[2], np.uint8) if texts.buffers()[2] is not None else np.array([], np.uint8)
-    row = 0
-    while row < len(texts):
-        end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + _PORTION, "right")) - 1)
-        yield data[offsets[row] : offsets[end]], offsets[row:end] - offsets[row], row
-        row = end
-
-
-def _words(data: np.ndarray, texts: np.ndarray, powers: _Powers) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and first byte of every word between ASCII white space; no word spans two texts."""
-    if not len(data):
-        return np.array([], _U), np.array([], np.int64)
-    powers.reach(len(data) + 1)
-    inside = ~_SPACES[data]
-    breaks = np.zeros(len(data) + 1, bool)
-    breaks[texts[texts < len(data)]] = True
-    breaks[[0, -1]] = True
-    outside = np.ones(len(data) + 2, bool)
-    outside[1:-1] = ~inside
-    starts = np.flatnonzero(inside & (outside[:-2] | breaks[:-1]))
-    ends = np.flatnonzero(inside & (outside[2:] | breaks[1:])) + 1
-    sums = np.zeros(len(data) + 1, _U)
-    np.cumsum((data.astype(_U) + _U(1)) * powers.up[: len(data)], out=sums[1:])
-    return _mix((sums[ends] - sums[starts]) * powers.down[starts] + (ends - starts).astype(_U), 0xBF58476D1CE4E5B9), starts
-
-
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    powers, total = _Powers(), np.zeros(CELLS, np.int64)
+    total = np.zeros(CELLS, np.int64)
     for batch in batches:
-        for data, texts, _ in _portions(batch.column("t")):
-            h, _ = _words(data, texts, powers)
+        for data, begins, _ in portions(batch.column("t")):
+            h = Lanes(data).hashes(*bounds(data, begins))
             total += np.bincount((h & _U(CELLS - 1)).astype(np.int64), minlength=CELLS)
     used = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used], pa.int64())], ["cell", "n"])
@@ -103,22 +54,28 @@ def rarity(docs: DataFrame) -> np.ndarray:
     return place
 
 
-def word_sets(texts: pa.Array, place: np.ndarray, powers: _Powers, wanted: Callable | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def word_sets(texts: pa.Array, place: np.ndarray, wanted: Callable | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Row and number of every line that has words (and that wanted(row, number) picks), the start of its words, and the distinct
     words of the lines, the rarest first.
 
-    A word is its 64-bit hash turned so that numbers rise from rare to frequent."""
-    for data, begins, first in _portions(texts):
-        h, at = _words(data, begins, powers)
-        if not len(h):
-            continue
+    A word is its 64-bit hash turned so that numbers rise from rare to frequent. Of lines that aren't wanted no word is looked at."""
+    for data, begins, first in portions(texts):
         breaks = np.unique(np.concatenate([begins[begins < len(data)], np.flatnonzero(data[:-1] == 10) + 1]))
-        line = np.searchsorted(breaks, at, "right") - 1
         row = np.searchsorted(begins, breaks, "right") - 1  # of empty texts at one place the last, which is the one with bytes
         number = np.arange(len(breaks)) - np.searchsorted(breaks, begins[row])
         if wanted is not None:
-            pick = wanted(row + first, number)[line]
-            h, line = h[pick], line[pick]
+            size = np.diff(np.append(breaks, len(data)))
+            pick = wanted(row + first, number)
+            row, number, size = row[pick], number[pick], size[pick]
+            if not len(row):
+                continue
+            data, _ = _chunks(data, breaks[pick], size)
+            begins = breaks = np.cumsum(size) - size
+        starts, ends = bounds(data, begins)
+        if not len(starts):
+            continue
+        h = Lanes(data).hashes(starts, ends)
+        line = np.repeat(np.arange(len(breaks)), np.diff(np.append(np.searchsorted(starts, breaks), len(starts))))
         token = (place[(h & _U(CELLS - 1)).astype(np.int64)] << _U(48)) | (h >> _U(16))
         order = np.argsort(token)
         narrow = line[order].astype(np.uint16 if len(breaks) < 1 << 16 else np.int64)  # numpy sorts 16 bits by radix
@@ -170,9 +127,9 @@ def _lines(place_of: Callable[[], np.ndarray]):
     """(doc, row, t) -> LINES: a row for each line with words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers, place = _Powers(), place_of()
+        place = place_of()
         for batch in batches:
-            for row, number, starts, token in word_sets(batch.column("t"), place, powers):
+            for row, number, starts, token in word_sets(batch.column("t"), place):
                 key1, key2 = (np.add.reduceat(_mix(token, k), starts) for k in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93))
                 f = features(starts, token)
                 offsets = np.concatenate([[0], np.cumsum(8 * f["prefix"])]).astype(np.int32)
@@ -269,19 +226,21 @@ def _postings(n_buckets: int, bitmap_of: Callable[[], np.ndarray] | None = None)
     return run
 
 
-def _index(n_buckets: int, place_of: Callable[[], np.ndarray], tokens_of: Callable[[], np.ndarray]):
-    """(doc, t) -> BLOBS: postings of the words in a bitmap, of lines that look for no partner."""
+def _index(n_buckets: int, tokens_of: Callable[[], np.ndarray]):
+    """LINES -> BLOBS: postings of the words in a bitmap, of lines that look for no partner."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers, place, tokens, buckets = _Powers(), place_of(), tokens_of(), _Buckets(n_buckets)
+        tokens, buckets = tokens_of(), _Buckets(n_buckets)
         for batch in batches:
-            docs = batch.column("doc").to_numpy()
-            for row, number, starts, token in word_sets(batch.column("t"), place, powers):
-                f = features(starts, token)
-                bit = np.mod(f["words"].view(np.int64), BITMAP)
-                keep = ((tokens[bit >> 6] >> (bit & 63).astype(_U)) & _U(1)).astype(bool)
-                times = np.bincount(np.repeat(np.arange(len(row)), f["prefix"])[keep], minlength=len(row))
-                yield from buckets.add(f["words"][keep], docs[row], number, -f["n"], f["at"][keep], f["bits1"], f["bits2"], times)
+            n = batch.column("n").to_numpy()
+            times = prefix_lengths(n)
+            flat = np.frombuffer(b"".join(batch.column("prefix").to_pylist()), "<u8")
+            _, at = _chunks(flat, np.cumsum(times) - times, times)
+            bit = np.mod(flat.view(np.int64), BITMAP)
+            keep = ((tokens[bit >> 6] >> (bit & 63).astype(_U)) & _U(1)).astype(bool)
+            times = np.bincount(np.repeat(np.arange(len(n)), times)[keep], minlength=len(n))
+            get = lambda c: batch.column(c).to_numpy()  # noqa: E731,B023
+            yield from buckets.add(flat[keep], get("doc"), get("line"), -n, at[keep], get("bits1").view(_U), get("bits2").view(_U), times)
         yield from buckets.out()
 
     return run
@@ -395,7 +354,7 @@ def _sets(place_of: Callable[[], np.ndarray], wanted_of: Callable[[], np.ndarray
     """(doc, row, t) -> (doc, row, line, words): the word sets of the lines whose place is set in a bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers, place, wanted = _Powers(), place_of(), wanted_of()
+        place, wanted = place_of(), wanted_of()
         for batch in batches:
             docs = batch.column("doc").to_numpy()
 
@@ -403,7 +362,7 @@ def _sets(place_of: Callable[[], np.ndarray], wanted_of: Callable[[], np.ndarray
                 bit = _place_bits(docs[row], number, 64 * len(wanted))
                 return ((wanted[bit >> 6] >> (bit & 63).astype(_U)) & _U(1)).astype(bool)
 
-            for row, number, starts, token in word_sets(batch.column("t"), place, powers, lambda r, k: picked(r, k)):  # noqa: B023
+            for row, number, starts, token in word_sets(batch.column("t"), place, lambda r, k: picked(r, k)):  # noqa: B023
                 ends = pa.array(np.append(starts, len(token)), pa.int32())
                 take = pa.array(row)
                 yield pa.RecordBatch.from_arrays([batch.column("doc").take(take), batch.column("row").take(take), pa.array(number), pa.ListArray.from_arrays(ends, pa.array(token.view(np.int64)))], ["doc", "row", "line", "words"])
@@ -446,12 +405,11 @@ _LATER = ["b_doc", "b_line"]
 
 
 def _near(lines: DataFrame, marked: DataFrame, bitmap_of, base: DataFrame, place_of, first: int) -> DataFrame:
-    """Near matches of distinct lines: those that aren't marked, and of the marked ones the first of each set. Discards lines."""
-    n = partitions(base.sparkSession)
+    """Near matches of distinct lines: those that aren't marked, and of the marked ones the first of each set."""
+    n = max(partitions(base.sparkSession), lines.count() // BUCKET_LINES)
     cols = ["doc", "line", "n", "bits1", "bits2", "prefix"]
     heads = marked.filter("n >= 4").groupBy("key1", "key2").agg(F.min(F.struct(*cols)).alias("h")).select("h.*")
     pairs = _found(lines.filter("n >= 4").select("key1", *cols).mapInArrow(_postings(n, bitmap_of), BLOBS).unionByName(heads.mapInArrow(_postings(n), BLOBS)), first)
-    discard(lines)
     sets = _word_sets(pairs, base, place_of)
     # the earliest candidate of a line decides about most; the others are looked at where it doesn't
     earliest = written(pairs.groupBy(*_LATER).agg(F.min(F.struct("a_doc", "a_line")).alias("a")).select(*_LATER, "a.a_doc", "a.a_line"), "line-earliest")
@@ -467,7 +425,7 @@ def _near(lines: DataFrame, marked: DataFrame, bitmap_of, base: DataFrame, place
     size = F.size("words")
     prefix = F.slice("words", 1, size - F.ceil(size * SIMILARITY - 1e-9).cast("int") + 1)
     tokens = base.sparkSession.sparkContext.broadcast(repeated_keys(probes.select(F.explode(prefix).alias("key1")).distinct()))
-    all_ = base.select("doc", "t").mapInArrow(_index(n, place_of, lambda: tokens.value), BLOBS)
+    all_ = lines.filter("n >= 4").select(cols).mapInArrow(_index(n, lambda: tokens.value), BLOBS)
     pairs = _found(all_.unionByName(probes.mapInArrow(_probes(n), BLOBS)), None).drop("capped")
     return matches.unionByName(_verified(pairs, _word_sets(pairs, base, place_of)))
 
@@ -485,8 +443,10 @@ def line_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     The join reports one witness a line, not all links between similar lines. It is an earlier similar line, but not always the
     earliest: that may be hidden where a posting has more than `first` candidates before it and another posting gives a match.
 
-    Lines without words stay. Null and empty texts have none. Rows with a null id come last. Rows that agree in id are ordered by
+    Lines without words stay. Null and empty texts have none. Rows with a null id come last (beside such rows an id of
+    2^63 - 1 counts as null). Rows that agree in id are ordered by
     line number alone: of two such lines with one number neither makes the other redundant. An empty table gives no rows."""
+    nameless = bool(docs.agg(F.max(F.col(id_col).isNull())).first()[0])
     base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(int(NO_ID))).alias("doc"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("t"))
     shared = docs.sparkSession.sparkContext.broadcast(rarity(base.select("t")))
     place_of = lambda: shared.value
@@ -499,23 +459,33 @@ def line_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     equal = marked.select("doc", "row", "line", "key1", "key2").join(groups, ["key1", "key2"]).filter((F.col("doc") != F.col("a.doc")) | (F.col("line") != F.col("a.line")))
     equal = equal.select("doc", "row", "line", F.col("a.doc").alias("a_doc"), F.col("a.line").alias("a_line"), F.lit(1.0).alias("similarity"))
     near = _near(lines, marked, bitmap_of, base, place_of, first)
+    discard(lines)
     near = near.select(F.col("b_doc").alias("doc"), F.col("b_row").alias("row"), F.col("b_line").alias("line"), "a.a_doc", "a.a_line", "a.similarity")
     # a repeated row's line may be in both parts
     found = equal.unionByName(near).groupBy("doc", "row", "line").agg(F.min(F.struct("a_doc", "a_line", "similarity")).alias("a"))
-    given = lambda c: F.when(F.col(c) != int(NO_ID), F.col(c))
+    given = lambda c: F.when(F.col(c) != int(NO_ID), F.col(c)) if nameless else F.col(c)
     return found.select(given("doc").alias("doc_id"), F.col("row").alias("text_hash"), F.col("line").alias("line_no"), given("a.a_doc").alias("first_doc_id"), F.col("a.a_line").alias("first_line_no"), F.col("a.similarity").alias("similarity"))
 
 
-def _without(text: Column, gone: Column) -> Column:
-    return F.array_join(F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains(gone, i)), "\n")
+@arrow_udf(StringType())
+def _without(texts: pa.Array, gone: pa.Array) -> pa.Array:
+    """The texts without the lines of these numbers."""
+    out = []
+    for text, numbers in zip(texts.to_pylist(), gone.to_pylist(), strict=True):
+        if numbers:
+            numbers = set(numbers)
+            text = "\n".join(x for i, x in enumerate(text.split("\n")) if i not in numbers)
+        out.append(text)
+    return pa.array(out, pa.string())
 
 
 def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the redundant lines cut from their texts; other columns and rows stay."""
+    """docs with the redundant lines (see line_matches, also for ids, ties and repeated rows) cut from their texts; other columns and
+    rows stay. Null and empty texts stay as they are; an empty table gives no rows."""
     gone = line_matches(docs, id_col, text_col).groupBy(F.col("doc_id").alias("__rs_id"), F.col("text_hash").alias("__rs_row")).agg(F.collect_set("line_no").alias("__rs_gone"))
     mine = docs[id_col].cast("long").eqNullSafe(gone["__rs_id"]) & (F.xxhash64(docs[text_col]) == gone["__rs_row"])
     joined = docs.join(gone, mine, "left")
-    return joined.withColumn(text_col, F.when(F.col("__rs_gone").isNull(), F.col(text_col)).otherwise(_without(F.col(text_col), F.col("__rs_gone")))).select(docs.columns)
+    return joined.withColumn(text_col, _without(F.col(text_col), F.col("__rs_gone"))).select(docs.columns)
 
 
 def op8(spark, sf_dir):

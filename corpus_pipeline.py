@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ratiospark.llm.common import table, written
 from ratiospark.llm.decontamination import drop_contaminated
-from ratiospark.llm.mixing import mix_documents
+from ratiospark.llm.mixing import mix_documents, quality_weight
 from ratiospark.llm.sharding import shard_documents
 from ratiospark.llm.simhash import drop_near_duplicates
 from ratiospark.llm.toxicity import drop_toxic
@@ -28,8 +28,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats or leaves out documents so that sources reach their target shares."""
-    return mix_documents(docs)
+    """Repeats or leaves out documents so that sources reach their target shares; good documents sooner than others."""
+    return mix_documents(docs, weight=quality_weight(docs, table(spark, sf_dir, "labels")))
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

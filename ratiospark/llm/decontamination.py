@@ -45,35 +45,48 @@ def _seeded(ids: np.ndarray, seed: str) -> tuple[np.ndarray, np.ndarray]:
     return h, known
 
 
+def segments(n: int) -> list[tuple[int, int]]:
+    """Place and length of parts of an item of n words, one more than it may have words replaced, so that one part is left whole."""
+    parts = n - -(-round(100 * LEAST_SIMILARITY) * n // 100) + 1
+    cuts = [n * k // parts for k in range(parts + 1)]
+    return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False) if b > a]
+
+
 @dataclass
 class SeedIndex:
-    """Benchmark items as word ids, and for each seed its sorted window hashes with their items and positions."""
+    """Benchmark items as word ids, and for each seed its sorted window hashes with their items and positions. Items of under
+    LEAST_WORDS words, which must be covered whole, are looked up by parts of which one is left whole (see segments)."""
 
     vocabulary: dict[str, int]
     names: list
     items: list[np.ndarray]
-    seeds: list[tuple[np.ndarray, np.ndarray, np.ndarray]]
+    seeds: list[tuple[str, np.ndarray, np.ndarray, np.ndarray]]
 
     @classmethod
     def of(cls, rows: list[tuple]) -> SeedIndex:
         words = [tokens(text) for _, text in rows]
         vocabulary = {w: xxhash.xxh64_intdigest(w) or 1 for ws in words for w in ws}
         items = [np.array([vocabulary[w] for w in ws], np.uint64) for ws in words]
+        entries: dict[str, list[tuple]] = {}  # seed -> (hashes, item, places)
+        for k, x in enumerate(items):
+            for seed, places in [(s, None) for s in SEEDS] if len(x) >= LEAST_WORDS else [("1" * n, [at]) for at, n in segments(len(x))]:
+                h = _seeded(x, seed)[0]
+                places = np.arange(len(h)) if places is None else np.array(places)
+                entries.setdefault(seed, []).append((h[places], np.full(len(places), k), places))
         seeds = []
-        for seed in SEEDS:
-            found = [_seeded(x, seed)[0] for x in items]
-            h, item, at = np.concatenate([np.array([], np.uint64), *found]), np.repeat(np.arange(len(found)), [len(f) for f in found]), np.concatenate([np.array([], int), *[np.arange(len(f)) for f in found]])
+        for seed in sorted(entries):
+            h, item, at = (np.concatenate(c) for c in zip(*entries[seed], strict=True))
             order = np.argsort(h, kind="stable")
-            seeds.append((h[order], item[order], at[order]))
+            seeds.append((seed, h[order], item[order], at[order]))
         return cls(vocabulary, [name for name, _ in rows], items, seeds)
 
     def overlaps(self, text: str | None) -> list[tuple]:
         """(item, start in the text's words, start in the item, words, equal words): the longest overlap for each item."""
         ids = np.fromiter(map(lambda w, get=self.vocabulary.get: get(w, 0), tokens(text)), np.uint64)
-        if np.count_nonzero(ids) < len(SEEDS[0]):
+        if not ids.any():
             return []
         lines: set[tuple[int, int]] = set()
-        for seed, (hashes, item, at) in zip(SEEDS, self.seeds, strict=True):
+        for seed, hashes, item, at in self.seeds:
             h, known = _seeded(ids, seed)
             where = np.flatnonzero(known)
             if not len(where) or not len(hashes):
@@ -120,7 +133,7 @@ def longest(equal: np.ndarray) -> tuple[int, int]:
 
 
 def _indexes(benchmark: DataFrame, item_col: str, text_col: str, block_words: int):
-    """The items in blocks of about block_words words; items of under five words hold no seed and are left out."""
+    """The items in blocks of about block_words words."""
     items = benchmark.select(F.col(item_col).alias("i"), F.col(text_col).alias("t")).filter(F.col("t").isNotNull())
     size = items.agg(F.sum(F.length("t"))).first()[0] or 0
     blocks = max(1, -(-size // (6 * block_words)))
@@ -137,8 +150,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     bounded), and every hit is extended along its diagonal. An overlap counts from LEAST_WORDS words, or the whole item
     if that is shorter, with LEAST_SIMILARITY of them equal. Whole texts are searched.
 
-    Null and empty texts overlap nothing; null ids stay null; repeated rows are each reported; equal items each; an item of under
-    five words holds no seed and is not searched for. Empty tables give no rows."""
+    Items of under LEAST_WORDS words are looked up by parts of one to six words, of which one must be left whole; so an item of one to
+    four words counts wherever it stands verbatim. Null and empty texts overlap nothing; null ids stay null; repeated rows are each
+    reported; equal items each; items without words and null ones overlap nothing. Empty tables give no rows."""
     out = None
     for index in _indexes(benchmark, item_col, item_text_col, block_words):
 
@@ -153,7 +167,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
-    """docs without the rows that overlap an item, columns unchanged."""
+    """docs without the rows that overlap an item (see contaminated), columns unchanged. Null and empty texts stay; repeated rows and
+    equal texts stay or go together, whatever their ids; empty tables of documents or items drop nothing."""
     for index in _indexes(benchmark, item_col, item_text_col, block_words):
         docs = docs.filter(_clean(index)(F.col(text_col)))
     return docs

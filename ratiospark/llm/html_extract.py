@@ -5,20 +5,23 @@ from __future__ import annotations
 import html as _html
 import math
 import re
-from collections import deque
+import zlib
+from collections import Counter, deque
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import StringType
+from pyspark.sql.functions import arrow_udf
 
 from .common import table
+from .ordinal import BUCKETS, OrdinalModel, fit
 
 #: Fixed values of HTML: elements without an end, elements whose content is no markup, elements that begin a new block, and what a start tag closes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe noembed noframes xmp svg math object canvas select datalist audio video".split())
+RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
 BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6"
     " head header hgroup hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul".split()
@@ -32,7 +35,7 @@ ENDS_P = BLOCK - {"button", "caption", "legend", "option", "tbody", "td", "tfoot
 SCOPE = frozenset("html body article section div td th table ul ol dl main aside nav header footer form blockquote button fieldset figure".split())
 
 #: Elements, roles and words of class or id that mark what isn't the article.
-AWAY_TAGS = frozenset("nav footer aside form button dialog menu fieldset head search".split())
+AWAY_TAGS = frozenset("nav footer aside form button dialog menu fieldset head search select datalist template".split())
 AWAY_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
 AWAY_WORDS = frozenset(
     "ad ads adbox adsense adsbygoogle advert adverts advertisement advertising sponsor sponsored sponsors promo promotion banner sidebar sidebars rail aside menu menus nav navbar navigation"
@@ -42,10 +45,19 @@ AWAY_WORDS = frozenset(
 )
 NEAR_WORDS = frozenset("article articlebody content post entry story main maintext bodytext text prose markdown".split())
 
-#: The classifier: cost of calling a block boilerplate minus cost of calling it content, a sum over its features.
-WEIGHTS = {"bias": -1.2, "log_words": 0.9, "sentence": 1.0, "links": -4.5, "heading": 1.0, "paragraph": 0.8, "item": -0.3, "in_article": 7.0, "outside": -5.0, "near_word": 2.0, "away": -40.0, "rights": -3.0}
-#: Smoothness: between neighbours, more if they have one parent, less with each step between them in the tree; and to the last block of the same parent.
-ADJACENT, SAME_PARENT, STEP, SIBLING = 0.5, 0.8, 0.75, 0.8
+#: Log-odds of a block lie within CAP, so that no block's own features can outweigh all that stands around it.
+CAP = 4.0
+#: Pages that fit the classifier, chosen by a hash of the whole page.
+FIT_PAGES = 400
+#: Elements above a block whose names are features.
+NEAR_ELEMENTS = 6
+#: Blocks of a page up to which all that their own scores don't settle goes through maximum flow.
+SMALL = 300
+#: Factors of the smoothness that the fit tries.
+FACTORS = (0.0, 0.25, 0.5, 1.0, 1.5)
+#: For tables in which no page marks its article: log-odds by feature, and the smoothness by distance in the tree (see _distance).
+PRIOR = {"bias": -1.2, "word": 0.9, "sentence": 1.0, "linked": -4.5, "heading": 1.0, "paragraph": 0.8, "item": -0.3, "article": 4.0, "outside": -4.0, "near": 2.0, "away": -40.0, "rights": -3.0}
+PRIOR_EDGES = (1.2, 0.9, 0.5, 0.3, 0.1)
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|--!>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']|"[^"]*+"|'[^']*+')*+|[^>]*+)>|</?[a-zA-Z][^>]*\Z|[^<]++|<""", re.S)
 _ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?(?=[\s/]|\Z|"|')""", re.I)
@@ -65,6 +77,7 @@ class _Element:
     near: bool = False
     article: bool = False
     block: str = ""  # the nearest block element's tag
+    names: tuple = ()  # its tag, role and words of class and id
     chars: int = 0
 
 
@@ -80,20 +93,24 @@ def _open(tag: str, attrs: str, parent: _Element | None) -> _Element:
     e = _Element(tag, parent, parent.depth + 1 if parent else 0, near=bool(parent and parent.near), block=tag if tag in BLOCK or parent is None else parent.block)
     e.article = tag in ("article", "main") or bool(parent and parent.article)
     e.away = tag in AWAY_TAGS or tag == "header" and not e.article
+    names = [f"t:{tag}"]
     if attrs:
         for name, value in _ATTR.findall(attrs):
             name, value = name.lower(), value.strip("\"'")
             if name == "role":
+                names.append(f"r:{value.lower()}")
                 e.away |= value.lower() in AWAY_ROLES
                 e.article |= value.lower() in ("main", "article")
             elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
                 e.away = True
             elif name in ("class", "id") and tag not in ("html", "body", "article", "main"):
                 words = {w.lower() for w in _WORDS.findall(value)}
+                names += [f"c:{w}" for w in words]
                 e.marked |= bool(words & AWAY_WORDS) or "header" in words and not e.article
                 e.near |= bool(words & NEAR_WORDS)
             elif name in ("class", "id") and tag == "article":
                 e.marked |= bool({w.lower() for w in _WORDS.findall(value)} & {"comment", "comments", "reply", "ad", "advert", "sponsored", "related", "promo"})
+    e.names = tuple(names)
     return e
 
 
@@ -105,6 +122,19 @@ def blocks(page: str) -> tuple[list[Block], list[_Element]]:
     text: list[str] = []
     linked = in_link = 0
     at, size = 0, len(page)
+    scopes = [Counter()]  # open elements by tag, within each open element of SCOPE
+    whole: Counter = Counter()  # and in all
+
+    def close(e):
+        """Ends all open elements up to e."""
+        nonlocal here
+        while here is not e.parent:
+            if here.tag in SCOPE:
+                scopes.pop()
+            else:
+                scopes[-1][here.tag] -= 1
+            whole[here.tag] -= 1
+            here = here.parent
 
     def flush():
         nonlocal linked
@@ -133,11 +163,11 @@ def blocks(page: str) -> tuple[list[Block], list[_Element]]:
                 in_link = 0
             if tag in BLOCK:
                 flush()
-            e = here
-            while e.parent is not None and e.tag != tag and not (tag not in BLOCK and e.tag in SCOPE):
-                e = e.parent
-            if e.parent is not None and e.tag == tag:
-                here = e.parent
+            if whole[tag] if tag in BLOCK else scopes[-1][tag]:  # else none is open here
+                e = here
+                while e.tag != tag:
+                    e = e.parent
+                close(e)
             continue
         if tag == "br":
             text.append(" ")
@@ -153,7 +183,7 @@ def blocks(page: str) -> tuple[list[Block], list[_Element]]:
         if tag in BLOCK:
             flush()
             closing = CLOSES.get(tag, ()) + (("p",) if tag in ENDS_P else ())
-            if closing:
+            if closing and (any(scopes[-1][t] for t in closing) or len(scopes) > 1 and any(whole[t] for t in closing if t in SCOPE)):
                 e, last = here, None
                 while e.parent is not None:
                     if e.tag in closing:
@@ -164,18 +194,24 @@ def blocks(page: str) -> tuple[list[Block], list[_Element]]:
                         break
                     e = e.parent
                 if last is not None:
-                    here = last.parent
+                    close(last)
         if tag == "a":
             in_link = 1
         if m[3].rstrip().endswith("/") and tag not in BLOCK:
             continue
         here = _open(tag, m[3], here)
         made.append(here)
+        whole[tag] += 1
+        if tag in SCOPE:
+            scopes.append(Counter())
+        else:
+            scopes[-1][tag] += 1
     flush()
     return found, made
 
 
-def _classify(found: list[Block], made: list[_Element]) -> list[float]:
+def _settle(found: list[Block], made: list[_Element]) -> None:
+    """Sums texts up the tree and passes on what isn't the article."""
     total = 0
     for b in found:
         b.element.chars += len(b.text)
@@ -185,32 +221,81 @@ def _classify(found: list[Block], made: list[_Element]) -> list[float]:
     for e in made[1:]:
         # a class that encloses most of the page's text says nothing about a part of it
         e.away |= e.parent.away or e.marked and 2 * e.chars <= total
-    has_article = any(b.element.article for b in found)
-    scores = []
+
+
+def _kind(tag: str) -> str:
+    return "h" if tag in ("h1", "h2", "h3", "h4", "h5", "h6") else "p" if tag in ("p", "blockquote", "pre") else "i" if tag in ("li", "td", "th", "dd", "dt", "option") else "o"
+
+
+def _prior(found: list[Block]) -> list[float]:
+    has_article, scores = any(b.element.article for b in found), []
     for b in found:
-        words, away, near, tag = b.text.count(" ") + 1, b.element.away, b.element.near, b.element.block
-        share = min(1.0, b.linked / max(1, len(b.text)))
-        s = WEIGHTS["bias"] + WEIGHTS["log_words"] * math.log1p(words) + WEIGHTS["links"] * share
+        words = b.text.count(" ") + 1
+        s = PRIOR["bias"] + PRIOR["word"] * math.log1p(words) + PRIOR["linked"] * min(1.0, b.linked / max(1, len(b.text)))
+        s += {"h": PRIOR["heading"], "p": PRIOR["paragraph"], "i": PRIOR["item"], "o": 0.0}[_kind(b.element.block)]
         if _SENTENCE.search(b.text, max(0, len(b.text) - 1)) or words > 15 and _SENTENCE.search(b.text):
-            s += WEIGHTS["sentence"]
-        if tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
-            s += WEIGHTS["heading"]
-        elif tag in ("p", "blockquote", "pre"):
-            s += WEIGHTS["paragraph"]
-        elif tag in ("li", "td", "th", "dd", "dt", "option"):
-            s += WEIGHTS["item"]
+            s += PRIOR["sentence"]
         if has_article:
-            s += WEIGHTS["in_article"] if b.element.article else WEIGHTS["outside"]
-        if near:
-            s += WEIGHTS["near_word"]
-        if away:
-            s += WEIGHTS["away"]
+            s += PRIOR["article"] if b.element.article else PRIOR["outside"]
+        s += PRIOR["near"] * b.element.near + PRIOR["away"] * b.element.away
         if words < 40 and _RIGHTS.search(b.text):
-            s += WEIGHTS["rights"]
+            s += PRIOR["rights"]
         scores.append(s)
     return scores
 
 
+def features(found: list[Block]) -> list[tuple[list[str], list[str]]]:
+    """For each block the names of its text's and links' features, and those of its kind (which begin with k) and of names in the markup
+    around it. Where it stands among others is left to the smoothness."""
+    out, has_article = [], any(b.element.article for b in found)
+    for b in found:
+        size, linked = min((b.text.count(" ") + 1).bit_length(), 9), math.ceil(4 * min(1.0, b.linked / max(1, len(b.text))))
+        kind, e = _kind(b.element.block), b.element
+        end = bool(_SENTENCE.search(b.text, max(0, len(b.text) - 1)))
+        plain, kinds = [f"w{size}", f"l{linked}", f"s{end}", f"lw{linked}{size}", f"sw{end}{size}"], [f"k{kind}", f"kw{kind}{size}", f"ks{kind}{end}"]
+        if size < 6 and _RIGHTS.search(b.text):
+            plain.append("rights")
+        named = [f"#{what}" for what, is_ in (("away", e.away), ("article", e.article), ("outside", has_article and not e.article), ("near", e.near)) if is_]
+        k = 0
+        while e.parent is not None and k < NEAR_ELEMENTS:
+            named += e.names
+            e, k = e.parent, k + 1
+        out.append((plain, kinds + list(dict.fromkeys(named))))
+    return out
+
+
+class _Buckets(dict):
+    def __missing__(self, name):
+        if len(self) > 100_000:  # names are any text
+            self.clear()
+        self[name] = found = zlib.crc32(name.encode("utf-8", "surrogatepass")) % BUCKETS
+        return found
+
+
+@dataclass(frozen=True)
+class BlockModel:
+    """Log-odds of being content by hashed features, and the smoothness between blocks by their distance in the tree."""
+
+    classifier: OrdinalModel
+    edges: tuple[float, ...]
+
+    def scores(self, features_: list[tuple[list[str], list[str]]], names: bool = True) -> list[float]:
+        weights, buckets, edge = self._weights()
+        found = [math.fsum(weights.get(x, 0.0) for x in {buckets[f] for f in (plain + named if names else plain)}) - edge for plain, named in features_]
+        return [max(-CAP, min(CAP, s)) for s in found]
+
+    def _weights(self):
+        if "w" not in (held := self.__dict__):
+            object.__setattr__(self, "w", (dict(zip(self.classifier.buckets.tolist(), self.classifier.values.tolist(), strict=True)), _Buckets(), self.classifier.thresholds[0]))
+        return held["w"]
+
+    def __getstate__(self):
+        return {"classifier": self.classifier, "edges": self.edges}
+
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+
+
 def _apart(a: _Element, b: _Element) -> int:
     """Steps between them in the tree; further than 40 is far enough."""
     steps = 0
@@ -223,24 +308,34 @@ def _apart(a: _Element, b: _Element) -> int:
     return steps
 
 
-def _edges(found: list[Block]) -> list[tuple[int, int, float]]:
+def _distance(a: _Element, b: _Element) -> int:
+    """0: one element; 1: one parent; 2 to 4: up to 3, up to 5 and more steps apart."""
+    if a is b:
+        return 0
+    if a.parent is b.parent:
+        return 1
+    steps = _apart(a, b)
+    return 2 if steps <= 3 else 3 if steps <= 5 else 4
+
+
+def _edges(found: list[Block]) -> list[tuple[int, int, int]]:
+    """Neighbours, and the last block before that has the same parent, with their distance."""
     links, last = [], {}
     for i, b in enumerate(found):
-        parent = b.element.parent or b.element
         if i:
-            other = found[i - 1].element
-            same = (other.parent or other) is parent
-            links.append((i - 1, i, ADJACENT * STEP ** _apart(other, b.element) + (SAME_PARENT if same else 0.0)))
-        if (j := last.get(id(parent), i)) < i - 1:
-            links.append((j, i, SIBLING))
-        last[id(parent)] = i
+            links.append((i - 1, i, _distance(found[i - 1].element, b.element)))
+        parent = id(b.element.parent or b.element)
+        if (j := last.get(parent, i)) < i - 1:
+            links.append((j, i, 1))
+        last[parent] = i
     return links
 
 
 def minimum_cut(scores: list[float], links: list[tuple[int, int, float]]) -> list[bool]:
     """Labels with the least sum of terminal costs (a positive score is paid when labelled False, a negative one's size
     when labelled True) and of the links between unlike labels. A block whose score outweighs its links is settled at once, which
-    is part of a minimum cut; the rest goes through maximum flow."""
+    is part of a minimum cut; the rest goes through maximum flow. Of many blocks (SMALL) those are settled too that outweigh what is left
+    of their links then, as often as there are some, which keeps the flow small and the cut minimal."""
     n = len(scores)
     near: list[dict[int, float]] = [{} for _ in range(n)]
     for i, j, w in links:
@@ -257,7 +352,8 @@ def minimum_cut(scores: list[float], links: list[tuple[int, int, float]]) -> lis
                 if label[j] is None:
                     score[j] += w if label[i] else -w
                     pull[j] -= w
-                    queue.append(j)
+                    if n > SMALL:
+                        queue.append(j)
     left = [i for i in range(n) if label[i] is None]
     if left:
         for i, content in zip(left, _max_flow([score[i] for i in left], _renamed(left, near, label)), strict=True):
@@ -300,28 +396,96 @@ def _max_flow(score: list[float], near: list[dict[int, float]]) -> list[bool]:
             cap[b][a] = cap[b].get(a, 0.0) + flow
 
 
-def main_text(page: str | None) -> str:
-    found, made = blocks(page or "")
-    if not found:
-        return ""
-    labels = minimum_cut(_classify(found, made), _edges(found))
-    return "\n".join(b.text for b, content in zip(found, labels, strict=True) if content)
+def labels(found: list[Block], made: list[_Element], model: BlockModel | None, names: bool = True, cut: bool = True) -> list[bool]:
+    """Content or not, of each block. names: whether kinds and markup's names count; cut: whether smoothness does."""
+    _settle(found, made)
+    scores = _prior(found) if model is None else model.scores(features(found), names)
+    edges = PRIOR_EDGES if model is None else model.edges
+    return minimum_cut(scores, [(i, j, edges[d]) for i, j, d in _edges(found)] if cut else [])
 
 
-@pandas_udf(StringType())
-def _main_texts(pages: pd.Series) -> pd.Series:
-    return pd.Series([main_text(p) for p in pages], dtype=object)
+def main_text(page: str | None, model: BlockModel | None = None) -> str:
+    found, made = blocks(page or "")
+    return "\n".join(b.text for b, content in zip(found, labels(found, made, model), strict=True) if content)
 
 
-def extract(html: Column) -> Column:
+def _taught(page: str | None) -> tuple[list[tuple[list[str], list[str]]], list[int], list[tuple[int, int, int]]] | None:
+    """Features, distant labels and edges of a page that marks its article: content is what stands in `article` or `main` and under nothing
+    that is marked as something else."""
+    found, made = blocks(page or "")
+    _settle(found, made)
+    label = [int(b.element.article and not b.element.away) for b in found]
+    return (features(found), label, _edges(found)) if any(label) else None
+
+
+def fit_blocks(pages: list[str | None]) -> BlockModel | None:
+    """A model of the blocks of those pages that mark their article; None without any.
+
+    Each block stands in the fit as it is, without its markup's names, without its kind too (so that text and links count), and, if it is
+    marked as something else than the article, also as if it stood within the article. The smoothness by distance is half the log odds
+    that blocks so far apart have one label, times the factor of FACTORS that labels most blocks rightly on the second half of the pages,
+    as they are and bare of names and kinds, under a classifier of the first half."""
+    taught = [t for t in map(_taught, pages) if t]
+    if not taught:
+        return None
+    buckets = _Buckets()
+
+    def classifier(part: list) -> OrdinalModel:
+        forms: Counter = Counter()  # equal ones are one row of the fit
+        for blocks_, label, _ in part:
+            for (plain, rest), c in zip(blocks_, label, strict=True):
+                forms[(frozenset(plain + rest), c)] += 1
+                forms[(frozenset(plain + [n for n in rest if n[0] == "k"]), c)] += 1
+                forms[(frozenset(plain), c)] += 1
+                if "#away" in rest:
+                    forms[(frozenset(plain + [n for n in rest if n != "#outside"] + ["#article", "t:article"]), c)] += 1
+        rows = sorted((tuple(sorted({buckets[n] for n in names})), c, times) for (names, c), times in forms.items())
+        return fit([np.array(names) for names, _, _ in rows], np.array([c for _, c, _ in rows]), np.array([float(times) for _, _, times in rows]), 2, l1=1e-4, least_rows=1)
+
+    same = np.ones((len(PRIOR_EDGES), 2))
+    for _, label, edges in taught:
+        for i, j, d in edges:
+            same[d, int(label[i] == label[j])] += 1
+    smooth = np.maximum.accumulate(np.clip(0.5 * np.log(same[:, 1] / same[:, 0]), 0, CAP / 2)[::-1])[::-1]  # never less between nearer blocks
+    half = BlockModel(classifier(taught[: -(-len(taught) // 2)]), (0.0,) * len(smooth))
+    tried = []
+    held = [(half.scores(f, names), label, edges) for f, label, edges in taught[len(taught) // 2 :] for names in (True, False)]
+    for factor in FACTORS:
+        right = sum(int(a) == c for scores, label, edges in held for a, c in zip(minimum_cut(scores, [(i, j, factor * float(smooth[d])) for i, j, d in edges]), label, strict=True))
+        tried.append((right, -factor))
+    factor = -max(tried)[1]
+    return BlockModel(classifier(taught), tuple(factor * float(x) for x in smooth))
+
+
+def fit_pages(pages: DataFrame, html_col: str = "html", n_pages: int = FIT_PAGES) -> BlockModel | None:
+    """A model fitted on about n_pages pages, chosen by a hash of the whole page (every page if there are fewer)."""
+    total = pages.count()
+    page = F.xxhash64(html_col)
+    draw = F.shiftrightunsigned(F.xxhash64(page, F.lit(7)), 11) / F.lit(float(1 << 53))
+    # n_pages pages and twice that at most, unless copies of one page are many
+    chosen = pages.select(page.alias("h"), F.col(html_col).alias("html")).filter(draw < F.lit(n_pages / max(1, total))).orderBy("h", F.length("html")).limit(2 * n_pages).collect()
+    return fit_blocks([r["html"] for r in chosen])
+
+
+def extract(html: Column, model: BlockModel | None = None) -> Column:
     """The main text: content blocks in page order, one a line. Null, empty and pages without content give an empty string."""
-    return _main_texts(html)
 
+    @arrow_udf("string")
+    def texts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for pages in batches:
+            yield pa.array([main_text(p.as_py(), model) for p in pages], pa.string())
+
+    return texts(html)
+
+
+def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", model: BlockModel | None = None) -> DataFrame:
+    """One row per row of pages: page_id, url, text, n_chars.
 
-def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """One row per row of pages: page_id, url, text, n_chars. Null ids and urls stay; repeated rows are rows like others; other
+    Blocks are classified by a model fitted on a bounded sample of the pages (fit_pages) unless one is given, and labelled by the minimum
+    cut. Where no page marks its article, PRIOR stands in for the model. Null ids and urls stay; repeated rows are rows like others; other
     columns are ignored; an empty table gives no rows. Whole pages are read, and nothing is capped."""
-    out = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), extract(F.col(html_col)).alias("text"))
+    model = model or fit_pages(pages, html_col)
+    out = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), extract(F.col(html_col), model).alias("text"))
     return out.withColumn("n_chars", F.length("text").cast("long"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import n_words, table, written
+from .quality import fit_quality, p_good
 
 #: Cells of the order-preserving histogram of keys for each source: FINE coarse ones of FINE each.
 FINE = 1 << 10
@@ -15,10 +16,10 @@ CELLS = FINE * FINE
 LEAST_WEIGHT = 0.25
 
 
-def quality_weight(text: Column) -> Column:
-    """Between LEAST_WEIGHT and 1, falling with the share of words that carry a run of two or more ASCII symbols."""
-    noisy = F.coalesce(F.regexp_count(text, F.lit(r"[!#$%&*|~^<>=]{2,}")), F.lit(0)) / F.greatest(n_words(text), F.lit(1))
-    return F.greatest(F.lit(LEAST_WEIGHT), F.lit(1.0) - F.least(noisy, F.lit(1.0)))
+def quality_weight(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> Column:
+    """Between LEAST_WEIGHT and 1: P(good) of the text under the quality model fitted on labels (quality.fit_quality); without labels
+    LEAST_WEIGHT for all."""
+    return F.greatest(F.lit(LEAST_WEIGHT), p_good(fit_quality(docs, labels, id_col=id_col, text_col=text_col, **how), F.col(text_col)))
 
 
 def targets(sizes: DataFrame, weights: Sequence[float], most: float) -> DataFrame:
@@ -45,7 +46,7 @@ def _keyed(docs: DataFrame, seed: int, id_col: str, text_col: str, source_col: s
     u = (F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.lit(seed)), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
     docs = docs.withColumns({
         "__rs_id": F.col(id_col).cast("long"), "__rs_tie": F.xxhash64(text), "__rs_sk": F.when(F.col(source_col).isNull(), "t").otherwise(F.concat(F.lit("s"), F.col(source_col))),
-        "__rs_size": n_words(text), "__rs_key": -F.log(u) / (quality_weight(text) if weight is None else weight),
+        "__rs_size": n_words(text), "__rs_key": -F.log(u) / (F.lit(1.0) if weight is None else F.greatest(F.lit(LEAST_WEIGHT), weight)),
     })
     return docs.withColumn("__rs_cell", F.least(F.lit(CELLS - 1), F.floor((1 - F.exp(-F.col("__rs_key") * LEAST_WEIGHT)) * CELLS)).cast("int"))
 
@@ -87,6 +88,8 @@ def _repeats() -> Column:
 def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: float = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight: Column | None = None) -> DataFrame:
     """One row per row of docs: doc_id, source, size, source_size, target, repeats, taken (words, repeats counted).
 
+    weight: a document's quality, LEAST_WEIGHT at least, for instance quality_weight; without it all are alike.
+
     A source first gives whole epochs; the rest of its target comes from a sample without replacement: every document gets
     the key -ln(u) / weight, u from a hash of the id and seed, keys are sorted within the source and sizes summed up to
     the budget. The document on the budget's edge is taken if that ends nearer to it. Reruns agree.
@@ -104,12 +107,14 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: float = 3,
 
 
 def mix_documents(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: float = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight: Column | None = None) -> DataFrame:
-    """docs as mix takes them: each row as many times as it is taken, columns unchanged. Texts are not shuffled."""
-    keyed = _keyed(docs, seed, id_col, text_col, source_col, weight)
-    sources = _sources(written(keyed.select("__rs_id", "__rs_tie", "__rs_sk", "__rs_size", "__rs_key", "__rs_cell"), "mix-rows"), weights, most)
+    """docs as mix takes them: each row as many times as it is taken, columns unchanged; nulls, ties, repeated rows and empty tables as
+    for mix. Texts are written once beside their keys and not shuffled."""
+    keyed = written(_keyed(docs, seed, id_col, text_col, source_col, weight), "mix-rows")
+    sources = _sources(keyed.select("__rs_id", "__rs_tie", "__rs_sk", "__rs_size", "__rs_key", "__rs_cell"), weights, most)
     rows = keyed.join(sources, "__rs_sk").withColumn("__rs_n", _repeats().cast("int")).filter("__rs_n > 0")
     return rows.withColumn("__rs_n", F.explode(F.sequence(F.lit(1), "__rs_n"))).select(docs.columns)
 
 
 def op2(spark, sf_dir):
-    return mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", "taken")
+    docs = table(spark, sf_dir, "documents")
+    return mix(docs, weight=quality_weight(docs, table(spark, sf_dir, "labels"))).select("doc_id", "source", "size", "source_size", "target", "taken")

@@ -10,9 +10,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, written
+from .common import discard, partitions, written
 from .components import components
 from .line_dedup import BITMAP, repeated_keys
+from .words import mix
 
 #: Words of a shingle. The least Jaccard similarity is 4/5; filters and verification state it in whole numbers.
 WORDS = 5
@@ -20,6 +21,9 @@ WORDS = 5
 CELLS = 1 << 16
 #: Documents that a worker takes at once.
 PORTION = 500
+#: Bits of a set's signature, in longs of 64: the parity of its shingles in each of so many cells.
+SIGNATURE = 512
+_SIGNS = [f"s{k}" for k in range(SIGNATURE // 64)]
 _U = np.uint64
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], _U)
 
@@ -148,17 +152,31 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in (cols["w"], node, cols["n"], cols["at"], first)], ["w", "node", "n", "at", "first"])
 
 
+def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, words) -> (node, s0, s1, ...): each shingle flips one bit, so sets differ in at least as many shingles as signatures in bits."""
+    for batch in _portions(batches):
+        words = batch.column("words")
+        n = np.asarray(words.value_lengths()).astype(np.int64)
+        bit = (mix(words.flatten().to_numpy().view(_U), 0x8CB92BA72F3D8DD7) >> _U(40)).astype(np.int64) % SIGNATURE
+        odd = np.bincount(np.repeat(np.arange(len(n)), n) * SIGNATURE + bit, minlength=len(n) * SIGNATURE) & 1
+        signs = np.packbits(odd.astype(np.uint8).reshape(len(n), -1), axis=1, bitorder="little").view(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column("node"), *[pa.array(np.ascontiguousarray(x)) for x in signs.T]], ["node", *_SIGNS])
+
+
 def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of one posting in different components that pass the filters. All rows meet their k-th next together."""
+    """Pairs of one posting in different components that pass the filters of length, place and signature. All rows meet their k-th next
+    together."""
     for cols, start, end in _runs(batches):
         n, node, root = cols["n"].astype(np.int64), cols["node"], cols["root"]
-        room = n - cols["at"]
+        room, signs = n - cols["at"], np.stack([cols[x] for x in _SIGNS], axis=1).view(_U)
         mixed = np.zeros(len(n) + 1, bool)
         mixed[start[root != root[start]]] = True
         here, k, found = np.flatnonzero(mixed[start]), 1, [np.empty((0, 2), np.int64)]
         while len(here := here[here + k < end[here]]):
-            ok = (root[here] != root[here + k]) & _fit(n[here], n[here + k], room[here], room[here + k])
-            i, k = here[ok], k + 1
+            i = here[(root[here] != root[here + k]) & _fit(n[here], n[here + k], room[here], room[here + k])]
+            size = n[i] + n[i + k]
+            i = i[np.bitwise_count(signs[i] ^ signs[i + k]).sum(axis=1) <= size - 2 * ((4 * size + 8) // 9)]
+            k += 1
             found.append(np.sort(np.stack([node[i], node[i + k - 1]], axis=1), axis=1))
         pairs = np.unique(np.concatenate(found), axis=0)
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
@@ -180,7 +198,7 @@ def linked(rows: DataFrame, links: DataFrame) -> DataFrame:
 
     Sets are ordered by rarity and index their prefixes. Each is compared with one other of each posting at first, which joins a
     dense group in about as many pairs as it has members; then all pairs of a posting that are still in different components
-    are compared, so that every similar pair is joined. Equal sets are compared once. Documents without words have no set."""
+    are compared, so that every similar pair is joined; there a signature of each set spares most pairs the comparison of whole sets. Equal sets are compared once. Documents without words have no set."""
     spark = rows.sparkSession
     n = partitions(spark)
     sets = rows.select("node", "words")
@@ -192,8 +210,8 @@ def linked(rows: DataFrame, links: DataFrame) -> DataFrame:
     once = sets.mapInArrow(lambda batches: prefixes(_picked(lambda: bitmap.value, False)(batches)), entries)  # one worker a task
     again = sets.mapInArrow(_picked(lambda: bitmap.value, True), words).dropDuplicates(["node"]).mapInArrow(prefixes, entries)
     postings = once.unionByName(again)
-    # several orders, so that a group's members meet different firsts
-    postings = postings.repartition(n, "w").sortWithinPartitions("w", F.xxhash64(F.col("w").bitwiseAND(3), "node"))
+    # two orders, so that a group's members meet different firsts
+    postings = postings.repartition(n, "w").sortWithinPartitions("w", F.xxhash64(F.col("w").bitwiseAND(1), "node"))
     shared = written(postings.mapInArrow(_shared, "w long, node long, n int, at int, first long"), "shingle-postings")
     pairs = written(shared.filter("node <> first").select(F.least("node", "first").alias("a"), F.greatest("node", "first").alias("b")).distinct(), "shingle-pairs")
     prints = groups.select("node", "fp")
@@ -201,9 +219,21 @@ def linked(rows: DataFrame, links: DataFrame) -> DataFrame:
     equal = rows.select("node", "fp").join(groups.filter("fp <> most AND times > 1").select("node", F.col("fp").alias("b")), "node").select(F.col("fp").alias("a"), "b")
     roots = written(components(links.unionByName(named(_verified(pairs, sets))).unionByName(equal)), "shingle-roots")
     placed = prints.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("node", F.coalesce("root", "fp").alias("root"))
-    apart = shared.select("w", "node", "n", "at").join(placed, "node").repartition(n, "w").sortWithinPartitions("w").mapInArrow(_apart, "a long, b long")
+    placed = written(shared.select("w", "node", "n", "at").join(placed, "node"), "shingle-placed")
+    discard(shared)
+    mixed = placed.groupBy("w").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("w")
+    open_ = written(placed.join(mixed, "w", "left_semi"), "shingle-open")
+    discard(placed)
+    ends = spark.sparkContext.broadcast(repeated_keys(open_.select(F.col("node").alias("key1"))))
+    pick = _picked(lambda: ends.value, True)
+    signs = sets.mapInArrow(lambda batches: _signatures(pick(batches)), "node long, " + ", ".join(f"{x} long" for x in _SIGNS)).dropDuplicates(["node"])
+    apart = open_.join(signs, "node").repartition(n, "w").sortWithinPartitions("w").mapInArrow(_apart, "a long, b long")
     apart = written(apart.distinct().join(pairs, ["a", "b"], "left_anti"), "shingle-apart")
+    discard(open_)
     if apart.isEmpty():
         return roots
     more = named(_verified(apart, sets)).unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
-    return components(more)
+    found = written(components(more), "shingle-roots")
+    for table in (pairs, apart, groups):
+        discard(table)
+    return found

@@ -40,8 +40,13 @@ def _record_id(page_id, digest: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(_IDS, f'{page_id}/{digest}')}>"
 
 
+_CONTROLS = re.compile(r"[\x00-\x1f\x7f]")
+#: Own header that says that a URL's controls and per cent signs are per cent encoded; URLs without controls are written as they are.
+ESCAPED = "X-Target-URI-Escaped"
+
+
 def _line(value: str) -> str:
-    """A header's value: controls, which would end the line, per cent encoded."""
+    """A header's value whose controls would end the line: these and % per cent encoded."""
     return re.sub(r"[\x00-\x1f\x7f%]", lambda m: f"%{ord(m[0]):02X}", value)
 
 
@@ -55,7 +60,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     head = [("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", _record_id(page_id, digest)), ("WARC-Date", DATE), ("WARC-Payload-Digest", f"sha1:{digest}"), ("Content-Type", "application/http; msgtype=response")]
     if url is not None:
-        head.append(("WARC-Target-URI", _line(url)))
+        head += [("WARC-Target-URI", _line(url)), (ESCAPED, "yes")] if _CONTROLS.search(url) else [("WARC-Target-URI", url)]
     if page_id is not None:
         head.append(("X-Page-ID", page_id))
     if revisit:
@@ -80,7 +85,7 @@ def parse(data: bytes) -> dict:
         raise ValueError(f"payload of {fields['WARC-Record-ID']} doesn't match its headers")
     number = lambda k: int(fields[k]) if k in fields else None
     url = fields.get("WARC-Target-URI")
-    return {"page_id": number("X-Page-ID"), "url": None if url is None else _unline(url), "record_type": kind, "refers_to": number("X-Refers-To-Page-ID"), "payload_digest": digest, "payload_bytes": stated, "payload": payload if kind == "response" else None}
+    return {"page_id": number("X-Page-ID"), "url": _unline(url) if ESCAPED in fields else url, "record_type": kind, "refers_to": number("X-Refers-To-Page-ID"), "payload_digest": digest, "payload_bytes": stated, "payload": payload if kind == "response" else None}
 
 
 def split_records(chunks: Iterator[bytes]) -> Iterator[bytes]:
@@ -107,14 +112,17 @@ def split_records(chunks: Iterator[bytes]) -> Iterator[bytes]:
 
 
 def inflate(source) -> Iterator[bytes]:
-    """The bytes of a gzip file of one or more members, in portions of bounded size."""
-    pump = zlib.decompressobj(31)
+    """The bytes of a gzip file of one or more members, in portions of bounded size. A member without its end is an error."""
+    pump, inside = zlib.decompressobj(31), False
     while chunk := source.read(READ_BYTES):
         while chunk:
             yield pump.decompress(chunk, 4 * READ_BYTES)
+            inside = not pump.eof
             chunk = pump.unconsumed_tail or pump.unused_data
             if pump.eof:
                 pump = zlib.decompressobj(31)
+    if inside:
+        raise ValueError("the gzip stream is cut off")
 
 
 def write_monolithic(pages: DataFrame, out: str, level: int = 1, roll_bytes: int = ROLL_BYTES) -> DataFrame:
@@ -158,12 +166,13 @@ def _dealt(manifest: DataFrame) -> DataFrame:
 
 def normalise(manifest: DataFrame, out: str, level: int = 6) -> DataFrame:
     """Inflates each file once, as a stream, and rewrites every record as a gzip member of its own; a sidecar index lists
-    offset, length and record id of each, one a line. Returns the new manifest."""
+    offset, length and record id of each, one a line. Returns the new manifest. A file that is cut off, or whose records aren't as
+    many as the manifest states, raises an error."""
 
     def rewrite(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             done = []
-            for path in pdf["path"]:
+            for path, records in zip(pdf["path"], pdf["records"], strict=True):
                 where, base = fs.FileSystem.from_uri(out)
                 where.create_dir(base, recursive=True)
                 name = uuid.uuid4().hex
@@ -176,6 +185,8 @@ def normalise(manifest: DataFrame, out: str, level: int = 6) -> DataFrame:
                         sink.write(member)
                         index.write(f"{offset} {len(member)} {re.search(rb'WARC-Record-ID: ([^\r]*)', data)[1].decode()}\n".encode())
                         offset, n = offset + len(member), n + 1
+                if n != records:
+                    raise ValueError(f"{path} holds {n} records instead of {records}")
                 done.append((f"{out}/{name}.warc.gz", f"{out}/{name}.idx", n))
             yield pd.DataFrame(done, columns=["path", "index", "records"])
 

@@ -4,6 +4,9 @@ import gzip
 import io
 import itertools
 import random
+import re
+import time
+import zlib
 
 import pytest
 from pyarrow import fs
@@ -96,7 +99,97 @@ def test_long_and_hostile_pages():
         main_text(page)
 
 
-def test_minimum_cut():
+def made_pages(n, seed=5):
+    """Pages with a menu, adverts, a sidebar, an article and a footer of one vocabulary, and their articles' texts."""
+    r, out = random.Random(seed), []
+    line = lambda a, b: " ".join(f"w{r.randrange(300)}" for _ in range(r.randint(a, b)))
+    for _ in range(n):
+        body = [line(2, 6)] + [line(20, 60).capitalize() + "." if r.random() < 0.7 else line(1, 3) for _ in range(r.randint(3, 9))]
+        parts = "".join(f"<p>{x}</p>" if i else f"<h1>{x}</h1>" for i, x in enumerate(body))
+        cut = r.randint(0, 1)
+        nav = "".join(f"<li><a href=x>{line(1, 2)}</a></li>" for _ in range(r.randint(3, 6)))
+        aside = f"<aside><p>{line(15, 30)}.</p></aside>" if r.random() < 0.5 else ""
+        inner = f"<div class='ad'>{line(10, 20)}.</div>" if cut else ""
+        out.append((f"<html><head><title>{line(2, 4)}</title></head><body><nav><ul>{nav}</ul></nav><div class=ad>{line(8, 25)}.</div><article>{parts}{inner}</article>{aside}<footer>&copy; {line(3, 9)}</footer></body></html>", "\n".join(body)))
+    return out
+
+
+def test_fitted_extraction_of_held_out_pages(spark):
+    shown, unseen = made_pages(150), made_pages(60, 6)
+    model = html_extract.fit_blocks([p for p, _ in shown])
+    assert all(main_text(p, model) == want for p, want in unseen)
+    rows = [(i, "u", p) for i, (p, _) in enumerate(shown + unseen)]
+    got = {x.page_id: x.text for x in html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == want for i, (_, want) in enumerate(shown + unseen))
+    assert html_extract.fit_blocks([LONG, None, "<p>x</p>"]) is None and html_extract.fit_blocks([]) is None
+
+
+def test_the_cut_changes_labels_for_the_better():
+    """Held-out pages whose markup says nothing: no names, and every block of one kind."""
+    model = html_extract.fit_blocks([p for p, _ in made_pages(150)])
+    n = changed = right = right_without = 0
+    for page, want in made_pages(60, 6):
+        found, made = html_extract.blocks(page)
+        truth = [b.element.article and not b.element.marked for b in found]
+        assert "\n".join(b.text for b, t in zip(found, truth, strict=True) if t) == want
+        with_, without = (html_extract.labels(*html_extract.blocks(page), model, names=False, cut=cut) for cut in (True, False))
+        n += len(truth)
+        changed += sum(a != b for a, b in zip(with_, without, strict=True))
+        right += sum(a == b for a, b in zip(with_, truth, strict=True))
+        right_without += sum(a == b for a, b in zip(without, truth, strict=True))
+    print(f"the cut changes {changed} of {n} blocks; right with it {right / n:.4f}, without {right_without / n:.4f}")
+    assert changed > 0.01 * n and right > right_without
+
+
+def test_labels_come_through_maximum_flow(monkeypatch):
+    calls, flow = [], html_extract._max_flow
+    monkeypatch.setattr(html_extract, "_max_flow", lambda *a: calls.append(1) or flow(*a))
+    model = html_extract.fit_blocks([p for p, _ in made_pages(150)])
+    for page, _ in made_pages(60, 6):
+        html_extract.labels(*html_extract.blocks(page), model, names=False)
+    assert calls
+
+
+@pytest.mark.parametrize("page", ["<b>x</i>" * 100_000, "<b>" * 50_000 + "<h1></h1>" * 50_000, "<i><b>" * 50_000 + "</i>" * 50_000])
+def test_mismatched_tags_take_linear_time(page):
+    start = time.process_time()
+    html_extract.blocks(page)
+    assert time.process_time() - start < 3
+
+
+@pytest.mark.parametrize("inner, want", [
+    ("<svg/><p>More.</p>", "More."), ("<p>a <math><mi>x</mi></math> b</p>", "a x b"), ("<p>one</p><object>two", "one\ntwo"), ("<noscript><p>text</p></noscript>", "text"),
+    ("<p>one</p><select><option>two</select><p>three</p>", "one\nthree"), ("<p>one</p><script>two", "one"),
+])
+def test_embedded_elements(inner, want):
+    assert main_text(f"<article><p>{LONG}</p>{inner}</article>") == f"{LONG}\n{want}"
+
+
+@pytest.mark.parametrize("url", ["http://a/x%20y", "http://a/%0D%25", "http://a/x\ny%20", " http://a/é ", ""])
+def test_urls_are_archived_as_they_are(url):
+    data = warc.record(1, url, b"x")
+    assert warc.parse(data)["url"] == url
+    if "\n" not in url:
+        assert f"WARC-Target-URI: {url}\r\n".encode() in data
+
+
+def test_truncated_archives_are_found(spark, tmp_path):
+    rows = [(i, f"u{i}", random.Random(i).randbytes(300).hex()) for i in range(200)]
+    pages = warc.with_revisits(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1))
+    manifest = warc.write_monolithic(pages, f"file://{tmp_path}/m")
+    path = manifest.first().path.removeprefix("file://")
+    whole = open(path, "rb").read()
+    plain = zlib.decompressobj(31).decompress(whole)
+    at = [m.start() for m in re.finditer(rb"WARC/1\.1\r\n", plain)][100]
+    for damaged in (whole[:-8], whole[:-1], whole[: len(whole) // 2], gzip.compress(plain[:at])):
+        open(path, "wb").write(damaged)
+        with pytest.raises(Exception, match="cut off|holds 100 records|ends within"):
+            warc.normalise(manifest, f"file://{tmp_path}/n")
+
+
+@pytest.mark.parametrize("small", [0, 300])
+def test_minimum_cut(small, monkeypatch):
+    monkeypatch.setattr(html_extract, "SMALL", small)
     r = random.Random(3)
     for _ in range(400):
         n = r.randint(1, 8)

@@ -24,14 +24,14 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
 BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6"
-    " head header hgroup hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul".split()
+    " head header hgroup hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul datalist select template".split()
 )
 CLOSES = {
     "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("td", "th", "tr"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",),
     "tbody": ("td", "th", "tr", "thead", "tbody"), "tfoot": ("td", "th", "tr", "thead", "tbody"), "body": ("head",),
 }
 #: Start tags of these end an open paragraph.
-ENDS_P = BLOCK - {"button", "caption", "legend", "option", "tbody", "td", "tfoot", "th", "thead", "tr", "body", "html", "head"}
+ENDS_P = BLOCK - {"button", "caption", "datalist", "legend", "option", "select", "template", "tbody", "td", "tfoot", "th", "thead", "tr", "body", "html", "head"}
 SCOPE = frozenset("html body article section div td th table ul ol dl main aside nav header footer form blockquote button fieldset figure".split())
 
 #: Elements, roles and words of class or id that mark what isn't the article.

@@ -159,7 +159,7 @@ def test_mismatched_tags_take_linear_time(page):
 
 @pytest.mark.parametrize("inner, want", [
     ("<svg/><p>More.</p>", "More."), ("<p>a <math><mi>x</mi></math> b</p>", "a x b"), ("<p>one</p><object>two", "one\ntwo"), ("<noscript><p>text</p></noscript>", "text"),
-    ("<p>one</p><select><option>two</select><p>three</p>", "one\nthree"), ("<p>one</p><script>two", "one"),
+    ("<p>one</p><select><option>two</select><p>three</p>", "one\nthree"), ("<p>one <select><option>two</select> three</p>", "one\nthree"), ("<p>one</p><script>two", "one"),
 ])
 def test_embedded_elements(inner, want):
     assert main_text(f"<article><p>{LONG}</p>{inner}</article>") == f"{LONG}\n{want}"

@@ -1,12 +1,16 @@
 """Exact rational numbers: STRUCT<num: DECIMAL(38,0), den: DECIMAL(38,0)> with den > 0 and gcd(num, den) = 1; zero is 0/1.
 
 Every function takes and gives Columns and stays within the JVM. A NULL operand gives NULL. Numbers beyond 38 digits raise an
-error (ANSI mode), they never wrap. The canonical form makes struct equality exact, so rationals can be grouped and joined."""
+error (ANSI mode), they never wrap. The canonical form makes struct equality exact, so rationals can be grouped and joined.
+
+A float, or a column said to hold doubles by `real`, makes the result of + - * / a double and comparisons those of doubles. Any other
+column with a number that isn't whole raises an error; nothing is rounded."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from decimal import Decimal
+from fractions import Fraction
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -21,6 +25,13 @@ def _dec(c) -> Column:
     return (c if isinstance(c, Column) else F.lit(Decimal(c))).cast(DECIMAL)
 
 
+def exact(c) -> Column:
+    """A whole number as a decimal; a number with a fraction raises an error, as does a float."""
+    if isinstance(c, float):
+        raise TypeError(f"{c!r} is no exact number")
+    return F.when(c % 1 != 0, F.raise_error(F.format_string("%s is no whole number", c.cast("string"))).cast(DECIMAL)).otherwise(c.cast(DECIMAL)) if isinstance(c, Column) else _dec(c)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value computed once."""
     return F.element_at(F.transform(F.array(value), body), 1)
@@ -66,22 +77,28 @@ def frac(num, den=1) -> Column:
     if any(isinstance(x, float) for x in (num, den)):
         raise TypeError("a float is no exact number")
     if not marked(num) and not marked(den):
-        return reduced(_dec(num), _dec(den))
+        return reduced(exact(num), exact(den))
     return div(num, den)
 
 
 def whole(n) -> Column:
     """An integer as a rational, without a search for divisors; NULL stays NULL."""
-    n = _dec(n)
+    return known_whole(exact(n))
+
+
+def known_whole(n: Column) -> Column:
+    """whole, of a decimal column."""
     return mark(F.when(n.isNotNull(), _pair(n, F.lit(1))))
 
 
 def as_frac(x) -> Column:
-    """Python ints and integer columns become rationals; a column built by this module stays."""
+    """Python ints, Fractions and integer columns become rationals; a column built by this module stays."""
     if isinstance(x, bool) or isinstance(x, float):
         raise TypeError(f"{x!r} is no exact number")
     if isinstance(x, int):
         return whole(x)
+    if isinstance(x, Fraction):
+        return mark(_pair(_dec(x.numerator), _dec(x.denominator)))
     return x if marked(x) else whole(x)
 
 
@@ -95,6 +112,24 @@ def mark(c: Column) -> Column:
     return c
 
 
+def real(c: Column) -> Column:
+    """Says that a column holds doubles."""
+    c._is_real = True
+    return c
+
+
+def is_real(x) -> bool:
+    return isinstance(x, float) or isinstance(x, Column) and vars(x).get("_is_real") is True
+
+
+def _doubles(a, b) -> tuple[Column, Column] | None:
+    """Both as doubles if one of them is a float or a column of doubles."""
+    if not is_real(a) and not is_real(b):
+        return None
+    a, b = (F.lit(x) if isinstance(x, float) else x.cast("double") if is_real(x) else to_double(x) for x in (a, b))
+    return a, b
+
+
 def reduced(num: Column, den: Column, zero: str = "error") -> Column:
     """num / den of two decimals in lowest terms."""
     bad = F.raise_error(F.lit("division by zero")).cast(TYPE) if zero == "error" else F.lit(None).cast(TYPE)
@@ -127,28 +162,38 @@ def abs_(a) -> Column:
 
 
 def add(a, b) -> Column:
+    if d := _doubles(a, b):
+        return real(d[0] + d[1])
     a, b = as_frac(a), as_frac(b)
     return reduced(a["num"] * b["den"] + b["num"] * a["den"], a["den"] * b["den"])
 
 
 def sub(a, b) -> Column:
+    if d := _doubles(a, b):
+        return real(d[0] - d[1])
     a, b = as_frac(a), as_frac(b)
     return reduced(a["num"] * b["den"] - b["num"] * a["den"], a["den"] * b["den"])
 
 
 def mul(a, b) -> Column:
+    if d := _doubles(a, b):
+        return real(d[0] * d[1])
     a, b = as_frac(a), as_frac(b)
     return reduced(a["num"] * b["num"], a["den"] * b["den"])
 
 
 def div(a, b) -> Column:
     """Division by zero raises an error; 0 / b is 0."""
+    if d := _doubles(a, b):
+        return real(d[0] / d[1])
     a, b = as_frac(a), as_frac(b)
     return reduced(a["num"] * b["den"], a["den"] * b["num"])
 
 
 def try_div(a, b) -> Column:
     """Division by zero gives NULL."""
+    if d := _doubles(a, b):
+        return real(F.try_divide(*d))
     a, b = as_frac(a), as_frac(b)
     return reduced(a["num"] * b["den"], a["den"] * b["num"], zero="null")
 
@@ -159,11 +204,15 @@ def to_double(a) -> Column:
 
 
 def _cross(a, b) -> tuple[Column, Column]:
+    if d := _doubles(a, b):
+        return d
     a, b = as_frac(a), as_frac(b)
     return a["num"] * b["den"], b["num"] * a["den"]
 
 
 def eq(a, b) -> Column:
+    if d := _doubles(a, b):
+        return d[0] == d[1]
     a, b = as_frac(a), as_frac(b)
     return (a["num"] == b["num"]) & (a["den"] == b["den"])
 

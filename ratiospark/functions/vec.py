@@ -107,7 +107,7 @@ def get(v: Column, index: int) -> Column:
 
 def to_frac(v: Column) -> Column:
     """Integers to rationals."""
-    return F.transform(v, lambda x: frac.whole(x))
+    return F.transform(v, frac.whole)
 
 
 def centred(s: Column, width: Column) -> Column:

@@ -100,12 +100,14 @@ def inverse(rows: Rows) -> Rows:
     return [r[n:] for r in eliminate(wide, 2 * n, reduce=True).rows]
 
 
-def _matrix(num: list, den: list, cols: int) -> Rows:
-    cells = [Fraction(int(p), int(q)) for p, q in zip(num, den, strict=True)]
+def _matrix(num: list, den: list, cols: int, real: bool) -> Rows:
+    cells = [Fraction(float(p)) if real else Fraction(int(p), int(q)) for p, q in zip(num, den, strict=True)]
     return [cells[k : k + cols] for k in range(0, len(cells), cols)]
 
 
-def _flat(rows: Rows) -> tuple[list[str], list[str]]:
+def _flat(rows: Rows, real: bool) -> tuple[list[str], list[str]]:
+    if real:
+        return [repr(float(x)) for r in rows for x in r], ["1" for r in rows for _ in r]
     return [str(x.numerator) for r in rows for x in r], [str(x.denominator) for r in rows for x in r]
 
 
@@ -113,22 +115,23 @@ def _flat(rows: Rows) -> tuple[list[str], list[str]]:
 OUT = "matrix_id long, part string, step int, op string, label string, n_rows int, n_cols int, augment int, pivots array<int>, num array<string>, den array<string>"
 
 
-def kernel(what: str):
-    """mapInPandas function over (matrix_id, n_rows, n_cols, augment, num, den) for what: ref, rref, plu, lower, inverse or trace."""
+def kernel(what: str, real: bool = False):
+    """mapInPandas function over (matrix_id, n_rows, n_cols, augment, num, den) for what: ref, rref, plu, lower, inverse, trace (of
+    rref) or ref trace. real: the numbers are doubles, and so are the results."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
             for m, _, cols, augment, num, den in zip(*[pdf[c] for c in ("matrix_id", "n_rows", "n_cols", "augment", "num", "den")], strict=True):
-                rows = _matrix(num, den, int(cols))
+                rows = _matrix(num, den, int(cols), real)
                 parts: list[tuple] = []
                 if what == "inverse":
                     parts.append(("inverse", 0, None, None, inverse(rows), len(rows), None))
                 else:
-                    r = eliminate(rows, int(augment), reduce=what in ("rref", "trace"), trace=what == "trace")
+                    r = eliminate(rows, int(augment), reduce=what in ("rref", "trace"), trace=what.endswith("trace"))
                     if what in ("ref", "rref"):
                         parts.append((what, 0, None, None, r.rows, augment, r.pivots))
-                    elif what == "trace":
+                    elif what.endswith("trace"):
                         parts += [("trace", k, op, label, a, augment, None) for k, (op, label, a) in enumerate(r.steps, 1)]
                     else:
                         n = len(rows)
@@ -141,7 +144,7 @@ def kernel(what: str):
                                 back[k] = r.lower[i]
                             parts += [("lower", 0, None, None, back, n, None), ("U", 0, None, None, r.rows, augment, r.pivots)]
                 for part, step, op, label, a, line, pivots in parts:
-                    out.append((m, part, step, op, label, len(a), len(a[0]), int(line), pivots, *_flat(a)))
+                    out.append((m, part, step, op, label, len(a), len(a[0]), int(line), pivots, *_flat(a, real)))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in OUT.split(", ")])
 
     return run

@@ -6,13 +6,14 @@ stored. augment is the first column of constants, n_cols when there are none. Po
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Sequence
+from fractions import Fraction
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import frac, vec
-from ..functions.arith import FRAC, KINDS, Arith
+from ..functions.arith import DOUBLE, FRAC, KINDS, Arith
 from . import bareiss, elimination
 
 ID = "matrix_id"
@@ -75,20 +76,33 @@ class MatrixFrame:
     def to_fraction(self) -> MatrixFrame:
         if self.kind is FRAC:
             return self
-        if self.kind.name == "double":
+        if self.kind is DOUBLE:
             raise TypeError("doubles are no exact numbers")
-        return self._with(self.cells.withColumn("val", frac.whole(F.col("val"))), kind=FRAC)
+        return self._with(self.cells.withColumn("val", frac.known_whole(F.col("val"))), kind=FRAC)
+
+    def to_double(self) -> MatrixFrame:
+        val = F.col("val")
+        return self._with(self.cells.withColumn("val", frac.to_double(frac.mark(val)) if self.kind is FRAC else val.cast("double")), kind=DOUBLE)
 
     def _lift(self, other: MatrixFrame) -> tuple[MatrixFrame, MatrixFrame]:
+        """Both of one kind: doubles if one is of doubles, else rationals if one is of rationals."""
         if self.kind is other.kind:
             return self, other
+        if DOUBLE in (self.kind, other.kind):
+            return self.to_double(), other.to_double()
         return self.to_fraction(), other.to_fraction()
 
-    def scale(self, k: Column | int) -> MatrixFrame:
-        """Every cell times k, an integer or, for rationals, also a rational column."""
-        if frac.marked(k) and self.kind is not FRAC:
+    def scale(self, k: Column | int | float | Fraction) -> MatrixFrame:
+        """Every cell times k. A Fraction or a rational column gives rationals, a float or a column of doubles (frac.real) doubles; any
+        other column must hold whole numbers."""
+        if frac.is_real(k) and self.kind is not DOUBLE:
+            return self.to_double().scale(k)
+        if (frac.marked(k) or isinstance(k, Fraction)) and self.kind.name == "int":
             return self.to_fraction().scale(k)
-        k = k if isinstance(k, Column) else self.kind.lit(k)
+        if self.kind is DOUBLE:
+            k = (frac.to_double(k) if frac.marked(k) else k.cast("double")) if isinstance(k, Column) else self.kind.lit(k)
+        else:
+            k = self.kind.lit(k)
         return self._with(self.cells.withColumn("val", self.kind.mul(F.col("val"), k)))
 
     def negate(self) -> MatrixFrame:
@@ -213,6 +227,20 @@ class MatrixFrame:
         """May cross the line before the constants."""
         return self._swapped("j", "n_cols", a, b)
 
+    def _beside(self, lines: Sequence, column: bool) -> MatrixFrame:
+        """A line of numbers, or several, as rows or columns of a matrix for each of this frame's."""
+        from ..sources.builders import kind_of
+
+        lines = [list(x) for x in lines] if lines and isinstance(lines[0], (list, tuple)) else [list(lines)]
+        if not lines[0] or any(len(x) != len(lines[0]) for x in lines):
+            raise ValueError("lines are ragged or empty")
+        kind = KINDS[kind_of([x for line in lines for x in line])]
+        places = ("j", "i") if column else ("i", "j")
+        cells = F.array(*[F.struct(F.lit(a).alias(places[0]), F.lit(b).alias(places[1]), kind.lit(x).alias("val")) for a, line in enumerate(lines) for b, x in enumerate(line)])
+        n, m = (len(lines[0]), len(lines)) if column else (len(lines), len(lines[0]))
+        head = self.header.select(ID, F.lit(n).alias("n_rows"), F.lit(m).alias("n_cols"), F.lit(m).alias("augment"))
+        return MatrixFrame(self.header.select(ID, F.inline(cells)).select(ID, "i", "j", "val"), head, kind.name)
+
     def _inserted(self, other: MatrixFrame, pos: int, axis: str, size: str, across: str) -> MatrixFrame:
         a, b = self._lift(other)
         head = a.header.join(b.header.select(ID, F.col(size).alias("k"), F.col(across).alias("across_b")), ID)
@@ -226,12 +254,13 @@ class MatrixFrame:
         keep = [ID, "i", "j", "val"]
         return MatrixFrame(old.select(*keep).unionByName(new.select(*keep)), head, a.kind.name)
 
-    def insert_rows(self, other: MatrixFrame, *, pos: int = -1) -> MatrixFrame:
-        return self._inserted(other, pos, "i", "n_rows", "n_cols")
+    def insert_rows(self, other: MatrixFrame | Sequence, *, pos: int = -1) -> MatrixFrame:
+        """other: matrices of equal ids, or a row of numbers, or a list of such rows, which every matrix gets."""
+        return self._inserted(other if isinstance(other, MatrixFrame) else self._beside(other, False), pos, "i", "n_rows", "n_cols")
 
-    def insert_cols(self, other: MatrixFrame, *, pos: int = -1) -> MatrixFrame:
-        """A line at or after pos moves along."""
-        return self._inserted(other, pos, "j", "n_cols", "n_rows")
+    def insert_cols(self, other: MatrixFrame | Sequence, *, pos: int = -1) -> MatrixFrame:
+        """other: as for insert_rows, with columns. A line at or after pos moves along."""
+        return self._inserted(other if isinstance(other, MatrixFrame) else self._beside(other, True), pos, "j", "n_cols", "n_rows")
 
     def identity(self) -> MatrixFrame:
         """The identity of as many rows."""
@@ -242,26 +271,27 @@ class MatrixFrame:
     # elimination
 
     def _eliminated(self, what: str) -> DataFrame:
-        if self.kind.name == "double":
-            raise TypeError("elimination needs exact numbers")
+        """The kernel's rows. Doubles are eliminated exactly, as the binary fractions that they are, and rounded once at the end."""
         whole = self.kind is not FRAC
         num = F.col("val") if whole else F.col("val.num")
         den = F.lit(1) if whole else F.col("val.den")
         flat = self.cells.groupBy(ID).agg(F.array_sort(F.collect_list(F.struct("i", "j", num.cast("string").alias("p"), den.cast("string").alias("q")))).alias("c"))
         given = self.header.join(flat, ID).select(ID, "n_rows", "n_cols", "augment", F.col("c.p").alias("num"), F.col("c.q").alias("den"))
-        return given.mapInPandas(elimination.kernel(what), elimination.OUT)
+        return given.mapInPandas(elimination.kernel(what, self.kind is DOUBLE), elimination.OUT)
 
-    @staticmethod
-    def _unpacked(out: DataFrame) -> DataFrame:
+    def _unpacked(self, out: DataFrame) -> DataFrame:
         """part, matrix_id, i, j, val. Numbers of over 38 digits raise an error here; the kernel's texts have them."""
         cells = out.select("part", ID, "n_cols", F.posexplode(F.arrays_zip("num", "den")).alias("k", "v"))
-        val = F.struct(F.col("v.num").cast(frac.DECIMAL).alias("num"), F.col("v.den").cast(frac.DECIMAL).alias("den"))
+        pair = F.struct(F.col("v.num").cast(frac.DECIMAL).alias("num"), F.col("v.den").cast(frac.DECIMAL).alias("den"))
+        val = F.col("v.num").cast("double") if self.kind is DOUBLE else pair
         return cells.select("part", ID, F.floor(F.col("k") / F.col("n_cols")).cast("int").alias("i"), (F.col("k") % F.col("n_cols")).alias("j"), val.alias("val"))
 
-    @classmethod
-    def _frames(cls, out: DataFrame, part: str) -> MatrixFrame:
-        mine = out.filter(F.col("part") == part)
-        return MatrixFrame(cls._unpacked(mine).drop("part"), mine.select(ID, "n_rows", "n_cols", "augment"), "frac")
+    def _frames(self, out: DataFrame, part: str) -> MatrixFrame:
+        """One part of the kernel's rows. Sizes come from this frame's, so that reading them doesn't run the kernel once more."""
+        head = self.header
+        if part in ("P", "L", "lower", "inverse"):
+            head = head.select(ID, "n_rows", F.col("n_rows").alias("n_cols"), F.col("n_rows").alias("augment"))
+        return MatrixFrame(self._unpacked(out.filter(F.col("part") == part)).drop("part"), head, "double" if self.kind is DOUBLE else "frac")
 
     def ref(self) -> MatrixFrame:
         return self._frames(self._eliminated("ref"), "ref")
@@ -303,9 +333,10 @@ class MatrixFrame:
         """The inverse; for a singular matrix an invertible E with E A = rref(A). A line before constants doesn't count."""
         return self._frames(self._with(header=self._plain(self.header))._eliminated("inverse"), "inverse")
 
-    def trace(self) -> DataFrame:
-        """matrix_id, step, op, label, num, den: the steps to the reduced form, and all numbers after each, in row order."""
-        return self._eliminated("trace").select(ID, "step", "op", "label", "n_cols", "num", "den")
+    def trace(self, reduced: bool = True) -> DataFrame:
+        """matrix_id, step, op, label, num, den: the steps to the reduced form, or to the echelon form alone, and all numbers after each,
+        in row order."""
+        return self._eliminated("trace" if reduced else "ref trace").select(ID, "step", "op", "label", "n_cols", "num", "den")
 
     # text
 
@@ -324,13 +355,3 @@ class MatrixFrame:
         rows = F.transform("m", lambda r: F.concat(F.lit("["), F.array_join(F.transform(r, lambda x: kind.repr(x)), ", "), F.lit("]")))
         tail = F.when(F.col("augment") < F.col("n_cols"), F.concat(F.lit(", "), F.col("augment").cast("string"))).otherwise("")
         return self.dense().select(ID, F.concat(F.lit("Matrix(["), F.array_join(rows, ", "), F.lit("]"), tail, F.lit(")")).alias("text"))
-
-
-def product(frames: list[MatrixFrame]) -> MatrixFrame:
-    """Left to right; see plans.chain for an order by cost."""
-    return reduce(MatrixFrame.matmul, frames)
-
-
-def numbered(df: DataFrame, partition: str, order: list[str]) -> Column:
-    """Dense positions from 0 within a partition."""
-    return F.row_number().over(Window.partitionBy(partition).orderBy(*order)) - 1

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import frac, vec
-from ..functions.arith import INT
+from ..functions.arith import DOUBLE, INT
 from ..operators.matrix import ID, MatrixFrame
-from ..sources.builders import from_dense, from_table, scaled_identity
+from ..sources.builders import from_dense, from_table, scaled_identity, vector
 from ..streaming.gram import gram_cells
 from .chain import chain_product
 
@@ -66,8 +66,8 @@ def vectors(spark, sf_dir) -> DataFrame:
 
 
 def _cells(m: MatrixFrame) -> DataFrame:
-    if m.kind is INT:
-        return m.cells.select(ID, F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), F.col("val").cast("long").alias("val"))
+    if m.kind is INT or m.kind is DOUBLE:
+        return m.cells.select(ID, F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), F.col("val").cast("long" if m.kind is INT else "double").alias("val"))
     return m.cells.select(ID, F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), F.col("val.num").cast("long").alias("num"), F.col("val.den").cast("long").alias("den"))
 
 
@@ -123,6 +123,12 @@ def frac_div(spark, sf_dir):
     return r.select(*KEYS, frac.div(frac.mark(F.col("b")), frac.mark(F.col("a"))).alias("x")).select(*_out(F.col("x"), *KEYS))
 
 
+@query(f"WITH {F_SQL} SELECT l_orderkey, l_linenumber, CAST(n1 // gcd(n1, d1) AS DOUBLE) / CAST(d1 // gcd(n1, d1) AS DOUBLE) + CAST(0.5 AS DOUBLE) AS val FROM L")
+def frac_add_float(spark, sf_dir):
+    r = rationals(spark, sf_dir).select(*KEYS, frac.frac(F.col("n1"), F.col("d1")).alias("a"))
+    return r.select(*KEYS, frac.add(frac.mark(F.col("a")), 0.5).alias("val"))
+
+
 @query(f"WITH {F_SQL} SELECT l_orderkey, l_linenumber, CAST((-n2) // gcd(n2, d2) AS BIGINT) AS neg_num, CAST(abs(n2) // gcd(n2, d2) AS BIGINT) AS abs_num, CAST(d2 // gcd(n2, d2) AS BIGINT) AS den FROM L")
 def frac_neg_abs(spark, sf_dir):
     r = rationals(spark, sf_dir).select(*KEYS, frac.frac(F.col("n2"), F.col("d2")).alias("b"))
@@ -201,6 +207,12 @@ def mat_diag(spark, sf_dir):
     return _cells(scaled_identity(sizes, 7))
 
 
+@query("SELECT l_orderkey, string_agg(CAST(CAST(l_quantity AS BIGINT) AS VARCHAR), ',' ORDER BY l_linenumber, CAST(l_quantity AS BIGINT)) AS text FROM lineitem GROUP BY 1")
+def vec_from_table(spark, sf_dir):
+    t = _table(spark, sf_dir, "lineitem")
+    return vector(t, "l_orderkey", F.col("l_linenumber"), F.col("l_quantity").cast("long")).select("l_orderkey", _joined(F.col("v")).alias("text"))
+
+
 # 2.B positions
 
 
@@ -326,6 +338,17 @@ def mat_scalar_frac(spark, sf_dir):
     return _cells(S(spark, sf_dir).scale(frac.frac(2, 6)))
 
 
+@query(f"WITH {S_SQL} SELECT matrix_id, i, j, CAST(val AS DOUBLE) * CAST(0.5 AS DOUBLE) AS val FROM S")
+def mat_scalar_float(spark, sf_dir):
+    return _cells(S(spark, sf_dir).scale(0.5))
+
+
+@query(f"WITH {S_SQL} SELECT a.matrix_id, a.i, b.j, CAST(SUM(a.val * b.val) AS DOUBLE) / 2 AS val FROM S a JOIN S b ON a.matrix_id = b.matrix_id AND a.j = b.i GROUP BY 1, 2, 3")
+def mat_mixed_product(spark, sf_dir):
+    s = S(spark, sf_dir)
+    return _cells(s.matmul(s.scale(0.5)))
+
+
 @query(f"WITH {S_SQL} SELECT matrix_id, CAST(SUM(val) AS BIGINT) AS val FROM S GROUP BY 1")
 def mat_sum(spark, sf_dir):
     return S(spark, sf_dir).sum().select(ID, F.col("val").cast("long").alias("val"))
@@ -390,6 +413,13 @@ def vec_div_scalar(spark, sf_dir):
     return vectors(spark, sf_dir).select("vec_id", F.array_join(F.transform(quotient, lambda x: F.concat_ws("/", x["num"].cast("string"), x["den"].cast("string"))), ",").alias("text"))
 
 
+@query(f"WITH {V_SQL}, E AS (SELECT vec_id, list_transform(v, lambda x: CASE WHEN x = 0 THEN 1 ELSE x END) AS v FROM V) SELECT vec_id, list_aggregate(list_transform(range(len(v)), lambda i: CAST(sign(v[i + 1]) * 6 // gcd(v[i + 1], 6) AS VARCHAR) || '/' || CAST(abs(v[i + 1]) // gcd(v[i + 1], 6) AS VARCHAR)), 'string_agg', ',') AS text FROM E")
+def vec_rdiv_scalar(spark, sf_dir):
+    safe = F.transform("v", lambda x: F.when(x == 0, 1).otherwise(x).cast(frac.DECIMAL))
+    quotient = vec.rdiv_scalar(F.lit(6), safe, INT)
+    return vectors(spark, sf_dir).select("vec_id", F.array_join(F.transform(quotient, lambda x: F.concat_ws("/", x["num"].cast("string"), x["den"].cast("string"))), ",").alias("text"))
+
+
 @query(f"WITH {V_SQL}, E AS (SELECT vec_id, v, list_transform(w, lambda x: CASE WHEN x = 0 THEN 1 ELSE x END) AS w FROM V) SELECT vec_id, list_aggregate(list_transform(range(len(v)), lambda i: CAST((sign(w[i + 1]) * v[i + 1]) // gcd(v[i + 1], w[i + 1]) AS VARCHAR) || '/' || CAST(abs(w[i + 1]) // gcd(v[i + 1], w[i + 1]) AS VARCHAR)), 'string_agg', ',') AS text FROM E")
 def vec_div(spark, sf_dir):
     safe = F.transform("w", lambda x: F.when(x == 0, 1).otherwise(x).cast(frac.DECIMAL))
@@ -402,16 +432,8 @@ def vec_dot(spark, sf_dir):
     return vectors(spark, sf_dir).select("vec_id", vec.dot(F.col("v"), F.col("w"), INT).cast("long").alias("val"))
 
 
-@query(f"WITH {V_SQL} SELECT vec_id, CAST(a.range AS INTEGER) AS i, CAST(b.range AS INTEGER) AS j, v[a.range + 1] * w[b.range + 1] AS val FROM V, range(8) a, range(8) b")
+@query(f"WITH {V_SQL} SELECT vec_id, CAST(a.range AS INTEGER) AS i, CAST(b.range AS INTEGER) AS j, v[a.range + 1] * w[b.range + 1] AS val FROM V JOIN range(4096) a ON a.range < len(v) JOIN range(4096) b ON b.range < len(w)")
 def vec_outer(spark, sf_dir):
-    cut = lambda c: vec.slice_(F.col(c), 0, 8)
-    rows = vectors(spark, sf_dir).select("vec_id", F.posexplode(vec.outer(cut("v"), cut("w"), INT)).alias("i", "r"))
-    return rows.select("vec_id", "i", F.posexplode("r").alias("j", "val")).withColumn("val", F.col("val").cast("long"))
-
-
-@query()
-def vec_outer_whole(spark, sf_dir):
-    """All products of v and w; vec_outer gives those of their first eight elements, as its SQL does."""
     rows = vectors(spark, sf_dir).select("vec_id", F.posexplode(vec.outer(F.col("v"), F.col("w"), INT)).alias("i", "r"))
     return rows.select("vec_id", "i", F.posexplode("r").alias("j", "val")).withColumn("val", F.col("val").cast("long"))
 
@@ -508,6 +530,54 @@ def mat_pinv_singular(spark, sf_dir):
     return wrong.join(e.pivots().select(ID, F.col("rank").alias("rank_e")), ID)
 
 
+def _placed(spark, sf_dir, places: list[list[tuple[int, int] | None]]) -> MatrixFrame:
+    """S with its cells at other places; None is a zero."""
+    cell = lambda p: F.lit(0).cast(frac.DECIMAL) if p is None else F.get(F.get("m", F.lit(p[0])), F.lit(p[1]))
+    rows = F.array(*[F.array(*[cell(p) for p in r]) for r in places])
+    return from_dense(S(spark, sf_dir).dense().select(ID, rows.alias("m")))
+
+
+#: A tall matrix: a zero on top of the first column, and a row of zeros.
+_TALL = [[None, (0, 1), (0, 2)], [None, None, None], [(2, 0), (2, 1), (2, 2)], [(1, 0), (1, 1), (1, 2)]]
+#: Where its rows end: the lowest comes up, then the zeros change places with the last row.
+_ORDER = [3, 0, 2, 1]
+_AHEAD, _REST = "(a10 * a21 - a20 * a11)", "(a10 * a22 - a20 * a12)"
+_TALL_U = [(0, 0, "a10", "1"), (0, 1, "a11", "1"), (0, 2, "a12", "1"), (1, 0, "0", "1"), (1, 1, "a01", "1"), (1, 2, "a02", "1"), (2, 0, "0", "1"), (2, 1, "0", "1"), (2, 2, f"({_REST} * a01 - {_AHEAD} * a02)", "(a10 * a01)"), *[(3, j, "0", "1") for j in range(3)]]
+_TALL_BELOW = {(2, 0): ("a20", "a10"), (2, 1): (_AHEAD, "(a10 * a01)")}
+_TALL_L = [(i, j, *_TALL_BELOW.get((i, j), ("1" if i == j else "0", "1"))) for i in range(4) for j in range(4)]
+_TALL_P = [(i, j, "1" if j == _ORDER[i] else "0", "1") for i in range(4) for j in range(4)]
+
+
+@query(" UNION ALL ".join(f"SELECT '{part}' AS part, * FROM ({_cells_sql(_int(cells))}) x" for part, cells in (("P", _TALL_P), ("L", _TALL_L), ("U", _TALL_U))))
+def mat_plu_swaps(spark, sf_dir):
+    """P, L and U of a tall matrix that needs two changes of rows and has a row of zeros."""
+    cells = _placed(spark, sf_dir, _TALL).factors()
+    return cells.select("part", ID, "i", "j", F.col("val.num").cast("long").alias("num"), F.col("val.den").cast("long").alias("den"))
+
+
+@query(_cells_sql(_int([(_ORDER[i], j, n, d) for i, j, n, d in _TALL_L])))
+def mat_lower_swaps(spark, sf_dir):
+    return _cells(_placed(spark, sf_dir, _TALL).lower())
+
+
+@query(_cells_sql(_int(_TALL_U)))
+def mat_ref_swaps(spark, sf_dir):
+    return _cells(_placed(spark, sf_dir, _TALL).ref())
+
+
+@query(_cells_sql(_int([(0, 0, "0", "1"), (0, 1, "1", "1"), (0, 2, "0", "1"), (0, 3, "(a12 * a00 - a11 * a01)", "(a10 * a00)"), (1, 0, "0", "1"), (1, 1, "0", "1"), (1, 2, "1", "1"), (1, 3, "a01", "a00"), *[(2, j, "0", "1") for j in range(4)]])))
+def mat_rref_wide(spark, sf_dir):
+    """The reduced form of a wide matrix with a column of zeros, a row twice and a change of rows."""
+    wide = [[None, None, (0, 0), (0, 1)], [None, (1, 0), (1, 1), (1, 2)], [None, None, (0, 0), (0, 1)]]
+    return _cells(_placed(spark, sf_dir, wide).rref())
+
+
+@query(f"WITH U AS ({_cells_sql(_int(_U))}) SELECT matrix_id, i, j, CAST(num AS DOUBLE) / CAST(den AS DOUBLE) / 2 AS val FROM U")
+def mat_ref_double(spark, sf_dir):
+    """The echelon form of a matrix of doubles."""
+    return _cells(S(spark, sf_dir).scale(0.5).ref())
+
+
 @query(f"WITH {W_SQL} SELECT matrix_id, CAST(CASE WHEN {DET} <> 0 THEN 3 END AS INTEGER) AS rank FROM W")
 def mat_rank(spark, sf_dir):
     return S(spark, sf_dir).pivots().select(ID, "rank")

@@ -12,7 +12,8 @@ from ..functions import frac
 from ..operators.matrix import ID, MatrixFrame
 
 
-def _kind(cells) -> str:
+def kind_of(cells) -> str:
+    """The kind of number that holds all of them."""
     if any(isinstance(x, float) for x in cells):
         return "double"
     return "frac" if any(isinstance(x, Fraction) for x in cells) else "int"
@@ -21,7 +22,7 @@ def _kind(cells) -> str:
 def from_literals(spark: SparkSession, matrices: dict[int, Sequence[Sequence]], augment: dict[int, int] | None = None) -> MatrixFrame:
     """matrix_id -> rows of ints, Fractions or floats. Ragged and empty matrices raise an error."""
     cells, heads = [], []
-    kind = _kind([x for m in matrices.values() for r in m for x in r])
+    kind = kind_of([x for m in matrices.values() for r in m for x in r])
     for key, rows in matrices.items():
         if not rows or not rows[0] or any(len(r) != len(rows[0]) for r in rows):
             raise ValueError(f"matrix {key} is ragged or empty")
@@ -39,7 +40,7 @@ def from_literals(spark: SparkSession, matrices: dict[int, Sequence[Sequence]],
 def from_table(df: DataFrame, matrix_id: Column, i: Column, j: Column, value: Column, kind: str = "int") -> MatrixFrame:
     """Cells are sums of value over the rows of one place; sizes are the largest positions plus one."""
     cells = df.groupBy(matrix_id.cast("long").alias(ID), i.cast("int").alias("i"), j.cast("int").alias("j")).agg(F.sum(value).alias("val"))
-    cells = cells.withColumn("val", F.col("val").cast(frac.DECIMAL if kind == "int" else "double"))
+    cells = cells.withColumn("val", frac.exact(F.col("val")) if kind == "int" else F.col("val").cast("double"))
     head = cells.groupBy(ID).agg((F.max("i") + 1).alias("n_rows"), (F.max("j") + 1).alias("n_cols")).withColumn("augment", F.col("n_cols"))
     return MatrixFrame(cells, head, kind)
 
@@ -50,7 +51,7 @@ def from_dense(df: DataFrame, m: str = "m", kind: str = "int", augment: Column |
     df = df.filter(F.when(rect, True).otherwise(F.raise_error(F.lit("a matrix is ragged or empty")).cast("boolean")))
     cells = df.select(ID, F.posexplode(m).alias("i", "r")).select(ID, "i", F.posexplode("r").alias("j", "val"))
     if kind == "int":
-        cells = cells.withColumn("val", F.col("val").cast(frac.DECIMAL))
+        cells = cells.withColumn("val", frac.exact(F.col("val")))
     width = F.size(F.get(m, F.lit(0)))
     return MatrixFrame(cells, df.select(ID, F.size(m).alias("n_rows"), width.alias("n_cols"), F.coalesce(augment if augment is not None else F.lit(None).cast("int"), width).alias("augment")), kind)
 
@@ -64,5 +65,5 @@ def scaled_identity(sizes: DataFrame, k: int = 1) -> MatrixFrame:
 
 
 def vector(df: DataFrame, key: str, idx: Column, value: Column) -> DataFrame:
-    """(key, v): values in the order of idx."""
+    """(key, v): values in the order of idx, of equal idx by value."""
     return df.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(idx.alias("i"), value.alias("x")))), lambda s: s["x"]).alias("v"))

@@ -45,6 +45,20 @@ def test_division(spark):
         frac.frac(0.5)
 
 
+def test_floats_promote_and_fractions_are_refused(spark):
+    one, half = spark.range(1), Fraction(1, 2)
+    third, x = frac.frac(1, 3), frac.real(F.lit(0.5))
+    got = one.select(
+        frac.add(third, 0.5).alias("a"), frac.sub(0.5, third).alias("b"), frac.mul(third, x).alias("c"), frac.div(third, 0.25).alias("d"), frac.add(frac.add(1, 0.5), third).alias("e"),
+        frac.lt(third, 0.5).alias("f"), frac.eq(frac.frac(1, 2), x).alias("g"), frac.try_div(third, 0.0).alias("h"), frac.add(half, third).alias("i"),
+    ).first()
+    assert tuple(got)[:8] == (1 / 3 + 0.5, 0.5 - 1 / 3, 1 / 3 * 0.5, 1 / 3 / 0.25, 1.5 + 1 / 3, True, True, None) and value(got.i) == Fraction(5, 6)
+    for bad in (frac.frac(F.lit(0.5)), frac.add(third, F.lit(0.5)), frac.frac(1, F.lit(Decimal("2.50"))), frac.whole(F.lit(float("nan")))):
+        with pytest.raises(Exception, match="is no whole number"):
+            one.select(bad).collect()
+    assert value(one.select(frac.frac(F.lit(4.0), F.lit(Decimal("6.00"))).alias("x")).first().x) == Fraction(2, 3)
+
+
 def test_long_numbers_and_overflow(spark):
     big = Decimal("12345678901234567890123456789012345670")
     df = spark.createDataFrame([(big,)], "n decimal(38,0)")

@@ -144,6 +144,54 @@ def test_trace(spark):
     assert [tuple(r) for r in got] == [("swap", "R1 <-> R2"), ("scale", "1/2R2"), ("add", "R1 - R2"), ("scale", "1/3R1")]
 
 
+def test_trace_of_the_echelon_form_alone(spark):
+    m = from_literals(spark, {1: [[0, 2], [3, 1]], 2: [[2, 1], [1, 1]]})
+    got = m.trace(reduced=False).orderBy(ID, "step").select(ID, "op", "label").collect()
+    assert [tuple(r) for r in got] == [(1, "swap", "R1 <-> R2"), (2, "add", "R2 - 1/2R1")]
+
+
+def test_floats(spark):
+    whole, part = from_literals(spark, {1: [[1, 2], [3, 4]]}), from_literals(spark, {1: [[Q(1, 2), Q(1, 3)], [0, 2]]})
+    assert values(whole.scale(0.5)) == [[0.5, 1.0], [1.5, 2.0]] and values(part.scale(0.5)) == [[0.25, 1 / 3 * 0.5], [0.0, 1.0]]
+    assert values(whole.scale(Q(1, 2))) == values(part.scale(Q(1, 2)).scale(0).plus(whole.scale(Q(1, 2)))) == [[Q(1, 2), 1], [Q(3, 2), 2]]
+    assert values(whole.scale(frac.real(F.lit(0.5)))) == values(whole.scale(0.5)) and whole.scale(0.5).kind.name == "double"
+    for m in (whole, part):
+        with pytest.raises(Exception, match="is no whole number"):
+            m.scale(F.lit(0.5)).cells.collect()
+    real = from_literals(spark, {1: [[0.5, 0.0], [0.0, 2.0]]})
+    assert values(whole.matmul(real)) == [[0.5, 4.0], [1.5, 8.0]] and values(real.matmul(part)) == [[0.25, 1 / 3 * 0.5], [0.0, 4.0]]
+    assert values(whole.plus(real)) == [[1.5, 2.0], [3.0, 6.0]] and values(real.scale(frac.frac(1, 2))) == [[0.25, 0.0], [0.0, 1.0]]
+    with pytest.raises(TypeError):
+        real.to_fraction()
+
+
+def test_elimination_of_doubles(spark):
+    m = from_literals(spark, {1: [[0.1, 0.2, 0.3], [0.3, 0.6, 0.5]]})
+    u = values(m.ref())
+    exact = eliminate([[Q(x) for x in r] for r in [[0.1, 0.2, 0.3], [0.3, 0.6, 0.5]]], 3).rows
+    assert u == [[float(x) for x in r] for r in exact] and m.ref().kind.name == "double"
+    p, low, up = from_literals(spark, {1: [[0.0, 2.0], [0.5, 1.0]]}).plu()
+    assert values(p) == [[0, 1], [1, 0]] and values(low.matmul(up)) == [[0.5, 1.0], [0.0, 2.0]]
+    assert values(from_literals(spark, {1: [[0.5, 0.0], [0.0, 4.0]]}).inverse()) == [[2.0, 0.0], [0.0, 0.25]]
+
+
+def test_lists_are_inserted(spark):
+    m = from_literals(spark, {1: [[1, 2], [3, 4]], 2: [[5, 6], [7, 8]]})
+    assert values(m.insert_rows([9, 0], pos=1)) == [[1, 2], [9, 0], [3, 4]] and values(m.insert_rows([9, 0]), 2) == [[5, 6], [7, 8], [9, 0]]
+    assert values(m.insert_cols([[7, 8], [Q(1, 2), 0]], pos=0)) == [[7, Q(1, 2), 1, 2], [8, 0, 3, 4]]
+    assert values(m.insert_rows([[0.5, 1.5]])) == [[1.0, 2.0], [3.0, 4.0], [0.5, 1.5]]
+    with pytest.raises(ValueError):
+        m.insert_rows([[1], [2, 3]])
+    with pytest.raises(Exception, match="meet"):
+        m.insert_rows([1, 2, 3]).cells.collect()
+
+
+def test_headers_do_not_run_the_kernel(spark, abt):
+    for f in (abt["A"].rref(), abt["A"].inverse(), *abt["A"].plu()):
+        assert "MapInPandas" not in f.header._jdf.queryExecution().executedPlan().toString()
+    assert abt["A"].plu()[1].header.first().asDict() == {ID: 1, "n_rows": 4, "n_cols": 4, "augment": 4}
+
+
 def test_positions(spark):
     m = from_literals(spark, {1: [[1, 2, 3], [4, 5, 6], [7, 8, 9]]})
     assert values(m.transpose()) == [[1, 4, 7], [2, 5, 8], [3, 6, 9]]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .centroids import op11
 from .common import table
 from .decontamination import op5
 from .exact_dedup import exact_dedup
@@ -11,6 +12,7 @@ from .mixing import op2
 from .quality import op6
 from .sharding import op1
 from .simhash import op3
+from .suffix_dedup import op12
 from .toxicity import op10
 from .warc import op4
 
@@ -19,7 +21,7 @@ def op9(spark, sf_dir):
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_sharding": op1, "op2_mixing": op2, "op3_simhash": op3, "op4_warc": op4, "op5_decontamination": op5, "op6_quality": op6, "op7_html_extract": op7, "op8_line_dedup": op8, "op9_exact_dedup": op9, "op10_toxicity": op10}
+QUERIES = {"op1_sharding": op1, "op2_mixing": op2, "op3_simhash": op3, "op4_warc": op4, "op5_decontamination": op5, "op6_quality": op6, "op7_html_extract": op7, "op8_line_dedup": op8, "op9_exact_dedup": op9, "op10_toxicity": op10, "op11_centroids": op11, "op12_suffix_dedup": op12}
 
 ORACLE_SQL = {
     "op4_warc": r"""

@@ -45,6 +45,17 @@ def from_table(df: DataFrame, matrix_id: Column, i: Column, j: Column, value: Co
     return MatrixFrame(cells, head, kind)
 
 
+def from_sparse(df: DataFrame, matrix_id: Column, i: Column, j: Column, value: Column, n_rows: int, n_cols: int, augment: int | None = None) -> MatrixFrame:
+    """Integer matrices of one size; cells are sums of value over the rows of one place, and zero where there is none. A place outside raises
+    an error; rows with a null id, place or value don't count."""
+    given = df.select(matrix_id.cast("long").alias(ID), i.cast("int").alias("i"), j.cast("int").alias("j"), frac.exact(value).alias("val")).dropna()
+    inside = F.when((F.col("i") >= 0) & (F.col("i") < n_rows) & (F.col("j") >= 0) & (F.col("j") < n_cols), True).otherwise(F.raise_error(F.lit("a cell is out of range")).cast("boolean"))
+    row = given.filter(inside).groupBy(ID).agg(*[F.coalesce(F.sum(F.when((F.col("i") == r) & (F.col("j") == c), F.col("val"))), F.lit(0)).cast(frac.DECIMAL).alias(f"_{r}_{c}") for r in range(n_rows) for c in range(n_cols)])
+    cells = F.array(*[F.struct(F.lit(r).alias("i"), F.lit(c).alias("j"), F.col(f"_{r}_{c}").alias("val")) for r in range(n_rows) for c in range(n_cols)])
+    head = row.select(ID, F.lit(n_rows).alias("n_rows"), F.lit(n_cols).alias("n_cols"), F.lit(n_cols if augment is None else augment).alias("augment"))
+    return MatrixFrame(row.select(ID, F.inline(cells)), head)
+
+
 def from_dense(df: DataFrame, m: str = "m", kind: str = "int", augment: Column | None = None) -> MatrixFrame:
     """Rows (matrix_id, m: array of arrays). Ragged and empty ones raise an error."""
     rect = F.coalesce(F.forall(m, lambda r: F.size(r) == F.size(F.get(m, F.lit(0)))) & (F.size(F.get(m, F.lit(0))) > 0), F.lit(False))

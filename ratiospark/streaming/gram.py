@@ -1,4 +1,4 @@
-"""A Gram matrix kept over a stream of rows: the aggregate is distributive, so Spark's state holds one number for each cell."""
+"""A Gram matrix kept over a stream of rows: the aggregate is distributive, so Spark's state holds one row of sums for each key."""
 
 from __future__ import annotations
 
@@ -6,8 +6,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def gram_sums(keys: list[Column], rows: DataFrame, columns: list[Column]) -> DataFrame:
+    """The keys, and gram: an array of (i, j, val) with i <= j, for each key's sum over rows of columns[i] * columns[j]. One aggregation of
+    n (n + 1) / 2 sums; no row is multiplied before it."""
+    pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
+    sums = rows.groupBy(*keys).agg(*[F.sum(columns[i] * columns[j]).alias(f"_sum{k}") for k, (i, j) in enumerate(pairs)])
+    cells = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"_sum{k}").alias("val")) for k, (i, j) in enumerate(pairs)])
+    return sums.withColumn("gram", cells).drop(*[f"_sum{k}" for k in range(len(pairs))])
+
+
+def mirrored(gram: Column) -> Column:
+    """Both halves of an array of (i, j, val) with i <= j."""
+    below = F.transform(F.filter(gram, lambda c: c["i"] < c["j"]), lambda c: F.struct(c["j"].alias("i"), c["i"].alias("j"), c["val"].alias("val")))
+    return F.concat(gram, below)
+
+
 def gram_cells(rows: DataFrame, key: Column, columns: list[Column]) -> DataFrame:
     """(matrix_id, i, j, val): for each key the sum over rows of columns[i] * columns[j]. For batches and streams (update or complete mode)."""
-    pairs = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), (x * y).alias("p")) for i, x in enumerate(columns) for j, y in enumerate(columns)])
-    cells = rows.select(key.cast("long").alias("matrix_id"), F.explode(pairs).alias("c"))
-    return cells.groupBy("matrix_id", F.col("c.i").alias("i"), F.col("c.j").alias("j")).agg(F.sum("c.p").alias("val"))
+    return gram_sums([key.cast("long").alias("matrix_id")], rows, columns).select("matrix_id", F.inline(mirrored(F.col("gram"))))

@@ -25,8 +25,10 @@ GRAM = 20
 REACH = LENGTH - GRAM
 #: Bytes of text in a chunk, the unit that is dealt out and answered.
 CHUNK = 8 << 20
-#: Bytes whose anchors are computed, and whose suffixes are sorted, at once. Longer strings of one anchor are sorted together all the same.
+#: Bytes whose suffixes are sorted at once. Longer strings of one anchor are sorted together all the same.
 SLAB = 1 << 20
+#: Strings whose anchors are computed at once, in a processor's cache.
+PIECE = 1 << 15
 #: Documents with one anchor beyond which its strings are dealt one by one, by their ends too, so that no task gets all of them.
 HOT_DOCS = 20_000
 #: Bytes of a character of the difference cover: three names of three characters reach over a string's 50 bytes.
@@ -42,8 +44,8 @@ def anchors(text: np.ndarray) -> np.ndarray:
     if n <= 0:
         return np.array([], _U)
     found = np.empty(n, _U)
-    for at in range(0, n, SLAB):
-        part = text[at : at + SLAB + LENGTH - 1].astype(_U) + _U(1)
+    for at in range(0, n, PIECE):
+        part = text[at : at + PIECE + LENGTH - 1].astype(_U) + _U(1)
         h, step, spare = part, 1, None
         size = GRAM
         while size:  # hashes of 1, 2, 4, ... bytes; those of GRAM's binary digits are joined
@@ -52,18 +54,21 @@ def anchors(text: np.ndarray) -> np.ndarray:
             size >>= 1
             if size:
                 h, step = _joined(h, h, step), 2 * step
-        low, width = spare[0], 1
+        low, width = mix(spare[0], 0xD6E8FEB86659FD93), 1
         while 2 * width <= REACH + 1:
             low, width = np.minimum(low[:-width], low[width:]), 2 * width
         rest = REACH + 1 - width
-        found[at : at + SLAB] = np.minimum(low[: len(low) - rest], low[rest:]) if rest else low
+        found[at : at + PIECE] = np.minimum(low[: len(low) - rest], low[rest:]) if rest else low
     return found
 
 
 def _joined(a: np.ndarray, b: np.ndarray, apart: int) -> np.ndarray:
     """Hashes of strings that begin with a's and go on, `apart` bytes later, with b's."""
     n = min(len(a), len(b) - apart)
-    return mix(a[:n] * _U(0x9E3779B97F4A7C15) + b[apart : apart + n], 0xD6E8FEB86659FD93)
+    x = a[:n] * _U(0x9E3779B97F4A7C15)
+    x += b[apart : apart + n]
+    x ^= x >> _U(29)
+    return x
 
 
 def _named(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -104,7 +109,11 @@ def least_docs(text: np.ndarray, sizes: np.ndarray, docs: np.ndarray) -> np.ndar
     order, fresh = _named(c[sampled], c[sampled + CHAR], c[sampled + 2 * CHAR])
     name = np.zeros(n + 9 * CHAR, np.int64)
     name[sampled[order]] = np.cumsum(fresh)
-    order, fresh = _named(name[sampled], name[sampled + 3 * CHAR], name[sampled + 6 * CHAR])
+    strings = sizes - LENGTH + 1
+    w = _runs(starts, strings)
+    sampled = _runs(starts, strings + 2 * CHAR)  # a string's start, or the rest of it behind one or two characters
+    sampled = sampled[residue[sampled] > 0]
+    order, _ = _named(name[sampled], name[sampled + 3 * CHAR], name[sampled + 6 * CHAR])
     at = sampled[order]
     head = _fresh(name[at]) | _fresh(name[at + 3 * CHAR])
     third, fourth, fifth = c[at + 6 * CHAR], c[at + 7 * CHAR], c[at + 8 * CHAR]
@@ -116,8 +125,6 @@ def least_docs(text: np.ndarray, sizes: np.ndarray, docs: np.ndarray) -> np.ndar
     ):
         rank[size] = np.zeros(n + 3 * CHAR, np.int64)
         rank[size][at] = np.cumsum(head | differs)
-    strings = sizes - LENGTH + 1
-    w = np.repeat(starts - np.cumsum(strings) + strings, strings) + np.arange(strings.sum())
     owner, best = np.repeat(docs, strings), np.full(len(w), _LAST)
     for left_out, keys in (
         (0, lambda w: (rank[50][w],)),
@@ -138,7 +145,7 @@ def least_docs(text: np.ndarray, sizes: np.ndarray, docs: np.ndarray) -> np.ndar
 
 
 def _texts(docs: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Documents of a chunk in an order of their own -> their bytes one after another, sizes and ids (null: the largest)."""
+    """Documents of a chunk in the order of their ids -> their bytes one after another, sizes and ids (null: the largest)."""
     ids = [_LAST if i is None else i for i in docs.column("doc_id").to_pylist()]
     rows = sorted(zip(ids, docs.column("t").to_pylist(), strict=True))
     sizes = np.array([len(t) for _, t in rows], np.int64)
@@ -186,7 +193,7 @@ def _ask(n_ranges: int):
         h, doc = h[inside], doc[inside]
         once = _fresh(h) | _fresh(doc)
         h, doc = h[once], doc[once]
-        order = np.lexsort((doc, h))
+        order = np.argsort(h, kind="stable")  # documents stay in order
         h, doc = h[order], doc[order]
         new = _fresh(h) | _fresh(doc)
         found, times = np.unique(h[new], return_counts=True)
@@ -226,41 +233,42 @@ def _tell(asked: pa.Table) -> pa.Table:
 
 class _Segments:
     """Segments of a chunk: runs of strings in one document with one repeated anchor. spans: (document, first string, strings) of each;
-    which: number of its distinct segment. Distinct ones are keyed by anchor (a hot one's by its ends too) and have their least document."""
+    which: number of its distinct segment. Distinct ones are keyed by anchor (a hot one's by its ends too) and have their least document.
+    Documents must come in the order of their ids."""
 
     def __init__(self, text: np.ndarray, sizes: np.ndarray, ids: np.ndarray, repeated: np.ndarray, hot: np.ndarray):
         h = anchors(text)
         n = len(h)
-        place = np.searchsorted(repeated, h)
-        some = _within(sizes, n) & (repeated[np.minimum(place, len(repeated) - 1)] == h) if len(repeated) else np.zeros(n, bool)
+        run = np.flatnonzero(_fresh(h))  # one anchor is looked up once
+        long = np.diff(np.append(run, n))
+        some = np.repeat(_among(h[run], repeated), long) & _within(sizes, n)
         doc = np.repeat(np.arange(len(sizes)), sizes)[:n]
-        alone = np.isin(h, hot) if len(hot) else np.zeros(n, bool)
         w = np.flatnonzero(some)
-        cut = np.concatenate([np.ones(min(1, len(w)), bool), (np.diff(w) > 1) | (h[w[1:]] != h[w[:-1]]) | (doc[w[1:]] != doc[w[:-1]])]) | alone[w]
+        cut = np.concatenate([np.ones(min(1, len(w)), bool), (np.diff(w) > 1) | (h[w[1:]] != h[w[:-1]]) | (doc[w[1:]] != doc[w[:-1]])])
+        alone = np.repeat(_among(h[run], hot), long) if len(hot) else None
+        if alone is not None:
+            cut |= alone[w]
         first = np.flatnonzero(cut)
         self.start, self.count = w[first], np.diff(np.append(first, len(w)))
         self.doc = ids[doc[self.start]] if len(w) else np.array([], np.int64)
-        keys = h[self.start].copy()
-        lone = np.flatnonzero(alone[self.start])
-        if len(lone):
-            s = self.start[lone]
-            for k in (*range(8), *range(LENGTH - 8, LENGTH)):
-                keys[lone] = mix(keys[lone] + text[s + k].astype(_U), 0xC2B2AE3D27D4EB4F)
         raw, known = text.tobytes(), {}
-        self.which = np.empty(len(first), np.int64)
-        texts, least, own = [], [], []
         ends = self.start + self.count + LENGTH - 1
-        for k, (a, b, d, key) in enumerate(zip(self.start.tolist(), ends.tolist(), self.doc.tolist(), keys.tolist(), strict=True)):
-            part = raw[a:b]
-            number = known.setdefault((key, part), len(texts))
-            if number == len(texts):
-                texts.append(part)
-                least.append(d)
-                own.append(key)
-            elif d < least[number]:
-                least[number] = d
-            self.which[k] = number
-        self.texts, self.docs, self.keys = texts, np.array(least, np.int64), np.array(own, _U)
+        # equal bytes have equal anchors, and the first of them the least document
+        which = [known.setdefault(raw[a:b], len(known)) for a, b in zip(self.start.tolist(), ends.tolist(), strict=True)]
+        self.which, self.texts = np.array(which, np.int64), list(known)
+        first = np.unique(self.which, return_index=True)[1]
+        self.docs, self.keys = self.doc[first], h[self.start[first]]
+        if alone is not None:
+            lone = np.flatnonzero(alone[self.start[first]])
+            s = self.start[first][lone]
+            for k in (*range(8), *range(LENGTH - 8, LENGTH)):
+                self.keys[lone] = mix(self.keys[lone] + text[s + k].astype(_U), 0xC2B2AE3D27D4EB4F)
+
+
+def _among(x: np.ndarray, sorted_: np.ndarray) -> np.ndarray:
+    if not len(sorted_):
+        return np.zeros(len(x), bool)
+    return sorted_[np.minimum(np.searchsorted(sorted_, x), len(sorted_) - 1)] == x
 
 
 DEALT = "r long, chunk long, n int, n_bytes long, keys binary, sizes binary, docs binary, texts binary"

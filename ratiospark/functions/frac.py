@@ -32,6 +32,20 @@ def exact(c) -> Column:
     return F.when(c % 1 != 0, F.raise_error(F.format_string("%s is no whole number", c.cast("string"))).cast(DECIMAL)).otherwise(c.cast(DECIMAL)) if isinstance(c, Column) else _dec(c)
 
 
+def negated(x: Column) -> Column:
+    """-x of a decimal. Spark's own minus and abs round beyond 34 digits."""
+    return (F.lit(0).cast(DECIMAL) - x).cast(DECIMAL)
+
+
+def size(x: Column) -> Column:
+    """The absolute value of a decimal, exactly."""
+    return F.when(x < 0, negated(x)).otherwise(x)
+
+
+def _under(x: Column, limit: int) -> Column:
+    return (x < _dec(limit)) & (x > _dec(-limit))
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value computed once."""
     return F.element_at(F.transform(F.array(value), body), 1)
@@ -44,12 +58,12 @@ def quotient(a: Column, b: Column) -> Column:
     half = _dec(10**18)
     high, low = direct(a, half), (a % half).cast(DECIMAL)
     rest = ((high % b).cast(DECIMAL) * half + low).cast(DECIMAL)
-    return F.when((F.abs(a) < _dec(10**32)) | (b >= 10**6), direct(a, b)).otherwise((direct(high, b) * half + direct(rest, b)).cast(DECIMAL))
+    return F.when(_under(a, 10**32) | (b >= 10**6), direct(a, b)).otherwise((direct(high, b) * half + direct(rest, b)).cast(DECIMAL))
 
 
 def gcd(a, b) -> Column:
     """Greatest common divisor, never negative; gcd(0, 0) = 0. As many steps of Euclid's method as the shorter number's digits need at most."""
-    a, b = F.abs(_dec(a)), F.abs(_dec(b))
+    a, b = size(_dec(a)), size(_dec(b))
     digits = F.least(F.length(a.cast("string")), F.length(b.cast("string")))
     steps = F.sequence(F.lit(1), digits * 5 + 1)  # at most 4.79 for each digit
 
@@ -148,54 +162,123 @@ def reduced(num: Column, den: Column, zero: str = "error") -> Column:
             lambda y: _pair(quotient((y["n"] * y["s"]).cast(DECIMAL), y["g"]), quotient((y["d"] * y["s"]).cast(DECIMAL), y["g"])),
         )
 
-    return mark(F.when(num.isNotNull() & den.isNotNull(), let(given, lambda x: F.when(x["d"] == 0, bad).when(x["d"] == 1, _pair(x["n"], x["d"])).when((F.abs(x["n"]) < SHORT) & (F.abs(x["d"]) < SHORT), short(x)).otherwise(body(x)))))
+    return mark(F.when(num.isNotNull() & den.isNotNull(), let(given, lambda x: F.when(x["d"] == 0, bad).when(x["d"] == 1, _pair(x["n"], x["d"])).when(_under(x["n"], SHORT) & _under(x["d"], SHORT), short(x)).otherwise(body(x)))))
 
 
 def neg(a) -> Column:
     a = as_frac(a)
-    return mark(F.when(a.isNotNull(), _pair(-a["num"], a["den"])))
+    return mark(F.when(a.isNotNull(), _pair(negated(a["num"]), a["den"])))
 
 
 def abs_(a) -> Column:
     a = as_frac(a)
-    return mark(F.when(a.isNotNull(), _pair(F.abs(a["num"]), a["den"])))
+    return mark(F.when(a.isNotNull(), _pair(size(a["num"]), a["den"])))
+
+
+#: Numbers whose products of two, and sums of two such products, are safe in 64 bits.
+HALF = 10**9
+
+
+def _all_under(limit: int, *cs: Column) -> Column:
+    under = [_under(c, limit) for c in cs]
+    for u in under[1:]:
+        under[0] = under[0] & u
+    return under[0]
+
+
+def _fractions(a: Column, b: Column, kind: str) -> Column:
+    return F.struct(a["num"].cast(kind).alias("a"), a["den"].cast(kind).alias("b"), b["num"].cast(kind).alias("c"), b["den"].cast(kind).alias("d"))
+
+
+def _sum(a: Column, b: Column, sign: int) -> Column:
+    """a/b + sign c/d by the greatest common divisor of the denominators: what is left to cancel divides it, so that numbers stay within
+    the size of the operands' common form. Most sums need no second divisor."""
+
+    def body(kind: str, gcd_of: Callable, over: Callable) -> Column:
+        as_ = lambda c: c.cast(kind)
+
+        def cancelled(x: Column) -> Column:
+            g = x["g"]
+            b_, d_ = over(x["v"]["b"], g), over(x["v"]["d"], g)
+            t = as_(as_(x["v"]["a"] * d_) + as_(F.lit(sign).cast(kind) * as_(x["v"]["c"] * b_)))
+            return let(
+                F.struct(t.alias("t"), b_.alias("b"), x["v"]["d"].alias("d"), F.greatest(gcd_of(t, g), F.lit(1).cast(kind)).alias("g")),
+                lambda y: _pair(over(y["t"], y["g"]), as_(y["b"] * over(y["d"], y["g"]))),
+            )
+
+        def apart(x: Column) -> Column:
+            v = x["v"]
+            return _pair(as_(as_(v["a"] * v["d"]) + as_(F.lit(sign).cast(kind) * as_(v["c"] * v["b"]))), as_(v["b"] * v["d"]))
+
+        return let(
+            let(_fractions(a, b, kind), lambda v: F.struct(v.alias("v"), gcd_of(v["b"], v["d"]).alias("g"))),
+            lambda x: F.when(x["g"] == 1, apart(x)).otherwise(cancelled(x)),
+        )
+
+    short = body("long", gcd_long, lambda x, y: F.call_function("div", x, y))
+    small = _all_under(HALF, a["num"], a["den"], b["num"], b["den"])
+    wholes = (a["den"] == 1) & (b["den"] == 1)
+    n = a["num"] + b["num"] if sign > 0 else a["num"] - b["num"]
+    return mark(F.when(a.isNotNull() & b.isNotNull(), F.when(wholes, _pair(n, F.lit(1))).when(small, short).otherwise(body(DECIMAL, gcd, quotient))))
 
 
 def add(a, b) -> Column:
     if d := _doubles(a, b):
         return real(d[0] + d[1])
-    a, b = as_frac(a), as_frac(b)
-    return reduced(a["num"] * b["den"] + b["num"] * a["den"], a["den"] * b["den"])
+    return _sum(as_frac(a), as_frac(b), 1)
 
 
 def sub(a, b) -> Column:
     if d := _doubles(a, b):
         return real(d[0] - d[1])
-    a, b = as_frac(a), as_frac(b)
-    return reduced(a["num"] * b["den"] - b["num"] * a["den"], a["den"] * b["den"])
+    return _sum(as_frac(a), as_frac(b), -1)
+
+
+def _product(a: Column, b: Column, zero: str = "error") -> Column:
+    """a/b times c/d; long numbers are cancelled crosswise before they are multiplied. b or d may be negative here, or zero (an error or null)."""
+
+    def long(v: Column) -> Column:
+        one = F.lit(1).cast(DECIMAL)
+        divisors = lambda x: F.struct(x.alias("v"), F.greatest(gcd(x["a"], x["d"]), one).alias("g"), F.greatest(gcd(x["c"], x["b"]), one).alias("h"))
+        sign = lambda v: F.when((v["b"] < 0) != (v["d"] < 0), F.lit(-1)).otherwise(1).cast(DECIMAL)
+        return let(
+            divisors(v),
+            lambda x: _pair(
+                (sign(x["v"]) * (quotient(x["v"]["a"], x["g"]) * quotient(x["v"]["c"], x["h"])).cast(DECIMAL)).cast(DECIMAL),
+                (quotient(size(x["v"]["b"]), x["h"]) * quotient(size(x["v"]["d"]), x["g"])).cast(DECIMAL),
+            ),
+        )
+
+    small = _all_under(HALF, a["num"], a["den"], b["num"], b["den"])
+    bad = F.raise_error(F.lit("division by zero")).cast(TYPE) if zero == "error" else F.lit(None).cast(TYPE)
+    wide = F.when((a["den"] == 0) | (b["den"] == 0), bad).otherwise(let(_fractions(a, b, DECIMAL), long))
+    return mark(F.when(a.isNotNull() & b.isNotNull(), F.when(small, reduced((a["num"] * b["num"]).cast(DECIMAL), (a["den"] * b["den"]).cast(DECIMAL), zero)).otherwise(wide)))
+
+
+def _turned(a: Column) -> Column:
+    return F.struct(a["den"].alias("num"), a["num"].alias("den"))
 
 
 def mul(a, b) -> Column:
     if d := _doubles(a, b):
         return real(d[0] * d[1])
-    a, b = as_frac(a), as_frac(b)
-    return reduced(a["num"] * b["num"], a["den"] * b["den"])
+    return _product(as_frac(a), as_frac(b))
 
 
 def div(a, b) -> Column:
     """Division by zero raises an error; 0 / b is 0."""
     if d := _doubles(a, b):
         return real(d[0] / d[1])
-    a, b = as_frac(a), as_frac(b)
-    return reduced(a["num"] * b["den"], a["den"] * b["num"])
+    b = as_frac(b)
+    return _product(as_frac(a), F.when(b.isNotNull(), _turned(b)))
 
 
 def try_div(a, b) -> Column:
     """Division by zero gives NULL."""
     if d := _doubles(a, b):
         return real(F.try_divide(*d))
-    a, b = as_frac(a), as_frac(b)
-    return reduced(a["num"] * b["den"], a["den"] * b["num"], zero="null")
+    b = as_frac(b)
+    return _product(as_frac(a), F.when(b.isNotNull(), _turned(b)), zero="null")
 
 
 def to_double(a) -> Column:
@@ -203,11 +286,31 @@ def to_double(a) -> Column:
     return a["num"].cast("double") / a["den"].cast("double")
 
 
-def _cross(a, b) -> tuple[Column, Column]:
+def compare(a, b) -> Column:
+    """-1, 0 or 1 as a is less than b, equal to it or more. Short numbers are multiplied crosswise; of long ones the quotients are compared, then
+    those of divisor and remainder the other way round, and so on (Euclid's steps on both), so that no number grows."""
     if d := _doubles(a, b):
-        return d
+        return F.when(d[0] < d[1], -1).when(d[0] > d[1], 1).when(d[0] == d[1], 0)
     a, b = as_frac(a), as_frac(b)
-    return a["num"] * b["den"], b["num"] * a["den"]
+    of = lambda x, y: F.when(x < y, -1).when(x > y, 1).otherwise(0)
+    state = lambda n1, d1, n2, d2, way, out: F.struct(*[x.cast(DECIMAL).alias(k) for k, x in zip(("n1", "d1", "n2", "d2"), (n1, d1, n2, d2), strict=True)], way.cast("int").alias("way"), out.cast("int").alias("out"))
+    null = F.lit(None)
+
+    def step(s: Column, _: Column) -> Column:
+        def told(q: Column) -> Column:
+            r1, r2 = s["n1"] % s["d1"], s["n2"] % s["d2"]
+            ended = F.when(q["x"] != q["y"], s["way"] * of(q["x"], q["y"])).when((r1 == 0) | (r2 == 0), s["way"] * of(F.signum(r1), F.signum(r2)))
+            return F.when(ended.isNotNull(), state(s["n1"], s["d1"], s["n2"], s["d2"], s["way"], ended)).otherwise(state(s["d1"], r1, s["d2"], r2, -s["way"], null))
+
+        return F.when(s["out"].isNotNull(), s).otherwise(let(F.struct(quotient(s["n1"], s["d1"]).alias("x"), quotient(s["n2"], s["d2"]).alias("y")), told))
+
+    def wide(v: Column) -> Column:
+        steps = F.sequence(F.lit(1), F.greatest(F.length(v["b"].cast("string")), F.length(v["d"].cast("string"))) * 5 + 2)
+        start = state(size(v["a"]), v["b"], size(v["c"]), v["d"], F.signum(v["a"]), null)
+        return F.when(F.signum(v["a"]) != F.signum(v["c"]), of(v["a"], v["c"])).when(v["a"] == 0, 0).otherwise(F.aggregate(steps, start, step, lambda s: s["out"]))
+
+    small = _all_under(SHORT, a["num"], a["den"], b["num"], b["den"])
+    return F.when(a.isNotNull() & b.isNotNull(), F.when(small, of(a["num"] * b["den"], b["num"] * a["den"])).otherwise(let(_fractions(a, b, DECIMAL), wide)))
 
 
 def eq(a, b) -> Column:
@@ -222,29 +325,58 @@ def ne(a, b) -> Column:
 
 
 def lt(a, b) -> Column:
-    x, y = _cross(a, b)
-    return x < y
+    return compare(a, b) < 0
 
 
 def le(a, b) -> Column:
-    x, y = _cross(a, b)
-    return x <= y
+    return compare(a, b) <= 0
 
 
 def gt(a, b) -> Column:
-    x, y = _cross(a, b)
-    return x > y
+    return compare(a, b) > 0
 
 
 def ge(a, b) -> Column:
-    x, y = _cross(a, b)
-    return x >= y
+    return compare(a, b) >= 0
 
 
 def text(a, digits: int = 3) -> Column:
-    """The value with so many decimals, ties to even."""
+    """The value with so many decimals, exactly, ties to even; a negative number keeps its sign where only zeros are left."""
     a = as_frac(a)
-    return F.format_string(f"%.{digits}f", F.bround(to_double(a), digits))
+    ten = 10**digits
+    whole = lambda x, y: F.call_function("div", x, y)
+
+    def put(up: Column, front: Column, back: Column) -> Column:
+        """front and back (whole numbers: before and behind the point), one more behind if up."""
+        full = up & (back == ten - 1)
+        front, back = front + F.when(full, 1).otherwise(0), F.when(full, 0).otherwise(back + F.when(up, 1).otherwise(0))
+        return F.concat(front.cast(DECIMAL).cast("string"), F.lit("." if digits else ""), F.lpad(back.cast("long").cast("string"), digits, "0") if digits else F.lit(""))
+
+    def short(v: Column) -> Column:
+        n = v["n"] * ten
+        q, r = whole(n, v["d"]), n % v["d"]
+        return put((2 * r > v["d"]) | ((2 * r == v["d"]) & (q % 2 == 1)), whole(q, F.lit(ten)), q % ten)
+
+    def digit(s: Column, _: Column) -> Column:
+        """10 r / d without 10 r: by a tenth of d, which may be one too much."""
+        r, e, f = s["r"], quotient(s["d"], F.lit(10).cast(DECIMAL)), s["d"] % 10
+        guess = F.when(s["d"] < _dec(10**30), quotient((r * 10).cast(DECIMAL), s["d"])).otherwise(F.least(F.lit(9).cast(DECIMAL), quotient(r, e)))
+
+        def then(x: Column) -> Column:
+            rest = (((r - x * e) * 10).cast(DECIMAL) - x * f).cast(DECIMAL)
+            less = F.when(rest < 0, 1).otherwise(0).cast(DECIMAL)
+            return F.struct(F.when(rest < 0, rest + s["d"]).otherwise(rest).cast(DECIMAL).alias("r"), s["d"].alias("d"), ((s["q"] * 10).cast(DECIMAL) + x - less).cast(DECIMAL).alias("q"))
+
+        return let(guess, then)
+
+    def long(v: Column) -> Column:
+        start = F.struct((v["n"] % v["d"]).cast(DECIMAL).alias("r"), v["d"].alias("d"), F.lit(0).cast(DECIMAL).alias("q"))
+        done = F.aggregate(F.sequence(F.lit(1), F.lit(digits)), start, digit) if digits else start
+        return let(F.struct(v.alias("v"), done.alias("s")), lambda x: put((x["s"]["r"] > x["s"]["d"] - x["s"]["r"]) | ((x["s"]["r"] == x["s"]["d"] - x["s"]["r"]) & ((x["s"]["q"] if digits else quotient(x["v"]["n"], x["v"]["d"])) % 2 == 1)), quotient(x["v"]["n"], x["v"]["d"]), x["s"]["q"]))
+
+    parts = lambda kind: F.struct(size(a["num"]).cast(kind).alias("n"), a["den"].cast(kind).alias("d"))
+    small = _under(a["num"], 10 ** (18 - digits)) & (a["den"] < SHORT) if digits < 16 else F.lit(False)
+    return F.concat(F.when(a["num"] < 0, "-").otherwise(""), F.when(small, let(parts("long"), short)).otherwise(let(parts(DECIMAL), long)))
 
 
 def repr_(a) -> Column:

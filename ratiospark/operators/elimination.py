@@ -14,6 +14,19 @@ import pandas as pd
 Rows = list[list[Fraction]]
 
 
+@dataclass
+class Step:
+    """swap: rows target and source change places; add: factor times row source is added to row target; scale: row target times factor.
+    rows: all rows after it, or the changed row alone (none for a swap)."""
+
+    op: str
+    label: str
+    target: int
+    source: int
+    factor: Fraction | None
+    rows: Rows
+
+
 @dataclass
 class Result:
     """rows: echelon form; perm[k]: which input row stands at k; lower: unit triangular multipliers; pivots: columns with a pivot."""
@@ -22,7 +35,7 @@ class Result:
     perm: list[int]
     lower: Rows
     pivots: list[int]
-    steps: list[tuple[str, str, Rows]]
+    steps: list[Step]
 
 
 def _times(k: Fraction, row: int) -> str:
@@ -30,20 +43,22 @@ def _times(k: Fraction, row: int) -> str:
     return f"R{row + 1}" if k == 1 else f"{k}R{row + 1}"
 
 
-def eliminate(rows: Rows, augment: int, reduce: bool = False, trace: bool = False) -> Result:
+def eliminate(rows: Rows, augment: int, reduce: bool = False, trace: str = "") -> Result:
     """Echelon form of the columns before augment, with the others carried along.
 
     A pivot stays if it isn't zero; else the lowest row that may still be non-zero and has an entry in the column comes up. A row
     whose coefficients have all become zero changes places with the last one not known to be zero, and the row that comes in is
-    treated in its place. With reduce, pivots become 1 and the entries above them 0, from the last pivot up."""
+    treated in its place. With reduce, pivots become 1 and the entries above them 0, from the last pivot up. trace: steps are kept with
+    all rows after each ("whole") or with the changed row ("changes")."""
     a = [list(r) for r in rows]
     n, active = len(a), len(a)
     perm, pivots, steps = list(range(n)), [], []
     lower = [[Fraction(int(i == j)) for j in range(n)] for i in range(n)]
 
-    def note(op: str, label: str) -> None:
+    def note(op: str, label: str, target: int, source: int, factor: Fraction | None = None) -> None:
         if trace:
-            steps.append((op, label, [list(r) for r in a]))
+            changed = [] if op == "swap" else [a[target]]  # rows are replaced, never changed in place
+            steps.append(Step(op, label, target, source, factor, list(a) if trace == "whole" else changed))
 
     def swap(i: int, k: int) -> None:
         done = len(pivots)  # multipliers exist in the columns before this one, or up to it for rows below the pivot
@@ -52,7 +67,7 @@ def eliminate(rows: Rows, augment: int, reduce: bool = False, trace: bool = Fals
         for c in range(min(done + 1, n)):
             if c < min(i, k):
                 lower[i][c], lower[k][c] = lower[k][c], lower[i][c]
-        note("swap", f"R{i + 1} <-> R{k + 1}")
+        note("swap", f"R{i + 1} <-> R{k + 1}", i, k)
 
     for col in range(augment):
         top = len(pivots)
@@ -69,7 +84,7 @@ def eliminate(rows: Rows, augment: int, reduce: bool = False, trace: bool = Fals
             if k:
                 a[row] = [x - k * y for x, y in zip(a[row], a[top], strict=True)]
                 lower[row][top] = k
-                note("add", f"R{row + 1} {'-' if k > 0 else '+'} {_times(k, top)}")
+                note("add", f"R{row + 1} {'-' if k > 0 else '+'} {_times(k, top)}", row, top, -k)
             if not any(a[row][:augment]):
                 active -= 1
                 if row < active:
@@ -82,11 +97,11 @@ def eliminate(rows: Rows, augment: int, reduce: bool = False, trace: bool = Fals
             col, k = pivots[top], 1 / a[top][pivots[top]]
             if k != 1:
                 a[top] = [x * k for x in a[top]]
-                note("scale", f"-R{top + 1}" if k == -1 else f"{k}R{top + 1}")
+                note("scale", f"-R{top + 1}" if k == -1 else f"{k}R{top + 1}", top, top, k)
             for row in range(top - 1, -1, -1):
                 if k := a[row][col]:
                     a[row] = [x - k * y for x, y in zip(a[row], a[top], strict=True)]
-                    note("add", f"R{row + 1} {'-' if k > 0 else '+'} {_times(k, top)}")
+                    note("add", f"R{row + 1} {'-' if k > 0 else '+'} {_times(k, top)}", row, top, -k)
     return Result(a, perm, lower, pivots, steps)
 
 
@@ -111,13 +126,22 @@ def _flat(rows: Rows, real: bool) -> tuple[list[str], list[str]]:
     return [str(x.numerator) for r in rows for x in r], [str(x.denominator) for r in rows for x in r]
 
 
+def _moved(by: list[Step], real: bool) -> tuple:
+    if not by:
+        return None, None, None, None
+    k = by[0].factor
+    num, den = (None, None) if k is None else (repr(float(k)), "1") if real else (str(k.numerator), str(k.denominator))
+    return by[0].target, by[0].source, num, den
+
+
 #: What the kernel gives for each matrix and part; numbers as text, as they may have any length.
-OUT = "matrix_id long, part string, step int, op string, label string, n_rows int, n_cols int, augment int, pivots array<int>, num array<string>, den array<string>"
+OUT = "matrix_id long, part string, step int, op string, label string, n_rows int, n_cols int, augment int, pivots array<int>, num array<string>, den array<string>, target int, source int, factor_num string, factor_den string"
 
 
 def kernel(what: str, real: bool = False):
-    """mapInPandas function over (matrix_id, n_rows, n_cols, augment, num, den) for what: ref, rref, plu, lower, inverse, trace (of
-    rref) or ref trace. real: the numbers are doubles, and so are the results."""
+    """mapInPandas function over (matrix_id, n_rows, n_cols, augment, num, den) for what: ref, rref, plu, lower, inverse, or steps: trace (of
+    rref) and ref trace with all rows after each, changes and ref changes with the changed row. real: the numbers are doubles, and so are
+    the results."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -128,11 +152,12 @@ def kernel(what: str, real: bool = False):
                 if what == "inverse":
                     parts.append(("inverse", 0, None, None, inverse(rows), len(rows), None))
                 else:
-                    r = eliminate(rows, int(augment), reduce=what in ("rref", "trace"), trace=what.endswith("trace"))
+                    kept = "whole" if what.endswith("trace") else "changes" if what.endswith("changes") else ""
+                    r = eliminate(rows, int(augment), reduce=what in ("rref", "trace", "changes"), trace=kept)
                     if what in ("ref", "rref"):
                         parts.append((what, 0, None, None, r.rows, augment, r.pivots))
-                    elif what.endswith("trace"):
-                        parts += [("trace", k, op, label, a, augment, None) for k, (op, label, a) in enumerate(r.steps, 1)]
+                    elif kept:
+                        parts += [(kept, k, x.op, x.label, x.rows, augment, None, x) for k, x in enumerate(r.steps, 1)]
                     else:
                         n = len(rows)
                         p = [[Fraction(int(r.perm[i] == j)) for j in range(n)] for i in range(n)]
@@ -143,8 +168,8 @@ def kernel(what: str, real: bool = False):
                             for i, k in enumerate(r.perm):
                                 back[k] = r.lower[i]
                             parts += [("lower", 0, None, None, back, n, None), ("U", 0, None, None, r.rows, augment, r.pivots)]
-                for part, step, op, label, a, line, pivots in parts:
-                    out.append((m, part, step, op, label, len(a), len(a[0]), int(line), pivots, *_flat(a, real)))
+                for part, step, op, label, a, line, pivots, *by in parts:
+                    out.append((m, part, step, op, label, len(a), int(cols) if by else len(a[0]), int(line), pivots, *_flat(a, real), *_moved(by, real)))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in OUT.split(", ")])
 
     return run

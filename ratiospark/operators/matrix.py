@@ -338,6 +338,33 @@ class MatrixFrame:
         in row order."""
         return self._eliminated("trace" if reduced else "ref trace").select(ID, "step", "op", "label", "n_cols", "num", "den")
 
+    def changes(self, reduced: bool = True) -> DataFrame:
+        """matrix_id, step, op, label, target, source, factor_num, factor_den, num, den: the same steps, each with the numbers of the row that it
+        changes (none for a swap), so that a step costs as many numbers as the matrix has columns. See replay."""
+        out = self._eliminated("changes" if reduced else "ref changes")
+        return out.select(ID, "step", "op", "label", "target", "source", "factor_num", "factor_den", "num", "den")
+
+    def replay(self, steps: DataFrame) -> MatrixFrame:
+        """The matrices after their steps (matrix_id, step, op, target, source, factor_num, factor_den), as one fold within the JVM: rows change
+        places, are multiplied or added to. Numbers must fit 38 digits. A matrix without steps stays as it is."""
+        if self.kind is DOUBLE:
+            raise TypeError("doubles are no exact numbers")
+        factor = F.struct(F.col("factor_num").cast(frac.DECIMAL).alias("num"), F.col("factor_den").cast(frac.DECIMAL).alias("den"))
+        lists = steps.groupBy(ID).agg(F.array_sort(F.collect_list(F.struct("step", "op", "target", "source", factor.alias("k")))).alias("steps"))
+        given = self.to_fraction().dense().join(lists, ID, "left")
+
+        def step(m: Column, s: Column) -> Column:
+            other, k = F.get(m, s["source"]), frac.mark(s["k"])
+            scaled = lambda row: F.transform(row, lambda x: frac.mul(frac.mark(x), k))
+            added = lambda row: F.zip_with(row, other, lambda x, y: frac.add(frac.mark(x), frac.mul(frac.mark(y), k)))
+            swapped = lambda row, i: F.when(i == s["target"], other).when(i == s["source"], F.get(m, s["target"])).otherwise(row)
+            changed = lambda row: F.when(s["op"] == "scale", scaled(row)).otherwise(added(row))
+            return F.when(s["op"] == "swap", F.transform(m, swapped)).otherwise(F.transform(m, lambda row, i: F.when(i == s["target"], changed(row)).otherwise(row)))
+
+        done = given.select(ID, F.when(F.col("steps").isNull(), F.col("m")).otherwise(F.aggregate("steps", F.col("m"), step)).alias("m"))
+        cells = done.select(ID, F.posexplode("m").alias("i", "r")).select(ID, "i", F.posexplode("r").alias("j", "val"))
+        return self._with(cells, kind=FRAC)
+
     # text
 
     def render(self) -> DataFrame:

@@ -588,6 +588,21 @@ def mat_trace(spark, sf_dir):
     return S(spark, sf_dir).trace().select(ID, "step", "op", "label", F.array_join(F.zip_with("num", "den", lambda p, q: F.concat_ws("/", p, q)), ",").alias("numbers"))
 
 
+@query(ORACLE_SQL["mat_rref_aug"])
+def mat_trace_replay(spark, sf_dir):
+    """The steps of the trace, done one after another to the matrices, give the reduced form."""
+    a = S(spark, sf_dir).insert_cols(right_side(spark, sf_dir)).augment_line()
+    return _cells(a.replay(a.changes()))
+
+
+@query(" UNION ALL ".join(f"SELECT '{part}' AS part, * FROM ({_cells_sql(_int(cells))}) x" for part, cells in (("swaps", _TALL_U), ("plain", _U))))
+def mat_trace_replay_ref(spark, sf_dir):
+    """The same of the echelon form, with and without changes of rows."""
+    parts = {"swaps": _placed(spark, sf_dir, _TALL), "plain": S(spark, sf_dir)}
+    swaps, plain = (_cells(a.replay(a.changes(reduced=False))).select(F.lit(part).alias("part"), "*") for part, a in parts.items())
+    return swaps.unionByName(plain)
+
+
 @query(f"WITH {S_SQL}, T AS (SELECT matrix_id, i, j, CAST(val AS VARCHAR) AS s, MAX(length(CAST(val AS VARCHAR))) OVER (PARTITION BY matrix_id) AS w FROM S), P AS (SELECT matrix_id, i, '[' || string_agg((CASE WHEN j = 2 THEN ' | ' ELSE '' END) || {_pad('s', 'w')}, '' ORDER BY j) || ']' || chr(10) AS line FROM T GROUP BY 1, 2) SELECT matrix_id, string_agg(line, '' ORDER BY i) AS text FROM P GROUP BY 1")
 def mat_render(spark, sf_dir):
     return S(spark, sf_dir).augment_line().render()

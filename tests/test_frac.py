@@ -1,3 +1,5 @@
+import math
+import random
 from decimal import Decimal
 from fractions import Fraction
 
@@ -74,3 +76,75 @@ def test_gcd_null_text(spark):
     assert spark.createDataFrame([(None,)], "a long").select(frac.add(F.col("a"), 1).alias("x")).first().x is None
     r = spark.range(1).select(frac.text(frac.frac(1, 16)).alias("t"), frac.repr_(frac.frac(2, -6)).alias("r"), frac.ratio(frac.frac(4, 2)).alias("q")).first()
     assert tuple(r) == ("0.062", "fraction(-1, 3)", "2")
+
+
+def long_pairs(n, seed):
+    """Operands of up to 38 digits: random, near each other, of common denominators, and of every sign."""
+    r = random.Random(seed)
+    whole = lambda: r.choice([-1, 1]) * r.randrange(10 ** r.randint(0, 38))
+    rows = [(1, 10**20, 1, 10**20), (10**20, 3, 10**20, 7 * 10**19 + 1), (10**38 - 1, 10**38 - 2, 10**38 - 2, 10**38 - 3), (1 - 10**38, 1, 10**38 - 1, 1), (0, 1, 1, 10**38 - 1), (-(10**37), 3, -(10**37) - 1, 3)]
+    for _ in range(n):
+        a, b = whole(), abs(whole()) or 1
+        rows.append((a, b, whole(), abs(whole()) or 1))
+        rows.append((a, b, a + r.choice([-1, 0, 1]) if abs(a) < 10**38 - 1 else a, b))
+        d = abs(whole()) % 10**18 + 1
+        rows.append((whole() % 10**18, d, -(whole() % 10**18), d * r.randint(1, 9)))
+    return rows
+
+
+def test_comparison_of_any_two(spark):
+    rows = long_pairs(150, 1)
+    pair = lambda p, q: frac.mark(F.struct(F.col(p).cast(frac.DECIMAL).alias("num"), F.col(q).cast(frac.DECIMAL).alias("den")))
+    reduced = [(f.numerator, f.denominator, g.numerator, g.denominator) for f, g in ((Fraction(a, b), Fraction(c, d)) for a, b, c, d in rows)]
+    df = spark.createDataFrame([tuple(map(str, r)) for r in reduced], "a string, b string, c string, d string")
+    x, y = pair("a", "b"), pair("c", "d")
+    for r in df.select("*", frac.compare(x, y).alias("z"), *[getattr(frac, n)(x, y).alias(n) for n in ("lt", "le", "gt", "ge", "eq")]).collect():
+        p, q = Fraction(int(r.a), int(r.b)), Fraction(int(r.c), int(r.d))
+        assert (r.z, r.lt, r.le, r.gt, r.ge, r.eq) == ((p > q) - (p < q), p < q, p <= q, p > q, p >= q, p == q), (p, q)
+    assert spark.range(1).select(frac.compare(F.lit(None).cast("long"), 1).alias("x"), frac.lt(frac.frac(1, 3), 0.5).alias("y")).first()[:] == (None, True)
+
+
+def within(f, *parts):
+    """Whether result and the parts that the method multiplies fit 38 digits."""
+    return all(abs(v) < 10**38 for v in (f.numerator, f.denominator, *parts))
+
+
+@pytest.mark.parametrize("op", ["add", "sub", "mul", "div"])
+def test_results_that_fit_are_given(spark, op):
+    """Intermediates are no longer than the operands' common form: sums by the divisor of the denominators, products cancelled crosswise."""
+    rows = []
+    for a, b, c, d in long_pairs(120, 2):
+        p, q = Fraction(a, b), Fraction(c, d)
+        g = math.gcd(p.denominator, q.denominator)
+        u, v = p.numerator * (q.denominator // g), q.numerator * (p.denominator // g)
+        want = p + q if op == "add" else p - q if op == "sub" else p * q if op == "mul" else p / q if q else None
+        if want is not None and within(want, *((u, v, u + v, u - v) if op in ("add", "sub") else ())):
+            rows.append((*map(str, (p.numerator, p.denominator, q.numerator, q.denominator, want.numerator, want.denominator)),))
+    pair = lambda p, q: frac.mark(F.struct(F.col(p).cast(frac.DECIMAL).alias("num"), F.col(q).cast(frac.DECIMAL).alias("den")))
+    df = spark.createDataFrame(rows, "a string, b string, c string, d string, n string, m string")
+    got = df.select("n", "m", getattr(frac, op)(pair("a", "b"), pair("c", "d")).alias("z")).collect()
+    assert len(got) > 60 and all((str(int(r.z["num"])), str(int(r.z["den"]))) == (r.n, r.m) for r in got)
+
+
+def test_sums_that_cancel(spark):
+    r = spark.range(1).select(frac.add(frac.frac(1, F.lit(Decimal(10**20))), frac.frac(1, F.lit(Decimal(10**20)))).alias("x")).first().x
+    assert value(r) == Fraction(1, 5 * 10**19)
+
+
+def rounded(f, digits):
+    n, d = abs(f.numerator) * 10**digits, f.denominator
+    q, r = divmod(n, d)
+    q += 2 * r > d or 2 * r == d and q % 2
+    s = str(q).rjust(digits + 1, "0")
+    return ("-" if f < 0 else "") + (f"{s[:-digits]}.{s[-digits:]}" if digits else s)
+
+
+@pytest.mark.parametrize("digits", [3, 0, 7])
+def test_text_is_exact(spark, digits):
+    numbers = [Fraction(a, b) for a, b, _, _ in long_pairs(100, 3)] + [Fraction(10**30, 7), Fraction(-1, 3000), Fraction(1, 2000), Fraction(3, 2000), Fraction(1999, 2000), Fraction(-19999, 20000), Fraction(10**38 - 1, 10**38 - 2), Fraction(1, 10**37 * 3), Fraction(5, 2), Fraction(7, 2), Fraction(0)]
+    numbers = [f for f in numbers if within(f)]
+    df = spark.createDataFrame([(str(f.numerator), str(f.denominator)) for f in numbers], "a string, b string")
+    x = frac.mark(F.struct(F.col("a").cast(frac.DECIMAL).alias("num"), F.col("b").cast(frac.DECIMAL).alias("den")))
+    for r in df.select("*", frac.text(x, digits).alias("t")).collect():
+        assert r.t == rounded(Fraction(int(r.a), int(r.b)), digits), (r.a, r.b)
+    assert spark.range(1).select(frac.text(frac.frac(F.lit(None).cast("long"), 2)).alias("t")).first().t is None

@@ -266,3 +266,25 @@ def test_plan_of_products(spark, abt, tmp_path):
     b = MatrixFrame(spark.read.parquet(str(tmp_path / "b")), abt["B"].header)
     plan = abt["A"].matmul(b).cells._jdf.queryExecution().executedPlan().toString()
     assert "EvalPython" not in plan and "Cartesian" not in plan and "BroadcastHashJoin" in plan
+
+
+@pytest.mark.parametrize("reduced", [True, False])
+def test_replay_of_changes(spark, reduced):
+    """The steps' rows and the replayed matrices against the whole trace and the eliminated form."""
+    r = random.Random(9)
+    made = {k: [[r.choice([0, 0, 1, -2, 3, Q(1, 2)]) for _ in range(c)] for _ in range(n)] for k, (n, c) in enumerate([(1, 1), (3, 3), (4, 2), (2, 5), (4, 5), (3, 4)])}
+    made[9] = [[1, 0], [0, 1]]
+    m = from_literals(spark, made, {3: 3, 4: 4})
+    steps = m.changes(reduced)
+    want = m.rref() if reduced else m.ref()
+    assert sorted(m.replay(steps).cells.collect(), key=str) == sorted(want.to_fraction().cells.select(ID, "i", "j", "val").collect(), key=str)
+    whole = {(x[ID], x["step"]): x for x in m.trace(reduced).collect()}
+    seen = steps.collect()
+    assert len(seen) == len(whole) and 9 not in {x[ID] for x in seen}
+    for x in seen:
+        w, cols = whole[x[ID], x["step"]], len(made[x[ID]][0])
+        assert (x["op"], x["label"]) == (w["op"], w["label"]) and len(x["num"]) == (0 if x["op"] == "swap" else cols)
+        if x["op"] != "swap":
+            assert x["num"] == w["num"][x["target"] * cols : (x["target"] + 1) * cols] and x["den"] == w["den"][x["target"] * cols : (x["target"] + 1) * cols]
+    with pytest.raises(TypeError):
+        m.to_double().replay(steps)

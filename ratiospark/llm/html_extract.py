@@ -45,18 +45,19 @@ AWAY_WORDS = frozenset(
 )
 NEAR_WORDS = frozenset("article articlebody content post entry story main maintext bodytext text prose markdown".split())
 
-#: Log-odds of a block lie within CAP, so that no block's own features can outweigh all that stands around it.
+#: Log-odds of a block's own text lie within CAP, so that they can outweigh neither the markup nor all that stands around it.
 CAP = 4.0
+#: What the markup adds: in `article` or `main`; outside them on a page that has one; within an element named like a text's body.
+#: What is within an element that is marked as something else is none whatever else holds (AWAY).
+INSIDE, OUTSIDE, NEAR, AWAY = 6.0, -8.0, 3.0, -40.0
 #: Pages that fit the classifier, chosen by a hash of the whole page.
 FIT_PAGES = 400
-#: Elements above a block whose names are features.
-NEAR_ELEMENTS = 6
 #: Blocks of a page up to which all that their own scores don't settle goes through maximum flow.
 SMALL = 300
 #: Factors of the smoothness that the fit tries.
 FACTORS = (0.0, 0.25, 0.5, 1.0, 1.5)
-#: For tables in which no page marks its article: log-odds by feature, and the smoothness by distance in the tree (see _distance).
-PRIOR = {"bias": -1.2, "word": 0.9, "sentence": 1.0, "linked": -4.5, "heading": 1.0, "paragraph": 0.8, "item": -0.3, "article": 4.0, "outside": -4.0, "near": 2.0, "away": -40.0, "rights": -3.0}
+#: Fixed log-odds by feature, which count beside the fitted ones; and, for tables in which no page marks its article, the smoothness by distance in the tree (see _distance).
+PRIOR = {"bias": -1.2, "word": 0.9, "sentence": 1.0, "linked": -4.5, "heading": 1.0, "paragraph": 0.8, "item": -0.3, "rights": -3.0}
 PRIOR_EDGES = (1.2, 0.9, 0.5, 0.3, 0.1)
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|--!>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']|"[^"]*+"|'[^']*+')*+|[^>]*+)>|</?[a-zA-Z][^>]*\Z|[^<]++|<""", re.S)
@@ -77,7 +78,8 @@ class _Element:
     near: bool = False
     article: bool = False
     block: str = ""  # the nearest block element's tag
-    names: tuple = ()  # its tag, role and words of class and id
+    own: bool = False  # it is an article or named like one
+    holds: bool = False  # such an element, or a title, is in it
     chars: int = 0
 
 
@@ -89,28 +91,28 @@ class Block:
     features: dict = field(default_factory=dict)
 
 
-def _open(tag: str, attrs: str, parent: _Element | None) -> _Element:
-    e = _Element(tag, parent, parent.depth + 1 if parent else 0, near=bool(parent and parent.near), block=tag if tag in BLOCK or parent is None else parent.block)
-    e.article = tag in ("article", "main") or bool(parent and parent.article)
+def _open(tag: str, attrs: str, parent: _Element) -> _Element:
+    e = _Element(tag, parent, parent.depth + 1, near=parent.near, article=parent.article, block=tag if tag in BLOCK else parent.block)
+    e.own = tag in ("article", "main")
+    e.article |= e.own
     e.away = tag in AWAY_TAGS or tag == "header" and not e.article
-    names = [f"t:{tag}"]
     if attrs:
         for name, value in _ATTR.findall(attrs):
             name, value = name.lower(), value.strip("\"'")
             if name == "role":
-                names.append(f"r:{value.lower()}")
                 e.away |= value.lower() in AWAY_ROLES
-                e.article |= value.lower() in ("main", "article")
+                if value.lower() in ("main", "article"):
+                    e.own = e.article = True
             elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
                 e.away = True
             elif name in ("class", "id") and tag not in ("html", "body", "article", "main"):
                 words = {w.lower() for w in _WORDS.findall(value)}
-                names += [f"c:{w}" for w in words]
                 e.marked |= bool(words & AWAY_WORDS) or "header" in words and not e.article
+                e.own |= bool(words & NEAR_WORDS)
                 e.near |= bool(words & NEAR_WORDS)
             elif name in ("class", "id") and tag == "article":
                 e.marked |= bool({w.lower() for w in _WORDS.findall(value)} & {"comment", "comments", "reply", "ad", "advert", "sponsored", "related", "promo"})
-    e.names = tuple(names)
+    e.holds = e.own or tag == "h1"
     return e
 
 
@@ -218,9 +220,17 @@ def _settle(found: list[Block], made: list[_Element]) -> None:
         total += len(b.text)
     for e in reversed(made[1:]):
         e.parent.chars += e.chars
+        e.parent.holds |= e.holds
+    held, holder = 0, {id(made[0]): None}  # text in outermost articles; each element's innermost one
     for e in made[1:]:
-        # a class that encloses most of the page's text says nothing about a part of it
-        e.away |= e.parent.away or e.marked and 2 * e.chars <= total
+        outer = holder[id(e.parent)]
+        held += e.chars if e.own and outer is None else 0
+        holder[id(e)] = e if e.own else outer
+    for e in made[1:]:
+        # a class that encloses most of the page's text says nothing about a part of it, unless there is an article, or a title and more text, besides
+        outer = holder[id(e)]
+        besides = held or (total - e.chars) * made[0].holds if outer is None else 0 if outer is e else outer.chars - e.chars
+        e.away |= e.parent.away or e.marked and (2 * e.chars <= total or not e.holds and 10 * besides >= e.chars)
 
 
 def _kind(tag: str) -> str:
@@ -228,39 +238,36 @@ def _kind(tag: str) -> str:
 
 
 def _prior(found: list[Block]) -> list[float]:
-    has_article, scores = any(b.element.article for b in found), []
+    scores = []
     for b in found:
         words = b.text.count(" ") + 1
         s = PRIOR["bias"] + PRIOR["word"] * math.log1p(words) + PRIOR["linked"] * min(1.0, b.linked / max(1, len(b.text)))
         s += {"h": PRIOR["heading"], "p": PRIOR["paragraph"], "i": PRIOR["item"], "o": 0.0}[_kind(b.element.block)]
         if _SENTENCE.search(b.text, max(0, len(b.text) - 1)) or words > 15 and _SENTENCE.search(b.text):
             s += PRIOR["sentence"]
-        if has_article:
-            s += PRIOR["article"] if b.element.article else PRIOR["outside"]
-        s += PRIOR["near"] * b.element.near + PRIOR["away"] * b.element.away
         if words < 40 and _RIGHTS.search(b.text):
             s += PRIOR["rights"]
-        scores.append(s)
+        scores.append(max(-CAP, min(CAP, s)))
     return scores
 
 
-def features(found: list[Block]) -> list[tuple[list[str], list[str]]]:
-    """For each block the names of its text's and links' features, and those of its kind (which begin with k) and of names in the markup
-    around it. Where it stands among others is left to the smoothness."""
-    out, has_article = [], any(b.element.article for b in found)
+def _markup(found: list[Block]) -> list[float]:
+    """What the markup around each block adds to its score."""
+    has_article = any(b.element.article and not b.element.away for b in found)
+    return [AWAY if e.away else (NEAR if e.near else 0.0) + (INSIDE if e.article else OUTSIDE if has_article else 0.0) for e in (b.element for b in found)]
+
+
+def features(found: list[Block]) -> list[list[str]]:
+    """For each block the names of its text's and links' features. Its element's kind isn't one: where articles are all of `p` and adverts of
+    `div`, it would stand for the article. Where a block stands is left to the smoothness, and what the markup says to _markup."""
+    out = []
     for b in found:
         size, linked = min((b.text.count(" ") + 1).bit_length(), 9), math.ceil(4 * min(1.0, b.linked / max(1, len(b.text))))
-        kind, e = _kind(b.element.block), b.element
         end = bool(_SENTENCE.search(b.text, max(0, len(b.text) - 1)))
-        plain, kinds = [f"w{size}", f"l{linked}", f"s{end}", f"lw{linked}{size}", f"sw{end}{size}"], [f"k{kind}", f"kw{kind}{size}", f"ks{kind}{end}"]
+        names = [f"w{size}", f"l{linked}", f"s{end}", f"lw{linked}{size}", f"sw{end}{size}"]
         if size < 6 and _RIGHTS.search(b.text):
-            plain.append("rights")
-        named = [f"#{what}" for what, is_ in (("away", e.away), ("article", e.article), ("outside", has_article and not e.article), ("near", e.near)) if is_]
-        k = 0
-        while e.parent is not None and k < NEAR_ELEMENTS:
-            named += e.names
-            e, k = e.parent, k + 1
-        out.append((plain, kinds + list(dict.fromkeys(named))))
+            names.append("rights")
+        out.append(names)
     return out
 
 
@@ -279,9 +286,9 @@ class BlockModel:
     classifier: OrdinalModel
     edges: tuple[float, ...]
 
-    def scores(self, features_: list[tuple[list[str], list[str]]], names: bool = True) -> list[float]:
+    def scores(self, features_: list[list[str]]) -> list[float]:
         weights, buckets, edge = self._weights()
-        found = [math.fsum(weights.get(x, 0.0) for x in {buckets[f] for f in (plain + named if names else plain)}) - edge for plain, named in features_]
+        found = [math.fsum(weights.get(x, 0.0) for x in {buckets[f] for f in names}) - edge for names in features_]
         return [max(-CAP, min(CAP, s)) for s in found]
 
     def _weights(self):
@@ -318,14 +325,19 @@ def _distance(a: _Element, b: _Element) -> int:
     return 2 if steps <= 3 else 3 if steps <= 5 else 4
 
 
+def _together(a: _Element, b: _Element) -> bool:
+    return a.away == b.away and a.article == b.article
+
+
 def _edges(found: list[Block]) -> list[tuple[int, int, int]]:
-    """Neighbours, and the last block before that has the same parent, with their distance."""
+    """Neighbours, and the last block before that has the same parent, with their distance. None crosses the border of the article or of what
+    is marked as something else."""
     links, last = [], {}
     for i, b in enumerate(found):
-        if i:
+        if i and _together(found[i - 1].element, b.element):
             links.append((i - 1, i, _distance(found[i - 1].element, b.element)))
         parent = id(b.element.parent or b.element)
-        if (j := last.get(parent, i)) < i - 1:
+        if (j := last.get(parent, i)) < i - 1 and _together(found[j].element, b.element):
             links.append((j, i, 1))
         last[parent] = i
     return links
@@ -333,8 +345,8 @@ def _edges(found: list[Block]) -> list[tuple[int, int, int]]:
 
 def minimum_cut(scores: list[float], links: list[tuple[int, int, float]]) -> list[bool]:
     """Labels with the least sum of terminal costs (a positive score is paid when labelled False, a negative one's size
-    when labelled True) and of the links between unlike labels. A block whose score outweighs its links is settled at once, which
-    is part of a minimum cut; the rest goes through maximum flow. Of many blocks (SMALL) those are settled too that outweigh what is left
+    when labelled True) and of the links between unlike labels. Of equal cuts the one with the least content is
+    taken. A block whose score outweighs its links is settled at once, which is part of that cut; the rest goes through maximum flow. Of many blocks (SMALL) those are settled too that outweigh what is left
     of their links then, as often as there are some, which keeps the flow small and the cut minimal."""
     n = len(scores)
     near: list[dict[int, float]] = [{} for _ in range(n)]
@@ -346,7 +358,7 @@ def minimum_cut(scores: list[float], links: list[tuple[int, int, float]]) -> lis
     queue = deque(range(n))
     while queue:
         i = queue.popleft()
-        if label[i] is None and abs(score[i]) >= pull[i]:
+        if label[i] is None and (score[i] > pull[i] or -score[i] >= pull[i]):
             label[i] = score[i] > 0
             for j, w in near[i].items():
                 if label[j] is None:
@@ -396,10 +408,14 @@ def _max_flow(score: list[float], near: list[dict[int, float]]) -> list[bool]:
             cap[b][a] = cap[b].get(a, 0.0) + flow
 
 
-def labels(found: list[Block], made: list[_Element], model: BlockModel | None, names: bool = True, cut: bool = True) -> list[bool]:
-    """Content or not, of each block. names: whether kinds and markup's names count; cut: whether smoothness does."""
+def labels(found: list[Block], made: list[_Element], model: BlockModel | None, markup: bool = True, cut: bool = True) -> list[bool]:
+    """Content or not, of each block. markup: whether what is around the blocks counts; cut: whether smoothness does."""
     _settle(found, made)
-    scores = _prior(found) if model is None else model.scores(features(found), names)
+    scores = _prior(found)
+    if model is not None:  # half and half, so that a table whose adverts read like articles doesn't make all text suspect
+        scores = [(a + b) / 2 for a, b in zip(scores, model.scores(features(found)), strict=True)]
+    if markup:
+        scores = [a + b for a, b in zip(scores, _markup(found), strict=True)]
     edges = PRIOR_EDGES if model is None else model.edges
     return minimum_cut(scores, [(i, j, edges[d]) for i, j, d in _edges(found)] if cut else [])
 
@@ -409,7 +425,7 @@ def main_text(page: str | None, model: BlockModel | None = None) -> str:
     return "\n".join(b.text for b, content in zip(found, labels(found, made, model), strict=True) if content)
 
 
-def _taught(page: str | None) -> tuple[list[tuple[list[str], list[str]]], list[int], list[tuple[int, int, int]]] | None:
+def _taught(page: str | None) -> tuple[list[list[str]], list[int], list[tuple[int, int, int]]] | None:
     """Features, distant labels and edges of a page that marks its article: content is what stands in `article` or `main` and under nothing
     that is marked as something else."""
     found, made = blocks(page or "")
@@ -421,25 +437,18 @@ def _taught(page: str | None) -> tuple[list[tuple[list[str], list[str]]], list[i
 def fit_blocks(pages: list[str | None]) -> BlockModel | None:
     """A model of the blocks of those pages that mark their article; None without any.
 
-    Each block stands in the fit as it is, without its markup's names, without its kind too (so that text and links count), and, if it is
-    marked as something else than the article, also as if it stood within the article. The smoothness by distance is half the log odds
-    that blocks so far apart have one label, times the factor of FACTORS that labels most blocks rightly on the second half of the pages,
-    as they are and bare of names and kinds, under a classifier of the first half."""
+    Text and links are fitted; what the markup says is fixed (_markup), or the fit would leave it out wherever the text tells as much on the
+    pages at hand. The smoothness by distance is half the log odds that blocks so far apart have one label, times the factor of FACTORS that
+    labels most blocks rightly on the second half of the pages, by text alone, under a classifier of the first half; of equally good
+    factors the one nearest to 1."""
     taught = [t for t in map(_taught, pages) if t]
     if not taught:
         return None
     buckets = _Buckets()
 
     def classifier(part: list) -> OrdinalModel:
-        forms: Counter = Counter()  # equal ones are one row of the fit
-        for blocks_, label, _ in part:
-            for (plain, rest), c in zip(blocks_, label, strict=True):
-                forms[(frozenset(plain + rest), c)] += 1
-                forms[(frozenset(plain + [n for n in rest if n[0] == "k"]), c)] += 1
-                forms[(frozenset(plain), c)] += 1
-                if "#away" in rest:
-                    forms[(frozenset(plain + [n for n in rest if n != "#outside"] + ["#article", "t:article"]), c)] += 1
-        rows = sorted((tuple(sorted({buckets[n] for n in names})), c, times) for (names, c), times in forms.items())
+        forms = Counter((tuple(sorted({buckets[n] for n in names})), c) for blocks_, label, _ in part for names, c in zip(blocks_, label, strict=True))
+        rows = sorted((names, c, times) for (names, c), times in forms.items())  # equal ones are one row of the fit
         return fit([np.array(names) for names, _, _ in rows], np.array([c for _, c, _ in rows]), np.array([float(times) for _, _, times in rows]), 2, l1=1e-4, least_rows=1)
 
     same = np.ones((len(PRIOR_EDGES), 2))
@@ -449,11 +458,11 @@ def fit_blocks(pages: list[str | None]) -> BlockModel | None:
     smooth = np.maximum.accumulate(np.clip(0.5 * np.log(same[:, 1] / same[:, 0]), 0, CAP / 2)[::-1])[::-1]  # never less between nearer blocks
     half = BlockModel(classifier(taught[: -(-len(taught) // 2)]), (0.0,) * len(smooth))
     tried = []
-    held = [(half.scores(f, names), label, edges) for f, label, edges in taught[len(taught) // 2 :] for names in (True, False)]
+    held = [(half.scores(f), label, edges) for f, label, edges in taught[len(taught) // 2 :]]
     for factor in FACTORS:
         right = sum(int(a) == c for scores, label, edges in held for a, c in zip(minimum_cut(scores, [(i, j, factor * float(smooth[d])) for i, j, d in edges]), label, strict=True))
-        tried.append((right, -factor))
-    factor = -max(tried)[1]
+        tried.append((right, -abs(factor - 1), factor))
+    factor = max(tried)[2]
     return BlockModel(classifier(taught), tuple(factor * float(x) for x in smooth))
 
 

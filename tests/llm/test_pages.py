@@ -3,6 +3,7 @@
 import gzip
 import io
 import itertools
+import os
 import random
 import re
 import time
@@ -124,6 +125,60 @@ def test_fitted_extraction_of_held_out_pages(spark):
     assert html_extract.fit_blocks([LONG, None, "<p>x</p>"]) is None and html_extract.fit_blocks([]) is None
 
 
+def other_pages(n, seed=8):
+    """Pages of another make than the fitted ones: all parts are full of sentences, and what isn't the article stands in it or beside it."""
+    r, out = random.Random(seed), []
+    sentence = lambda: " ".join(f"v{r.randrange(500)}" for _ in range(r.randint(9, 30))).capitalize() + "."
+    for _ in range(n):
+        p = r.choice(["<p>{}</p>", "<div>{}</div>"])
+        many = lambda a, b, p=p: "".join(p.format(sentence()) for _ in range(r.randint(a, b)))
+        away = [
+            f"<section id=comments><h2>{sentence()}</h2>{many(2, 9)}</section>", "".join(f"<div class=comment>{many(1, 2)}</div>" for _ in range(3)), f"<ol class=commentlist><li>{many(1, 2)}<li>{many(1, 2)}</ol>",
+            f"<div class=advert>{many(1, 3)}</div>", f"<div class='newsletter-signup'>{many(1, 2)}<form>{sentence()}<input></form></div>", f"<aside>{many(1, 3)}</aside>", f"<div role=alert>{many(1, 1)}</div>",
+            f"<div id=cookie-notice>{many(1, 2)}</div>", f"<form>{many(1, 2)}</form>", f"<div class='related-posts'><ul><li>{sentence()}<li>{sentence()}</ul></div>", f"<footer>{many(1, 3)}</footer>", f"<nav><ul><li><a href=x>{sentence()}</a></ul></nav>",
+        ]
+        body = [sentence() for _ in range(r.randint(3, 12))]
+        inner, want = [], []
+        for k, x in enumerate(body):
+            inner.append(p.format(x) if k else f"<h1>{x}</h1>")
+            want.append(x)
+            if r.random() < 0.15:
+                inner.append(r.choice(away))
+        start, end = r.choice([("<article>", "</article>"), ("<main>", "</main>"), ("<div class=post-content>", "</div>"), ("<div>", "</div>"), ("<article><div class='entry'>", "</div></article>")])
+        beside = [r.choice(away) for _ in range(r.randint(1, 6))]
+        k = r.randint(0, len(beside))
+        out.append(("<body>" + "".join(beside[:k]) + start + "".join(inner) + end + "".join(beside[k:]) + "</body>", "\n".join(want)))
+    return out
+
+
+def test_pages_of_another_make():
+    """Comments, adverts, asides, notices, forms, menus and footers full of sentences, inside or beside articles that are marked, named or plain."""
+    pages = other_pages(300)
+    shown = [page for page, _ in other_pages(60, 1) if "<article>" in page or "<main>" in page]
+    for model in (html_extract.fit_blocks(shown), None):  # and with the fixed values
+        assert not [page for page, want in pages if main_text(page, model) != want]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no tables")
+def test_a_model_of_the_table_serves_pages_of_another_make(spark):
+    model = html_extract.fit_pages(spark.read.parquet("/root/testdata/sf0.001/pages.parquet"))
+    assert model is not None and not [page for page, want in other_pages(300) if main_text(page, model) != want]
+
+
+def test_long_pages_get_the_same_labels(monkeypatch):
+    """Ties too, on both sides of SMALL: an equal cut may be another one, but which blocks are content does not depend on the page's length."""
+    r = random.Random(4)
+    for _ in range(300):
+        n = r.randint(2, 12)
+        s = [float(r.randint(-4, 4)) for _ in range(n)]
+        links = [(i - 1, i, 2.0) for i in range(1, n)]
+        found = []
+        for small in (0, 300):
+            monkeypatch.setattr(html_extract, "SMALL", small)
+            found.append(html_extract.minimum_cut(s, links))
+        assert found[0] == found[1], (s, found)
+
+
 def test_the_cut_changes_labels_for_the_better():
     """Held-out pages whose markup says nothing: no names, and every block of one kind."""
     model = html_extract.fit_blocks([p for p, _ in made_pages(150)])
@@ -132,7 +187,7 @@ def test_the_cut_changes_labels_for_the_better():
         found, made = html_extract.blocks(page)
         truth = [b.element.article and not b.element.marked for b in found]
         assert "\n".join(b.text for b, t in zip(found, truth, strict=True) if t) == want
-        with_, without = (html_extract.labels(*html_extract.blocks(page), model, names=False, cut=cut) for cut in (True, False))
+        with_, without = (html_extract.labels(*html_extract.blocks(page), model, markup=False, cut=cut) for cut in (True, False))
         n += len(truth)
         changed += sum(a != b for a, b in zip(with_, without, strict=True))
         right += sum(a == b for a, b in zip(with_, truth, strict=True))
@@ -146,7 +201,7 @@ def test_labels_come_through_maximum_flow(monkeypatch):
     monkeypatch.setattr(html_extract, "_max_flow", lambda *a: calls.append(1) or flow(*a))
     model = html_extract.fit_blocks([p for p, _ in made_pages(150)])
     for page, _ in made_pages(60, 6):
-        html_extract.labels(*html_extract.blocks(page), model, names=False)
+        html_extract.labels(*html_extract.blocks(page), model, markup=False)
     assert calls
 
 

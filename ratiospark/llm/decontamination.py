@@ -20,10 +20,16 @@ SEEDS = ("11111", "111101", "110111", "111011")
 #: Words of a reported overlap (an item shorter than that must be covered whole), and its least share of equal words.
 LEAST_WORDS = 13
 LEAST_SIMILARITY = 0.8
+#: Hits, and cells of diagonals, that are held at once.
+HITS = 1 << 20
+CELLS = 1 << 20
+#: Words of an item beyond which its diagonals are scored one by one.
+LONG_ITEM = 512
 #: Words of benchmark items searched for in one pass over the documents.
 BLOCK_WORDS = 500_000
 
 _WORD = re.compile(r"\w+")
+_SHIFT_BITS = 42
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 
 
@@ -52,84 +58,161 @@ def segments(n: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False) if b > a]
 
 
+@dataclass
+class _Seed:
+    """The items' windows under one mask, by their hash and that of the window before: items and positions. pairs: sorted hashes of both
+    together, with where their windows begin and end."""
+
+    mask: str
+    hashes: np.ndarray
+    item: np.ndarray
+    at: np.ndarray
+    pairs: np.ndarray
+    begin: np.ndarray
+    end: np.ndarray
+
+    @classmethod
+    def of(cls, mask: str, hashes: np.ndarray, before: np.ndarray, item: np.ndarray, at: np.ndarray) -> _Seed:
+        order = np.lexsort((before, hashes))
+        hashes, before = hashes[order], before[order]
+        begin = np.flatnonzero(np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (before[1:] != before[:-1])]))
+        end, pairs = np.append(begin[1:], len(hashes)), _both(hashes[begin], before[begin])
+        by = np.argsort(pairs)
+        return cls(mask, hashes, item[order], at[order], pairs[by], begin[by], end[by])
+
+    def lines(self, ids: np.ndarray) -> Iterator[np.ndarray]:
+        """Diagonals (see _line) with a hit, in portions of about HITS hits. A hit whose neighbour before is a hit too lies on a diagonal that is
+        known, so repeated words don't multiply."""
+        h, known = _seeded(ids, self.mask)
+        where = np.flatnonzero(known)
+        if not len(where) or not len(self.hashes):
+            return
+        left = np.searchsorted(self.hashes, h[where], "left")
+        hit = self.hashes[np.minimum(left, len(self.hashes) - 1)] == h[where]
+        where, left = where[hit], left[hit]
+        if not len(where):
+            return
+        right = np.searchsorted(self.hashes, h[where], "right")
+        before = np.where((where > 0) & known[where - 1], h[where - 1], 0)
+        pair = _both(h[where], before)
+        k = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
+        same = (self.pairs[k] == pair) & (before != 0)
+        first, last = np.where(same, self.begin[k], right), np.where(same, self.end[k], right)
+        start, times, where = np.concatenate([left, last]), np.concatenate([first - left, right - last]), np.concatenate([where, where])
+        total = np.cumsum(times)
+        cuts = np.searchsorted(total, np.arange(HITS, total[-1] + HITS, HITS), "left") + 1
+        for a, b in zip([0, *cuts[:-1].tolist()], cuts.tolist(), strict=True):
+            n = times[a:b]
+            entry = np.repeat(start[a:b] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            yield np.unique(_line(self.item[entry], np.repeat(where[a:b], n) - self.at[entry]))
+
+
+def _both(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    x = a * _MIX[0] + b
+    return (x ^ (x >> np.uint64(31))) * _MIX[1]
+
+
+def _line(item: np.ndarray, shift: np.ndarray) -> np.ndarray:
+    """An item and by how much its words stand earlier than the text's, as one number."""
+    return (item.astype(np.int64) << _SHIFT_BITS) + shift + (1 << (_SHIFT_BITS - 1))
+
+
 @dataclass
 class SeedIndex:
-    """Benchmark items as word ids, and for each seed its sorted window hashes with their items and positions. Items of under
-    LEAST_WORDS words, which must be covered whole, are looked up by parts of which one is left whole (see segments)."""
+    """Benchmark items as word ids, and for each seed their windows. Items of under LEAST_WORDS words, which must be covered whole, are
+    looked up by parts of which one is left whole (see segments)."""
 
     vocabulary: dict[str, int]
     names: list
     items: list[np.ndarray]
-    seeds: list[tuple[str, np.ndarray, np.ndarray, np.ndarray]]
+    seeds: list[_Seed]
 
     @classmethod
     def of(cls, rows: list[tuple]) -> SeedIndex:
         words = [tokens(text) for _, text in rows]
         vocabulary = {w: xxhash.xxh64_intdigest(w) or 1 for ws in words for w in ws}
         items = [np.array([vocabulary[w] for w in ws], np.uint64) for ws in words]
-        entries: dict[str, list[tuple]] = {}  # seed -> (hashes, item, places)
+        entries: dict[str, list[tuple]] = {}  # seed -> (hashes, those before, item, places)
         for k, x in enumerate(items):
             for seed, places in [(s, None) for s in SEEDS] if len(x) >= LEAST_WORDS else [("1" * n, [at]) for at, n in segments(len(x))]:
                 h = _seeded(x, seed)[0]
+                before = np.concatenate([np.zeros(min(1, len(h)), np.uint64), h[:-1]]) if places is None else np.zeros(len(places), np.uint64)
                 places = np.arange(len(h)) if places is None else np.array(places)
-                entries.setdefault(seed, []).append((h[places], np.full(len(places), k), places))
-        seeds = []
-        for seed in sorted(entries):
-            h, item, at = (np.concatenate(c) for c in zip(*entries[seed], strict=True))
-            order = np.argsort(h, kind="stable")
-            seeds.append((seed, h[order], item[order], at[order]))
+                entries.setdefault(seed, []).append((h[places], before, np.full(len(places), k), places))
+        seeds = [_Seed.of(seed, *[np.concatenate(c) for c in zip(*entries[seed], strict=True)]) for seed in sorted(entries)]
         return cls(vocabulary, [name for name, _ in rows], items, seeds)
 
     def overlaps(self, text: str | None) -> list[tuple]:
-        """(item, start in the text's words, start in the item, words, equal words): the longest overlap for each item."""
+        """(item, start in the text's words, start in the item, words, equal words): the longest overlap for each item, of these the first."""
         ids = np.fromiter(map(lambda w, get=self.vocabulary.get: get(w, 0), tokens(text)), np.uint64)
         if not ids.any():
             return []
-        lines: set[tuple[int, int]] = set()
-        for seed, hashes, item, at in self.seeds:
-            h, known = _seeded(ids, seed)
-            where = np.flatnonzero(known)
-            if not len(where) or not len(hashes):
-                continue
-            left = np.searchsorted(hashes, h[where], "left")
-            hit = hashes[np.minimum(left, len(hashes) - 1)] == h[where]
-            where, left = where[hit], left[hit]
-            if not len(where):
-                continue
-            times = np.searchsorted(hashes, h[where], "right") - left
-            entry = np.repeat(left - np.cumsum(times) + times, times) + np.arange(times.sum())
-            shift = np.repeat(where, times) - at[entry]
-            lines.update(zip(item[entry].tolist(), shift.tolist(), strict=True))
-        best: dict[int, tuple] = {}
-        for k, shift in lines:
-            x = self.items[k]
-            a, b = max(0, -shift), min(len(x), len(ids) - shift)
-            equal = x[a:b] == ids[a + shift : b + shift]
-            if int(equal.sum()) < LEAST_SIMILARITY * min(len(x), LEAST_WORDS):
-                continue
-            i, j = longest(equal)
-            if j - i >= min(len(x), LEAST_WORDS) and (k not in best or (j - i, -(a + i + shift)) > (best[k][3], -best[k][1])):
-                best[k] = (self.names[k], a + i + shift, a + i, j - i, int(equal[i:j].sum()))
-        return [best[k] for k in sorted(best)]
+        lines = np.array([], np.int64)
+        for seed in self.seeds:
+            for found in seed.lines(ids):
+                lines = np.union1d(lines, found)
+        item, shift = lines >> _SHIFT_BITS, (lines & ((1 << _SHIFT_BITS) - 1)) - (1 << (_SHIFT_BITS - 1))
+        cuts = np.flatnonzero(np.diff(item)) + 1
+        best = []
+        for k, shifts in zip(item[np.concatenate([[0], cuts])].tolist() if len(item) else [], np.split(shift, cuts), strict=False):
+            if found := best_overlap(self.items[k], ids, shifts):
+                best.append((self.names[k], *found))
+        return best
+
+
+def best_overlap(x: np.ndarray, ids: np.ndarray, shifts: np.ndarray) -> tuple[int, int, int, int] | None:
+    """Of item x against text ids on the diagonals shifts: (start in the text, start in the item, words, equal words) of the longest range of
+    LEAST_WORDS (or all of x) with LEAST_SIMILARITY equal, of equally long ones the first in the text, then in the item."""
+    m = len(x)
+    least, best = min(m, LEAST_WORDS), None
+    percent = round(100 * LEAST_SIMILARITY)
+    rows = max(1, CELLS // (m + 1))
+    for k in range(0, len(shifts), rows):
+        part = shifts[k : k + rows]
+        at = part[:, None] + np.arange(m)
+        inside = (at >= 0) & (at < len(ids))
+        equal = (ids[np.clip(at, 0, len(ids) - 1)] == x) & inside
+        # no more words than this have the similarity
+        bound = np.minimum(equal.sum(axis=1) * 100 // percent, m)
+        some = np.flatnonzero(bound >= (best[2] if best else least))
+        if not len(some):
+            continue
+        if m > LONG_ITEM:
+            found = []
+            for r in some.tolist():
+                a, b = max(0, -int(part[r])), min(m, len(ids) - int(part[r]))
+                i, j = longest(equal[r, a:b])
+                if j - i >= least:
+                    found.append((-(j - i), a + i + int(part[r]), a + i, r))
+            if found:
+                size, start, place, r = min(found)
+                if best is None or (-size, -start) > (best[2], -best[0]):
+                    best = (start, place, -size, int(equal[r, place : place - size].sum()))
+            continue
+        score = np.where(equal, 100 - percent, np.where(inside, -percent, -100 * (m + 1)))
+        sums = np.concatenate([np.zeros((len(some), 1), np.int64), np.cumsum(score[some], axis=1)], axis=1)
+        for size in range(int(bound[some].max()), (best[2] if best else least) - 1, -1):
+            r, i = np.nonzero(sums[:, size:] >= sums[:, : m + 1 - size])
+            if len(r):
+                start = part[some[r]] + i
+                first = np.lexsort((i, start))[0]
+                if best is None or (size, -int(start[first])) > (best[2], -best[0]):
+                    place = int(i[first])
+                    best = (int(start[first]), place, size, int(equal[some[r[first]], place : place + size].sum()))
+                break
+    return best
 
 
 def longest(equal: np.ndarray) -> tuple[int, int]:
     """The longest range, the first of these, of which LEAST_SIMILARITY is equal."""
-    fifths = np.where(equal, 100 - round(100 * LEAST_SIMILARITY), -round(100 * LEAST_SIMILARITY))
-    sums = np.concatenate([[0], np.cumsum(fifths)])
-    lowest, highest = np.minimum.accumulate(sums), np.maximum.accumulate(sums[::-1])[::-1]
-    # the last end that is as high as a start; starts that are no new minimum are never better
-    best = (0, 0)
-    j = 0
-    for i in range(len(sums)):
-        if i and sums[i] >= lowest[i - 1]:
-            continue
-        j = max(j, i)
-        while j + 1 < len(sums) and highest[j + 1] >= sums[i]:
-            j += 1
-        if j - i > best[1] - best[0]:
-            best = (i, j)
-    return best
+    percent = round(100 * LEAST_SIMILARITY)
+    sums = np.concatenate([[0], np.cumsum(np.where(equal, 100 - percent, -percent))])
+    highest = np.maximum.accumulate(sums[::-1])[::-1]
+    starts = np.flatnonzero(np.concatenate([[True], sums[1:] < np.minimum.accumulate(sums)[:-1]]))  # others are never better
+    # the last end that is as high as the start
+    ends = np.searchsorted(-highest, -sums[starts], "right") - 1
+    k = int(np.argmax(ends - starts))
+    return int(starts[k]), int(ends[k])
 
 
 def _indexes(benchmark: DataFrame, item_col: str, text_col: str, block_words: int):

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -384,6 +385,7 @@ def test_pairs_that_no_first_decides():
     from ratiospark.llm import shingles
 
     cols = {"w": [1, 1, 1, 2, 2, 3], "node": [7, 8, 9, 7, 8, 9], "n": [100] * 6, "at": [0] * 6, "root": [7, 8, 9, 7, 7, 9]}
+    cols |= {s: [0] * 6 for s in shingles._SIGNS}  # equal signatures: no pair is ruled out
     batch = pa.RecordBatch.from_pydict({k: pa.array(v, pa.int64()) for k, v in cols.items()})
     for parts in ([batch], [batch.slice(i, 1) for i in range(6)], [batch.slice(0, 2), batch.slice(2)]):
         found = pa.Table.from_batches(list(shingles._apart(iter(parts)))).to_pylist()
@@ -432,6 +434,64 @@ def test_decontamination(spark, block):
     assert decontamination.drop_contaminated(docs, bench.limit(0)).count() == docs.count()
 
 
+def brute_overlaps(index, text):
+    """All diagonals and all ranges."""
+    words, out = decontamination.tokens(text), []
+    for name, x in sorted(index):
+        item, best = decontamination.tokens(x), None
+        for shift in range(-len(item) + 1, len(words)):
+            a, b = max(0, -shift), min(len(item), len(words) - shift)
+            equal = [item[k] == words[k + shift] for k in range(a, b)]
+            sums = [0, *itertools.accumulate(equal)]
+            for i in range(len(equal)):
+                for j in range(i + min(len(item), 13), len(equal) + 1):
+                    if 5 * (sums[j] - sums[i]) >= 4 * (j - i) and (best is None or (j - i, -(a + i + shift), -(a + i)) > (best[3], -best[1], -best[2])):
+                        best = (name, a + i + shift, a + i, j - i, sums[j] - sums[i])
+        if best:
+            out.append(best)
+    return out
+
+
+@pytest.mark.parametrize("long_item", [512, 20])
+def test_contaminated_against_brute_force(spark, monkeypatch, long_item):
+    """The query's operator against every diagonal and every range: one seed is touched by no more than two of thirteen words, so that items
+    and texts with few substitutions are found all."""
+    monkeypatch.setattr(decontamination, "LONG_ITEM", long_item)
+    monkeypatch.setattr(decontamination, "CELLS", 500)
+    r = random.Random(7)
+    bench = [(k, " ".join(f"b{r.randrange(60)}" for _ in range(r.choice([2, 5, 9, 14, 25, 40])))) for k in range(25)] + [(90, "aa " * 30), (91, "aa bb " * 12)]
+    rows = []
+    for d in range(120):
+        words = [f"f{r.randrange(40)}" for _ in range(r.randrange(30))]
+        for _ in range(r.randrange(3)):
+            x = r.choice(bench)[1].split()
+            a = r.randrange(len(x))
+            x = x[a : a + r.randrange(3, 40)]
+            for _ in range(len(x) // 15):
+                x[r.randrange(len(x))] = "zz"
+            words += x + [f"f{r.randrange(40)}" for _ in range(r.randrange(9))]
+        rows.append((d, " ".join(words)))
+    rows += [(200, "aa " * 75), (201, "aa bb " * 40), (202, "bb aa " * 9 + "aa " * 20), (203, None)]
+    got = decontamination.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")).collect()
+    want = [(d, *o) for d, t in rows for o in brute_overlaps(bench, t)]
+    assert sorted(tuple(x)[:6] for x in got) == sorted(want) and len(want) > 40
+
+
+def test_repeated_words_take_little_time_and_memory():
+    """A million equal words against an item of 200 of them."""
+    import time
+    import tracemalloc
+
+    index = decontamination.SeedIndex.of([(1, "word " * 200), (2, "word other " * 100)])
+    text = "word " * 1_000_000
+    tracemalloc.start()
+    began = time.process_time()
+    assert index.overlaps(text) == [(1, 0, 0, 200, 200)]
+    assert time.process_time() - began < 30 and tracemalloc.get_traced_memory()[1] < 500 << 20
+    tracemalloc.stop()
+    assert index.overlaps("word other " * 3000) == [(2, 0, 0, 200, 200)]
+
+
 # line dedup
 
 

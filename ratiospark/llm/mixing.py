@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import n_words, table, written
-from .quality import fit_quality, p_good
+from .quality import fit_good, p_good
 
 #: Cells of the order-preserving histogram of keys for each source: FINE coarse ones of FINE each.
 FINE = 1 << 10
@@ -17,9 +17,9 @@ LEAST_WEIGHT = 0.25
 
 
 def quality_weight(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> Column:
-    """Between LEAST_WEIGHT and 1: P(good) of the text under the quality model fitted on labels (quality.fit_quality); without labels
+    """Between LEAST_WEIGHT and 1: P(good) of the text under the model of the label `quality` (quality.fit_good); without labels
     LEAST_WEIGHT for all."""
-    return F.greatest(F.lit(LEAST_WEIGHT), p_good(fit_quality(docs, labels, id_col=id_col, text_col=text_col, **how), F.col(text_col)))
+    return F.greatest(F.lit(LEAST_WEIGHT), p_good(fit_good(docs, labels, id_col=id_col, text_col=text_col, **how), F.col(text_col)))
 
 
 def targets(sizes: DataFrame, weights: Sequence[float], most: float) -> DataFrame:

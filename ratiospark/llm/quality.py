@@ -20,6 +20,11 @@ def fit_quality(docs: DataFrame, labels: DataFrame, grade: Column | None = None,
     return train(docs, labels, grade, 3, **how)
 
 
+def fit_good(docs: DataFrame, labels: DataFrame, **how) -> OrdinalModel:
+    """A model of the label `quality` alone, without grades above it: one fit, for those who need p_good and no more."""
+    return train(docs, labels, F.col("quality"), 2, **how)
+
+
 def p_good(model: OrdinalModel, text: Column) -> Column:
     """P(grade >= 1) of texts."""
     return F.element_at(model.column(text).getField("tails"), 1)

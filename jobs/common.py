@@ -3,13 +3,8 @@
 from __future__ import annotations
 
 import argparse
-import atexit
 import json
 import logging
-import re
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,18 +15,6 @@ def read_config(spark: SparkSession, path: str) -> dict:
     return json.loads(spark.read.text(path, wholetext=True).first()[0])
 
 
-def fresh_folder(spark: SparkSession, name: str) -> str:
-    """A path that nothing else uses in the folder of spark.checkpoint.dir; in local mode without that setting, in a temporary one of this process."""
-    given = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not given:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        given = tempfile.mkdtemp(prefix="ratiospark-jobs-")
-        atexit.register(shutil.rmtree, given, ignore_errors=True)
-        given = f"file://{given}"
-    return f"{given.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def write_partitions(df: DataFrame, path: str, by: str) -> None:
     """Replaces the partitions that df has rows for, and no others."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)

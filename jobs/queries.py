@@ -7,8 +7,9 @@ from pathlib import Path
 
 from pyspark.sql import functions as F
 
+from ratiospark.scratch import fresh_folder
+
 from . import solve_systems, text_regression
-from .common import fresh_folder
 
 
 def _config(name: str) -> dict:

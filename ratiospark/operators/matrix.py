@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import frac, vec
 from ..functions.arith import DOUBLE, FRAC, KINDS, Arith
-from . import bareiss, elimination
+from . import bareiss, elimination, modular, tiled
 
 ID = "matrix_id"
 
@@ -270,14 +270,17 @@ class MatrixFrame:
 
     # elimination
 
-    def _eliminated(self, what: str) -> DataFrame:
-        """The kernel's rows. Doubles are eliminated exactly, as the binary fractions that they are, and rounded once at the end."""
+    def _packed(self) -> DataFrame:
+        """matrix_id, n_rows, n_cols, augment, num, den: a matrix in one row, its numbers as text in row order."""
         whole = self.kind is not FRAC
         num = F.col("val") if whole else F.col("val.num")
         den = F.lit(1) if whole else F.col("val.den")
         flat = self.cells.groupBy(ID).agg(F.array_sort(F.collect_list(F.struct("i", "j", num.cast("string").alias("p"), den.cast("string").alias("q")))).alias("c"))
-        given = self.header.join(flat, ID).select(ID, "n_rows", "n_cols", "augment", F.col("c.p").alias("num"), F.col("c.q").alias("den"))
-        return given.mapInPandas(elimination.kernel(what, self.kind is DOUBLE), elimination.OUT)
+        return self.header.join(flat, ID).select(ID, "n_rows", "n_cols", "augment", F.col("c.p").alias("num"), F.col("c.q").alias("den"))
+
+    def _eliminated(self, what: str) -> DataFrame:
+        """The kernel's rows. Doubles are eliminated exactly, as the binary fractions that they are, and rounded once at the end."""
+        return self._packed().mapInPandas(elimination.kernel(what, self.kind is DOUBLE), elimination.OUT)
 
     def _unpacked(self, out: DataFrame) -> DataFrame:
         """part, matrix_id, i, j, val. Numbers of over 38 digits raise an error here; the kernel's texts have them."""
@@ -308,6 +311,30 @@ class MatrixFrame:
         cells = done.select(ID, F.posexplode("m").alias("i", "r")).select(ID, "i", F.posexplode("r").alias("j", "val"))
         return self._with(cells, kind=FRAC)
 
+    def rref_modular(self) -> MatrixFrame:
+        """rref by elimination modulo many primes: many tasks for one matrix, and no rationals until the end (see modular)."""
+        return self._with(modular.cells(self._exact_modular(False), frac.DECIMAL), kind=FRAC)
+
+    def inverse_modular(self) -> MatrixFrame:
+        """inverse, in the same way."""
+        found = self._with(header=self._plain(self.header))
+        return found._with(modular.cells(found._exact_modular(True), frac.DECIMAL), kind=FRAC)
+
+    def rref_text(self) -> DataFrame:
+        """matrix_id, i, j, num, den, pivots: rref_modular with numbers as text of any length."""
+        return self._exact_modular(False)
+
+    def rref_tiled(self, band: int = tiled.ROWS) -> DataFrame:
+        """matrix_id, i, j, num, den, pivots: rref of integer matrices too large for a task, in bands of rows and panel by panel (see tiled)."""
+        if self.kind.name != "int":
+            raise TypeError("needs integers")
+        return tiled.reduced(self.cells, self.header, band)
+
+    def _exact_modular(self, invert: bool) -> DataFrame:
+        if self.kind is DOUBLE:
+            raise TypeError("doubles are no exact numbers")
+        return modular.reduced(self._packed(), invert)
+
     def pivots(self) -> DataFrame:
         """matrix_id, pivots, rank."""
         return self._eliminated("ref").select(ID, "pivots", F.size("pivots").alias("rank"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import frac, vec
 from ..functions.arith import DOUBLE, INT
 from ..operators.matrix import ID, MatrixFrame
-from ..sources.builders import from_dense, from_table, scaled_identity, vector
+from ..sources.builders import from_dense, from_sparse, from_table, scaled_identity, vector
 from ..streaming.gram import gram_cells
 from .chain import chain_product
 
@@ -496,6 +496,44 @@ def mat_rref_native(spark, sf_dir):
     return _cells(S(spark, sf_dir).insert_cols(right_side(spark, sf_dir)).augment_line().rref_native())
 
 
+@query(ORACLE_SQL["mat_rref_aug"])
+def mat_rref_modular(spark, sf_dir):
+    return _cells(S(spark, sf_dir).insert_cols(right_side(spark, sf_dir)).augment_line().rref_modular())
+
+
+#: Rows and columns of one matrix of all of lineitem.
+_LARGE = 48
+
+
+def _large_system(spark, sf_dir, size: int) -> MatrixFrame:
+    """The quantities of all items in one square matrix, beside its product with the vector of j * j - 20."""
+    t = _table(spark, sf_dir, "lineitem")
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(size)).cast("int")
+    a = from_sparse(t, F.lit(0), place("l_orderkey"), place("l_partkey"), F.col("l_quantity").cast("long"), size, size)
+    known = a.header.select(ID, F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("idx")).withColumn("val", (F.col("idx") * F.col("idx") - 20).cast(frac.DECIMAL))
+    return a.insert_cols(a.matvec(known)).augment_line(size)
+
+
+def _known_sql(size: int) -> str:
+    return f"WITH n AS (SELECT count(*) AS n FROM lineitem) SELECT CAST(0 AS BIGINT) AS matrix_id, CAST(range AS INTEGER) AS j, CAST(range * range - 20 AS VARCHAR) AS num, '1' AS den FROM range({size}), n WHERE n > 0"
+
+
+def _solution(found: DataFrame, size: int) -> DataFrame:
+    return found.filter(F.col("j") == size).select(ID, F.col("i").alias("j"), "num", "den")
+
+
+@query(_known_sql(_LARGE))
+def mat_solve_large(spark, sf_dir):
+    """One matrix of the quantities of all items, solved for a known vector: minors of some hundred digits on the way."""
+    return _solution(_large_system(spark, sf_dir, _LARGE).rref_text(), _LARGE)
+
+
+@query(_known_sql(_LARGE))
+def mat_solve_tiled(spark, sf_dir):
+    """The same in bands and panels."""
+    return _solution(_large_system(spark, sf_dir, _LARGE).rref_tiled(16), _LARGE)
+
+
 @query(_cells_sql(_int(_U)))
 def mat_ref_u(spark, sf_dir):
     return _cells(S(spark, sf_dir).ref())

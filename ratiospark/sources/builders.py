@@ -12,6 +12,10 @@ from ..functions import frac
 from ..operators.matrix import ID, MatrixFrame
 
 
+#: Places of a sparse matrix that are summed up side by side, in one row.
+FEW_CELLS = 36
+
+
 def kind_of(cells) -> str:
     """The kind of number that holds all of them."""
     if any(isinstance(x, float) for x in cells):
@@ -50,10 +54,15 @@ def from_sparse(df: DataFrame, matrix_id: Column, i: Column, j: Column, value: C
     an error; rows with a null id, place or value don't count."""
     given = df.select(matrix_id.cast("long").alias(ID), i.cast("int").alias("i"), j.cast("int").alias("j"), frac.exact(value).alias("val")).dropna()
     inside = F.when((F.col("i") >= 0) & (F.col("i") < n_rows) & (F.col("j") >= 0) & (F.col("j") < n_cols), True).otherwise(F.raise_error(F.lit("a cell is out of range")).cast("boolean"))
-    row = given.filter(inside).groupBy(ID).agg(*[F.coalesce(F.sum(F.when((F.col("i") == r) & (F.col("j") == c), F.col("val"))), F.lit(0)).cast(frac.DECIMAL).alias(f"_{r}_{c}") for r in range(n_rows) for c in range(n_cols)])
-    cells = F.array(*[F.struct(F.lit(r).alias("i"), F.lit(c).alias("j"), F.col(f"_{r}_{c}").alias("val")) for r in range(n_rows) for c in range(n_cols)])
-    head = row.select(ID, F.lit(n_rows).alias("n_rows"), F.lit(n_cols).alias("n_cols"), F.lit(n_cols if augment is None else augment).alias("augment"))
-    return MatrixFrame(row.select(ID, F.inline(cells)), head)
+    given, line = given.filter(inside), n_cols if augment is None else augment
+    sized = lambda ids: ids.select(ID, F.lit(n_rows).alias("n_rows"), F.lit(n_cols).alias("n_cols"), F.lit(line).alias("augment"))
+    if n_rows * n_cols <= FEW_CELLS:  # one pass: a sum for each place
+        row = given.groupBy(ID).agg(*[F.coalesce(F.sum(F.when((F.col("i") == r) & (F.col("j") == c), F.col("val"))), F.lit(0)).cast(frac.DECIMAL).alias(f"_{r}_{c}") for r in range(n_rows) for c in range(n_cols)])
+        cells = F.array(*[F.struct(F.lit(r).alias("i"), F.lit(c).alias("j"), F.col(f"_{r}_{c}").alias("val")) for r in range(n_rows) for c in range(n_cols)])
+        return MatrixFrame(row.select(ID, F.inline(cells)), sized(row))
+    ids = given.select(ID).distinct()
+    zeros = ids.select(ID, F.explode(F.sequence(F.lit(0), F.lit(n_rows - 1))).alias("i")).select(ID, "i", F.explode(F.sequence(F.lit(0), F.lit(n_cols - 1))).alias("j")).withColumn("val", F.lit(0).cast(frac.DECIMAL))
+    return MatrixFrame(given.unionByName(zeros).groupBy(ID, "i", "j").agg(F.sum("val").cast(frac.DECIMAL).alias("val")), sized(ids))
 
 
 def from_dense(df: DataFrame, m: str = "m", kind: str = "int", augment: Column | None = None) -> MatrixFrame:

@@ -154,7 +154,9 @@ def test_solve(spark):
         solve(from_literals(spark, {1: [[1, 2], [3, 4]]})).collect()
 
 
-def test_sparse_cells(spark):
+@pytest.mark.parametrize("few", [36, 0])
+def test_sparse_cells(spark, monkeypatch, few):
+    monkeypatch.setattr("ratiospark.sources.builders.FEW_CELLS", few)
     df = spark.createDataFrame([(1, 0, 1, 5), (1, 0, 1, 2), (2, 1, 0, -1), (None, 0, 0, 1), (3, None, 0, 1)], "k long, i int, j int, v long")
     m = from_sparse(df, F.col("k"), F.col("i"), F.col("j"), F.col("v"), 2, 2)
     assert {r["matrix_id"]: [[int(x) for x in y] for y in r["rows"]] for r in m.rows().collect()} == {1: [[0, 7], [0, 0]], 2: [[0, 0], [-1, 0]]}

@@ -23,7 +23,31 @@ def op9(spark, sf_dir):
 
 QUERIES = {"op1_sharding": op1, "op2_mixing": op2, "op3_simhash": op3, "op4_warc": op4, "op5_decontamination": op5, "op6_quality": op6, "op7_html_extract": op7, "op8_line_dedup": op8, "op9_exact_dedup": op9, "op10_toxicity": op10, "op11_centroids": op11, "op12_suffix_dedup": op12}
 
+
+
+def _clusters_sql(size: int = 64, k: int = 8, rounds: int = 10) -> str:
+    """Lloyd's rounds written out: nearest centroids, then floors of means."""
+    square = f"CAST(list_sum(list_transform(range(1, {size + 1}), lambda i: (v.x[i] - c.x[i]) * (v.x[i] - c.x[i]))) AS BIGINT)"
+    parts = [
+        f"v AS MATERIALIZED (SELECT row_number() OVER () AS line, vec_id, list_transform(embedding, lambda e: CAST(floor(1024 * CAST(e AS DOUBLE)) AS BIGINT)) AS x FROM embeddings WHERE len(embedding) = {size} AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = {size})",
+        f"c0 AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY h, x) - 1 AS INTEGER) AS c, x FROM (SELECT sha256('3:' || vec_id) AS h, x FROM v ORDER BY h, x LIMIT {k}))",
+    ]
+    for r in range(rounds + 1):
+        parts.append(f"d{r} AS (SELECT v.line, v.vec_id, v.x, c.c, {square} AS d FROM v, c{r} c)")
+        parts.append(f"a{r} AS MATERIALIZED (SELECT vec_id, x, c, d FROM (SELECT *, row_number() OVER (PARTITION BY line ORDER BY d, c) AS rk FROM d{r}) WHERE rk = 1)")
+        if r < rounds:
+            parts.append(f"s{r} AS (SELECT c, i, CAST(sum(x[i]) AS HUGEINT) AS s, count(*) AS n FROM a{r}, range(1, {size + 1}) t(i) GROUP BY c, i)")
+            parts.append(f"m{r} AS (SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS x FROM s{r} GROUP BY c)")
+            parts.append(f"c{r + 1} AS MATERIALIZED (SELECT c{r}.c, coalesce(m{r}.x, c{r}.x) AS x FROM c{r} LEFT JOIN m{r} USING (c))")
+    return f"""
+WITH {", ".join(parts)}
+SELECT a.vec_id, a.c AS cluster, a.d AS distance, CAST(sum(a.d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia, CAST(sum(a.d) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(c.x, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} c USING (c)"""
+
+
 ORACLE_SQL = {
+    "op11_centroids": _clusters_sql(),
     "op4_warc": r"""
 WITH p AS (
   SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages

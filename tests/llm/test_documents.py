@@ -101,6 +101,29 @@ def test_sharding(docs, units):
     assert sum(len(h) > 1 for h in homes.values()) <= 1  # base[0] alone holds over half a shard's rows
 
 
+def test_sharding_against_a_sequential_packer(spark):
+    """Groups of equal texts in falling order of their largest share, each where the dot product with the residual capacity is highest."""
+    r = random.Random(6)
+    texts = [prose(r.randint(1, 90)) for _ in range(150)] + [None, ""]
+    rows = [(i, r.choice(texts)) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: x.shard for x in sharding.pack_shards(df, n_shards=5).collect()}
+    hashes = {x.doc_id: x.h for x in df.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()}
+    groups = collections.defaultdict(lambda: np.zeros(3))
+    key = lambda i, t: (hashes[i], zlib.crc32((t or "").encode()), len((t or "").encode()) + 8)
+    for i, t in rows:
+        groups[key(i, t)] += [len((t or "").encode()) + 8, len(WORDS.findall(t or "")), 1]
+    share = sum(groups.values()) / 5
+    units = sorted(groups, key=lambda k: (-max(groups[k] / share), k))
+    left, home, turn = np.ones((5, 3)), {}, units[0][0] % 5
+    for k in units:
+        v = groups[k] * (1 / share)
+        s = int((left @ v).argmax())
+        left[s] -= v
+        home[k] = (s + turn) % 5
+    assert got == {i: home[key(i, t)] for i, t in rows}
+
+
 def test_shards_are_near_equal(spark):
     df = spark.createDataFrame([(i, prose(rng.randint(20, 60))) for i in range(1500)], "doc_id long, text string")
     sizes = collections.Counter()

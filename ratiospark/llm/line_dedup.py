@@ -20,9 +20,9 @@ SIMILARITY = 0.8
 CELLS = 1 << 16
 #: Earlier candidates that a line gets from one posting at first; lines for which they don't decide get all in a second round.
 FIRST = 32
-#: Bits of the bitmap that tells lines without an equal one, which need not be grouped.
+#: Least bits of a bitmap of keys, such as the one that tells lines without an equal one, which need not be grouped.
 BITMAP = 1 << 24
-#: Most bits of the bitmap of lines whose sets are verified (16 MB).
+#: Most bits of a bitmap of keys, and of that of the lines whose sets are verified (16 MB).
 PLACES = 1 << 27
 #: Sorts last, for rows without an id.
 NO_ID = np.iinfo(np.int64).max
@@ -142,17 +142,19 @@ def _lines(place_of: Callable[[], np.ndarray]):
 
 
 def repeated_keys(keys: DataFrame) -> np.ndarray:
-    """A bitmap of BITMAP bits with those of key1 set; rows of words of 64 bits reach the driver, BITMAP / 64 at most."""
-    place = F.pmod(F.col("key1"), F.lit(BITMAP))
+    """A bitmap with the bits of key1 set, of 16 to 32 bits a key, BITMAP at least and PLACES at most; rows of words of 64 bits reach the driver,
+    PLACES / 64 at most. Past some eight million keys it fills up and spares less; no key is ever without its bit."""
+    bits = min(PLACES, max(BITMAP, 1 << (16 * keys.count()).bit_length()))
+    place = F.pmod(F.col("key1"), F.lit(bits))
     words = keys.select(F.shiftright(place, 6).alias("w"), F.expr("shiftleft(1L, cast(pmod(key1, 64) as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
-    bitmap = np.zeros(BITMAP // 64, np.int64)
+    bitmap = np.zeros(bits // 64, np.int64)
     bitmap[words.column("w").to_numpy()] = words.column("b").to_numpy()
     return bitmap.view(_U)
 
 
 def _is_marked(batch: pa.RecordBatch, bitmap: np.ndarray) -> np.ndarray:
     """Of which lines the key's bit is set; no other line has the set of one of which it isn't."""
-    place = np.mod(batch.column("key1").to_numpy(), BITMAP)
+    place = np.mod(batch.column("key1").to_numpy(), 64 * len(bitmap))
     return ((bitmap[place >> 6] >> (place & 63).astype(_U)) & _U(1)).astype(bool)
 
 
@@ -200,9 +202,8 @@ class _Buckets:
             cols = {k: np.concatenate([h[k] for h in self.held]) for k, _ in _FIELDS}
             bucket = (cols["token"] % _U(self.n_buckets)).astype(np.int64)
             order = np.lexsort((cols["token"], bucket))
-            edges = np.searchsorted(bucket[order], np.arange(self.n_buckets + 1))
-            full = [b for b in range(self.n_buckets) if edges[b] < edges[b + 1]]
-            blobs = [_pack({k: v[order[edges[b] : edges[b + 1]]] for k, v in cols.items()}) for b in full]
+            full, edges = np.unique(bucket[order], return_index=True)
+            blobs = [_pack({k: v[places] for k, v in cols.items()}) for places in np.split(order, edges[1:])]
             yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
         self.held, self.size = [], 0
 
@@ -236,7 +237,7 @@ def _index(n_buckets: int, tokens_of: Callable[[], np.ndarray]):
             times = prefix_lengths(n)
             flat = np.frombuffer(b"".join(batch.column("prefix").to_pylist()), "<u8")
             _, at = _chunks(flat, np.cumsum(times) - times, times)
-            bit = np.mod(flat.view(np.int64), BITMAP)
+            bit = np.mod(flat.view(np.int64), 64 * len(tokens))
             keep = ((tokens[bit >> 6] >> (bit & 63).astype(_U)) & _U(1)).astype(bool)
             times = np.bincount(np.repeat(np.arange(len(n)), times)[keep], minlength=len(n))
             get = lambda c: batch.column(c).to_numpy()  # noqa: E731,B023

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .common import discard, partitions, written
 from .components import components
-from .line_dedup import BITMAP, repeated_keys
+from .line_dedup import repeated_keys
 from .words import mix
 
 #: Words of a shingle. The least Jaccard similarity is 4/5; filters and verification state it in whole numbers.
@@ -85,7 +85,7 @@ def _picked(bitmap_of, bit: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = bitmap_of()
         for batch in batches:
-            at = np.mod(batch.column("node").to_numpy(), BITMAP)
+            at = np.mod(batch.column("node").to_numpy(), 64 * len(bitmap))
             yield batch.filter(pa.array(((bitmap[at >> 6] >> (at & 63).astype(_U)) & _U(1)).astype(bool) == bit))
 
     return run
@@ -224,7 +224,7 @@ def linked(rows: DataFrame, links: DataFrame) -> DataFrame:
     mixed = placed.groupBy("w").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("w")
     open_ = written(placed.join(mixed, "w", "left_semi"), "shingle-open")
     discard(placed)
-    ends = spark.sparkContext.broadcast(repeated_keys(open_.select(F.col("node").alias("key1"))))
+    ends = spark.sparkContext.broadcast(repeated_keys(open_.select(F.col("node").alias("key1")).distinct()))
     pick = _picked(lambda: ends.value, True)
     signs = sets.mapInArrow(lambda batches: _signatures(pick(batches)), "node long, " + ", ".join(f"{x} long" for x in _SIGNS)).dropDuplicates(["node"])
     apart = open_.join(signs, "node").repartition(n, "w").sortWithinPartitions("w").mapInArrow(_apart, "a long, b long")

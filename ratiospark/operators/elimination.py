@@ -5,6 +5,7 @@ sequential; matrices are independent and spread over tasks."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from fractions import Fraction
@@ -116,6 +117,8 @@ def inverse(rows: Rows) -> Rows:
 
 
 def _matrix(num: list, den: list, cols: int, real: bool) -> Rows:
+    if real and not all(math.isfinite(float(p)) for p in num):
+        raise ValueError("NaN and infinity have no exact value to eliminate with")
     cells = [Fraction(float(p)) if real else Fraction(int(p), int(q)) for p, q in zip(num, den, strict=True)]
     return [cells[k : k + cols] for k in range(0, len(cells), cols)]
 

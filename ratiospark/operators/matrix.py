@@ -12,6 +12,7 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import scratch
 from ..functions import frac, vec
 from ..functions.arith import DOUBLE, FRAC, KINDS, Arith
 from . import bareiss, elimination, modular, tiled
@@ -52,6 +53,10 @@ class MatrixFrame:
         """Without a line before constants."""
         return header.withColumn("augment", F.col("n_cols"))
 
+    def written(self) -> MatrixFrame:
+        """The same matrices, written to the shared folder and read back, for frames that are used several times."""
+        return self._with(scratch.written(self.cells, "cells"), scratch.written(self.header, "header"))
+
     def checked(self) -> MatrixFrame:
         """Raises an error for a matrix without cells, with missing ones or with some twice."""
         seen = self.cells.groupBy(ID).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("i", "j").alias("d"), F.max("i").alias("mi"), F.max("j").alias("mj"), F.min(F.least("i", "j")).alias("low"))
@@ -147,6 +152,21 @@ class MatrixFrame:
             left = left.join(header.select(ID), ID)
         return MatrixFrame(a._sum(left.join(right, [ID, "k"]), [ID, "i", "j"], a.kind.mul(F.col("x"), F.col("y")), a.kind), header, a.kind.name)
 
+    def matmul_tiled(self, other: MatrixFrame, side: int = tiled.SIDE) -> MatrixFrame:
+        """matmul of large integer matrices, by tiles. Cells that are zero aren't among the result's; dense operations need filled."""
+        if self.kind.name != "int" or other.kind.name != "int":
+            raise TypeError("needs integers")
+        size = self.header.select(ID, "n_rows", F.col("n_cols").alias("inner")).join(other.header.select(ID, F.col("n_rows").alias("inner_b"), "n_cols"), ID)
+        fits = F.when(F.col("inner") == F.col("inner_b"), True).otherwise(F.raise_error(F.format_string("%d columns meet %d rows", "inner", "inner_b")).cast("boolean"))
+        header = size.filter(fits).select(ID, "n_rows", "n_cols", F.col("n_cols").alias("augment"))
+        return MatrixFrame(tiled.product(self.cells.join(header.select(ID), ID), other.cells, side), header)
+
+    def filled(self) -> MatrixFrame:
+        """With a cell for every place: those that aren't there are zero."""
+        places = self.header.select(ID, "n_cols", F.explode(F.sequence(F.lit(0), F.col("n_rows") - 1)).alias("i")).select(ID, "i", F.explode(F.sequence(F.lit(0), F.col("n_cols") - 1)).alias("j"))
+        zero = {"int": F.lit(0).cast(frac.DECIMAL), "frac": frac.whole(0), "double": F.lit(0.0)}[self.kind.name]
+        return self._with(places.join(self.cells, [ID, "i", "j"], "left").withColumn("val", F.coalesce("val", zero)))
+
     def matvec(self, vectors: DataFrame) -> MatrixFrame:
         """Times column vectors (matrix_id, idx, val): matrices of one column."""
         column = vectors.select(ID, F.col("idx").alias("i"), F.lit(0).alias("j"), "val")

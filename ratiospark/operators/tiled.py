@@ -1,9 +1,10 @@
-"""Exact reduced form of integer matrices that are too large for a task.
+"""Exact reduced form and product of integer matrices that are too large for a task.
 
-A matrix is kept in bands of ROWS rows, once for each of many primes. Elimination goes panel by panel, a panel being as many columns as a band
+For the reduced form a matrix is kept in bands of ROWS rows, once for each of many primes. Elimination goes panel by panel, a panel being as many columns as a band
 has rows: the bands' parts of the panel are reduced in one task for each prime, which gives each band the factors by which it takes in the
 panel's pivot rows; then every band is updated by one product of matrices. The bands are written down after each panel. No task holds more
 than a panel, a band and a panel's pivot rows. Rationals come back as in modular, block by block.
+For the product matrices are cut into square tiles, which are joined instead of cells.
 
 Primes are below 2^23, so that products of 64 pairs of residues and their sum are whole doubles."""
 
@@ -213,3 +214,67 @@ def reduced(cells: DataFrame, header: DataFrame, high: int = ROWS) -> DataFrame:
         bands = written(beside.join(taken, key, "left").mapInArrow(_update, BANDS), "bands")
     signs = factors.filter("band = 0").select(*key, "pivot_rows", "pivot_cols") if factors is not None else bands.select(*key, F.array().cast("array<int>").alias("pivot_rows"), F.array().cast("array<int>").alias("pivot_cols")).distinct()
     return bands.join(signs, key).groupBy("matrix_id", "band").applyInArrow(_put_together(high, bits), CELLS)
+
+
+# products
+
+#: Rows and columns of a tile.
+SIDE = 64
+TILES = "matrix_id long, top int, left int, high int, wide int, whole int, cells binary"
+
+
+def _tile(key: Key, rows: pa.Table) -> pa.Table:
+    """Cells of one tile (at and across within it) -> the tile: 64-bit numbers, or text where one is longer."""
+    at, across = rows.column("at").to_numpy(), rows.column("across").to_numpy()
+    numbers = [int(v) for v in rows.column("val").to_pylist()]
+    high, wide, whole = int(at.max()) + 1, int(across.max()) + 1, all(abs(x) < 1 << 62 for x in numbers)
+    cells = np.zeros((high, wide), np.int64 if whole else object)
+    np.add.at(cells, (at, across), np.array(numbers, cells.dtype))
+    given = cells.tobytes() if whole else ",".join(map(str, cells.ravel())).encode()
+    return _table([(key[0].as_py(), key[1].as_py(), key[2].as_py(), high, wide, int(whole), given)], TILES)
+
+
+def _opened(r: dict, side: str) -> np.ndarray:
+    given, shape = r[f"{side}_cells"], (r[f"{side}_high"], r[f"{side}_wide"])
+    return np.frombuffer(given, np.int64).reshape(shape) if r[f"{side}_whole"] else np.array([int(x) for x in given.decode().split(",")], object).reshape(shape)
+
+
+def tile_product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a times b, exactly; b may have fewer rows than a has columns, or more (what is missing is zero). Small numbers as doubles, which hold
+    them and their sums; others in unbounded integers."""
+    n = min(a.shape[1], b.shape[0])
+    a, b = a[:, :n], b[:n]
+    largest = lambda x: max(abs(int(x.max(initial=0))), abs(int(x.min(initial=0))))
+    if a.dtype != object and b.dtype != object and largest(a) * largest(b) * max(1, n) < 1 << 53:
+        return (a.astype(float) @ b.astype(float)).astype(np.int64)
+    return a.astype(object) @ b.astype(object)
+
+
+def _multiplied(side: int):
+    """Pairs of tiles -> the cells of their products, zeros left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                c = tile_product(_opened(r, "a"), _opened(r, "b"))
+                i, j = np.nonzero(c)
+                cols = [pa.array(np.full(len(i), r["matrix_id"], np.int64)), pa.array((i + side * r["top"]).astype(np.int32)), pa.array((j + side * r["left"]).astype(np.int32)), pa.array([str(v) for v in c[i, j]], pa.string())]
+                yield pa.RecordBatch.from_arrays(cols, ["matrix_id", "i", "j", "val"])
+
+    return run
+
+
+def product(a: DataFrame, b: DataFrame, side: int = SIDE) -> DataFrame:
+    """Cells (matrix_id, i, j, val: whole numbers) of the products of the matrices of equal ids; zeros may be left out of all three. A pair of tiles
+    is one row of the join and gives a cell's sum over `side` products, where a join of cells gives each of them a row. Numbers of over 38
+    digits raise an error."""
+
+    def tiles(cells: DataFrame, name: str) -> DataFrame:
+        tile = lambda c: F.floor(F.col(c) / side).cast("int")
+        dealt = cells.select("matrix_id", tile("i").alias("top"), tile("j").alias("left"), (F.col("i") % side).alias("at"), (F.col("j") % side).alias("across"), F.col("val").cast("string").alias("val"))
+        packed = dealt.groupBy("matrix_id", "top", "left").applyInArrow(_tile, TILES)
+        return packed.select("matrix_id", "top", "left", *[F.col(c).alias(f"{name}_{c}") for c in ("high", "wide", "whole", "cells")])
+
+    both = tiles(a, "a").withColumnRenamed("left", "inner").join(tiles(b, "b").withColumnRenamed("top", "inner"), ["matrix_id", "inner"])
+    parts = both.drop("inner").mapInArrow(_multiplied(side), "matrix_id long, i int, j int, val string")
+    return parts.groupBy("matrix_id", "i", "j").agg(F.sum(F.col("val").cast("decimal(38,0)")).cast("decimal(38,0)").alias("val"))

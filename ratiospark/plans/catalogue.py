@@ -143,6 +143,30 @@ def frac_compare(spark, sf_dir):
     return r.select(*KEYS, *[getattr(frac, op)(a, b).alias(op) for op in ("eq", "ne", "lt", "le", "gt", "ge")])
 
 
+#: Denominators of rationals whose cross products outgrow 38 digits.
+_TEN20, _TEN30 = "CAST(100000000000000000000 AS HUGEINT)", 10**30
+
+
+@query(f"""WITH {F_SQL}, P AS (SELECT l_orderkey, l_linenumber, CAST(n1 * d2 + n2 * d1 AS HUGEINT) AS n, CAST(d1 * d2 AS HUGEINT) * {_TEN20} AS d FROM L)
+SELECT l_orderkey, l_linenumber, CAST(n // gcd(n, d) AS VARCHAR) AS num, CAST(d // gcd(n, d) AS VARCHAR) AS den FROM P""")
+def frac_add_large(spark, sf_dir):
+    """Sums over denominators of 21 digits: their product has 42, the result 22 at most."""
+    ten = F.lit("1" + "0" * 20).cast(frac.DECIMAL)
+    part = lambda n, d: frac.frac(F.col(n), (F.col(d).cast(frac.DECIMAL) * ten).cast(frac.DECIMAL))
+    r = rationals(spark, sf_dir).select(*KEYS, frac.add(part("n1", "d1"), part("n2", "d2")).alias("x"))
+    return r.select(*KEYS, F.col("x.num").cast("string").alias("num"), F.col("x.den").cast("string").alias("den"))
+
+
+@query(f"WITH {F_SQL}, P AS (SELECT l_orderkey, l_linenumber, CASE WHEN n1 * d2 <> n2 * d1 THEN sign(n1 * d2 - n2 * d1) ELSE sign(d2 - d1) END AS c FROM L) SELECT l_orderkey, l_linenumber, c = 0 AS eq, c < 0 AS lt, c <= 0 AS le, c > 0 AS gt, c >= 0 AS ge FROM P")
+def frac_compare_large(spark, sf_dir):
+    """n / d and a 10^-30th of 1 / d more: cross products have over 60 digits."""
+    ten = F.lit(str(_TEN30)).cast(frac.DECIMAL)
+    part = lambda n, d: frac.frac((F.col(n).cast(frac.DECIMAL) * ten + 1).cast(frac.DECIMAL), (F.col(d).cast(frac.DECIMAL) * ten).cast(frac.DECIMAL))
+    r = rationals(spark, sf_dir).select(*KEYS, part("n1", "d1").alias("a"), part("n2", "d2").alias("b"))
+    a, b = frac.mark(F.col("a")), frac.mark(F.col("b"))
+    return r.select(*KEYS, *[getattr(frac, op)(a, b).alias(op) for op in ("eq", "lt", "le", "gt", "ge")])
+
+
 @query(f"WITH {F_SQL} SELECT l_orderkey, l_linenumber, CAST(n1 // gcd(n1, d1) AS DOUBLE) / CAST(d1 // gcd(n1, d1) AS DOUBLE) AS val FROM L")
 def frac_to_double(spark, sf_dir):
     return rationals(spark, sf_dir).select(*KEYS, frac.frac(F.col("n1"), F.col("d1")).alias("a")).select(*KEYS, frac.to_double(frac.mark(F.col("a"))).alias("val"))
@@ -522,6 +546,17 @@ def _solution(found: DataFrame, size: int) -> DataFrame:
     return found.filter(F.col("j") == size).select(ID, F.col("i").alias("j"), "num", "den")
 
 
+_G_SQL = f"G AS (SELECT CAST(l_orderkey % {_LARGE} AS INTEGER) AS i, CAST(l_partkey % {_LARGE} AS INTEGER) AS j, CAST(SUM(CAST(l_quantity AS BIGINT)) AS BIGINT) AS val FROM lineitem GROUP BY 1, 2)"
+
+
+@query(f"WITH {_G_SQL} SELECT CAST(0 AS BIGINT) AS matrix_id, a.i, b.i AS j, CAST(SUM(a.val * b.val) AS BIGINT) AS val FROM G a JOIN G b USING (j) GROUP BY 2, 3")
+def mat_product_tiled(spark, sf_dir):
+    """The quantities of all items in one matrix, times its transpose, by tiles."""
+    t = _table(spark, sf_dir, "lineitem")
+    a = from_sparse(t, F.lit(0), F.col("l_orderkey") % _LARGE, F.col("l_partkey") % _LARGE, F.col("l_quantity").cast("long"), _LARGE, _LARGE)
+    return a.matmul_tiled(a.transpose(), 16).cells.withColumn("val", F.col("val").cast("long"))
+
+
 @query(_known_sql(_LARGE))
 def mat_solve_large(spark, sf_dir):
     """One matrix of the quantities of all items, solved for a known vector: minors of some hundred digits on the way."""
@@ -561,8 +596,8 @@ def mat_pinv_singular(spark, sf_dir):
     s = S(spark, sf_dir)
     top = s.block(slice(0, 2), slice(None))
     last = top.cells.groupBy(ID, F.lit(0).alias("i"), "j").agg(F.sum("val").cast(frac.DECIMAL).alias("val"))
-    a = top.insert_rows(MatrixFrame(last, top.header.withColumn("n_rows", F.lit(1)))).to_fraction()
-    e = a.inverse()
+    a = top.insert_rows(MatrixFrame(last, top.header.withColumn("n_rows", F.lit(1)))).to_fraction().written()
+    e = a.inverse().written()
     d = e.matmul(a).minus(a.rref()).cells
     wrong = d.groupBy(ID).agg(F.sum((F.col("val.num") != 0).cast("long")).alias("wrong_cells"))
     return wrong.join(e.pivots().select(ID, F.col("rank").alias("rank_e")), ID)
@@ -621,7 +656,38 @@ def mat_rank(spark, sf_dir):
     return S(spark, sf_dir).pivots().select(ID, "rank")
 
 
-@query()
+def _trace_sql() -> str:
+    """The steps of a matrix without zeros on the way, in terms of its cells: numerator and denominator of each row's numbers after each."""
+    minor = "(a00 * a11 - a10 * a01)"
+    second = [("0", "1"), (minor, "a00"), ("(a00 * a12 - a10 * a02)", "a00")]
+    third = [("0", "1"), ("(a00 * a21 - a20 * a01)", "a00"), ("(a00 * a22 - a20 * a02)", "a00")]
+    rows = [[(f"a{i}{j}", "1") for j in range(3)] for i in range(3)]
+    unit = lambda i: [("1" if i == j else "0", "1") for j in range(3)]
+    #: row changed, what it becomes, the row that is subtracted (None: it is multiplied), how many times
+    steps = [
+        (1, second, 0, ("a10", "a00")), (2, third, 0, ("a20", "a00")), (2, [("0", "1"), ("0", "1"), (DET, minor)], 1, (third[1][0], minor)),
+        (2, unit(2), None, (minor, DET)), (1, [*second[:2], ("0", "1")], 2, second[2]), (0, [("a00", "1"), ("a01", "1"), ("0", "1")], 2, ("a02", "1")),
+        (1, unit(1), None, ("a00", minor)), (0, [("a00", "1"), ("0", "1"), ("0", "1")], 1, ("a01", "1")), (0, unit(0), None, ("1", "a00")),
+    ]
+    big = lambda x: f"CAST({x} AS HUGEINT)"
+    cut = lambda x, n, d: f"CAST(abs({big(x)}) // gcd({big(n)}, {big(d)}) AS VARCHAR)"
+    sign = lambda n, d: f"CASE WHEN {n} < 0 AND {d} > 0 OR {n} > 0 AND {d} < 0 THEN '-' ELSE '' END"
+    size = lambda n, d: f"{cut(n, n, d)} || CASE WHEN {cut(d, n, d)} = '1' THEN '' ELSE '/' || {cut(d, n, d)} END"
+    parts = []
+    for k, (row, becomes, other, (n, d)) in enumerate(steps):
+        rows[row] = becomes
+        numbers = " || ',' || ".join(f"{sign(n, d)} || {cut(n, n, d)} || '/' || {cut(d, n, d)}" for r in rows for n, d in r)
+        if other is None:
+            label = f"CASE WHEN {n} = -({d}) THEN '-' ELSE {sign(n, d)} || {size(n, d)} END || 'R{row + 1}'"
+            done = f"{n} <> {d}"
+        else:
+            label = f"'R{row + 1} ' || CASE WHEN {sign(n, d)} = '-' THEN '+ ' ELSE '- ' END || CASE WHEN abs({n}) = abs({d}) THEN '' ELSE {size(n, d)} END || 'R{other + 1}'"
+            done = f"{n} <> 0"
+        parts.append(f"SELECT matrix_id, {k} AS k, '{'add' if other is not None else 'scale'}' AS op, {label} AS label, {numbers} AS numbers FROM W WHERE {done}")
+    return f"WITH {W_SQL}, T AS ({' UNION ALL '.join(parts)}) SELECT matrix_id, CAST(row_number() OVER (PARTITION BY matrix_id ORDER BY k) AS INTEGER) AS step, op, label, numbers FROM T"
+
+
+@query(_trace_sql())
 def mat_trace(spark, sf_dir):
     return S(spark, sf_dir).trace().select(ID, "step", "op", "label", F.array_join(F.zip_with("num", "den", lambda p, q: F.concat_ws("/", p, q)), ",").alias("numbers"))
 

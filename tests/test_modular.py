@@ -162,3 +162,37 @@ def test_sparse_and_unsuitable_matrices(spark):
         MatrixFrame(df, head).to_fraction().rref_tiled()
     with pytest.raises(ValueError):
         MatrixFrame(df, head).rref_tiled(65)
+
+
+# products by tiles
+
+
+@pytest.mark.parametrize("side", [1, 2, 64])
+def test_products_by_tiles(spark, side):
+    r = random.Random(6)
+    a, b = {}, {}
+    for k in range(12):
+        n, m, p = (r.randint(1, 5) for _ in range(3))
+        top = r.choice([3, 10**6, 10**17])
+        a[k] = [[r.choice([0, r.randint(-top, top)]) for _ in range(m)] for _ in range(n)]
+        b[k] = [[r.choice([0, r.randint(-top, top)]) for _ in range(p)] for _ in range(m)]
+    x, y = from_literals(spark, a), from_literals(spark, b)
+    want = sorted(x.matmul(y).cells.collect(), key=str)
+    assert sorted(x.matmul_tiled(y, side).filled().cells.collect(), key=str) == want
+    assert {tuple(c)[:3] for c in x.matmul_tiled(y, side).cells.filter("val <> 0").collect()} == {tuple(c)[:3] for c in want if c["val"]}
+    with pytest.raises(Exception, match="columns meet"):
+        from_literals(spark, {1: [[1, 2]]}).matmul_tiled(from_literals(spark, {1: [[1, 2]]})).cells.collect()
+
+
+def test_tiles_move_few_rows(spark):
+    """The join of tiles gives a row a pair of tiles, and the rows that are summed are a small part of all products of cells."""
+    n = 96
+    cells = spark.range(n * n).selectExpr("0L as matrix_id", f"cast(id div {n} as int) as i", f"cast(id % {n} as int) as j", "cast((id * 7919) % 101 - 50 as decimal(38,0)) as val")
+    from ratiospark.operators import tiled
+
+    a = [[(k * n + c) * 7919 % 101 - 50 for c in range(n)] for k in range(n)]
+    got = {(r["i"], r["j"]): int(r["val"]) for r in tiled.product(cells, cells, 32).collect()}
+    want = np.array(a) @ np.array(a)
+    assert all(got.get((i, j), 0) == want[i, j] for i in range(n) for j in range(n))
+    pairs = 3**3
+    assert pairs * 32 * 32 * 10 < n**3

@@ -144,12 +144,14 @@ def least_docs(text: np.ndarray, sizes: np.ndarray, docs: np.ndarray) -> np.ndar
 # chunks of documents
 
 
-def _texts(docs: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Documents of a chunk in the order of their ids -> their bytes one after another, sizes and ids (null: the largest)."""
-    ids = [_LAST if i is None else i for i in docs.column("doc_id").to_pylist()]
-    rows = sorted(zip(ids, docs.column("t").to_pylist(), strict=True))
-    sizes = np.array([len(t) for _, t in rows], np.int64)
-    return np.frombuffer(b"".join(t for _, t in rows), np.uint8), sizes, np.array([i for i, _ in rows], np.int64)
+def _rows(docs: pa.Table) -> list[tuple[int, bool, bytes]]:
+    """Documents of a chunk in the order of their ids (null: the largest), with whether the id is null."""
+    return sorted((_LAST if i is None else i, i is None, t) for i, t in zip(docs.column("doc_id").to_pylist(), docs.column("t").to_pylist(), strict=True))
+
+
+def _texts(rows: list[tuple[int, bool, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The documents' bytes one after another, their sizes and ids."""
+    return np.frombuffer(b"".join(t for *_, t in rows), np.uint8), np.array([len(t) for *_, t in rows], np.int64), np.array([i for i, *_ in rows], np.int64)
 
 
 def _within(sizes: np.ndarray, n: int) -> np.ndarray:
@@ -186,7 +188,7 @@ def _ask(n_ranges: int):
     """Chunks -> for each range its anchors and in how many documents each stands."""
 
     def run(key: tuple[pa.Scalar, ...], docs: pa.Table) -> pa.Table:
-        text, sizes, _ = _texts(docs)
+        text, sizes, _ = _texts(_rows(docs))
         h = anchors(text)
         inside = _within(sizes, len(h))
         doc = np.repeat(np.arange(len(sizes)), sizes)[: len(h)]
@@ -287,7 +289,7 @@ def _deal(n_ranges: int, hot_docs: int):
     def run(key: tuple[pa.Scalar, ...], docs: pa.Table, told: pa.Table) -> pa.Table:
         if not docs.num_rows or not told.num_rows:
             return _table([], DEALT)
-        s = _Segments(*_texts(docs), *_repeated(told, hot_docs))
+        s = _Segments(*_texts(_rows(docs)), *_repeated(told, hot_docs))
         rows = []
         for r, p in _by_range(s.keys, n_ranges):
             parts = [s.texts[k] for k in p.tolist()]
@@ -343,7 +345,8 @@ def _remove(n_ranges: int, hot_docs: int):
     def run(key: tuple[pa.Scalar, ...], docs: pa.Table, answers: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return _table([], REMOVED)
-        text, sizes, ids = _texts(docs)
+        given = _rows(docs)
+        text, sizes, ids = _texts(given)
         gone = np.zeros(len(text), bool)
         told = answers.filter(pc.is_valid(answers.column("keys")))
         if told.num_rows:
@@ -363,10 +366,11 @@ def _remove(n_ranges: int, hot_docs: int):
             cover[w + LENGTH] -= 1
             gone = np.cumsum(cover)[:-1] > 0
         ends, rows = np.cumsum(sizes), []
-        for b, n, i in zip(ends.tolist(), sizes.tolist(), ids.tolist(), strict=True):
+        for b, (i, null, t) in zip(ends.tolist(), given, strict=True):
+            n = len(t)
             mask = gone[b - n : b]
             spans = int(mask[:1].sum() + (mask[1:] & ~mask[:-1]).sum())
-            rows.append((None if i == _LAST else i, n, int(mask.sum()), spans, hashlib.sha256(text[b - n : b][~mask].tobytes()).hexdigest()))
+            rows.append((None if null else i, n, int(mask.sum()), spans, hashlib.sha256(text[b - n : b][~mask].tobytes()).hexdigest()))
         return _table(rows, REMOVED)
 
     return run
@@ -381,7 +385,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     are sorted (least_docs), and each chunk learns the least document of its strings. An anchor of over hot_docs documents has its
     strings dealt by their ends as well. Equal segments of a chunk are sent once, so a passage in every document costs a row a chunk.
 
-    Null and empty texts, and those under LENGTH bytes, keep all they have. A null id is larger than any other (and stands with 2^63 - 1);
+    Null and empty texts, and those under LENGTH bytes, keep all they have. A null id is larger than any other but 2^63 - 1, beside which it stands;
     rows of one id do not remove each other's strings. Repeated rows give a row each; other columns are ignored; an empty table gives
     no rows. Texts are dealt whole, so a chunk has the largest document's size at least."""
     spark = docs.sparkSession

@@ -560,6 +560,29 @@ def test_dense_lines(spark):
     assert {r.doc_id for r in got.collect()} == set(range(1, 300))
 
 
+def test_very_long_line_and_largest_id(spark):
+    """Lines of 60,000 words, which outgrow the bitmap, and an id of 2^63 - 1, beside rows with null ids and without."""
+    r = random.Random(12)
+    long = [f"l{r.randrange(10**6)}" for _ in range(60_000)]
+    near, far = [*long[:55_000], *[f"m{i}" for i in range(2_000)]], [*long[:30_000], *[f"k{i}" for i in range(30_000)]]
+    last = 2**63 - 1
+    rows = [(1, " ".join(long)), (2, " ".join(far)), (last, "\n".join(["a b c d e f", " ".join(near)])), (5, "a b c d e f"), (6, "x " * 100_000)]
+    want = brute_lines(rows)
+    assert want == {(last, 0), (last, 1)}
+    got = line_dedup.line_matches(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(x.doc_id, x.line_no) for x in got} == want
+    more = line_dedup.line_matches(spark.createDataFrame([*rows, (None, "a b c d e f")], "doc_id long, text string")).collect()
+    assert sorted(str((x.doc_id, x.line_no)) for x in more) == ["(None, 0)", "(None, 0)", "(None, 1)"] or sorted(str((x.doc_id, x.line_no)) for x in more) == ["(None, 0)", "(None, 1)"]
+
+
+def test_word_in_very_many_unlike_lines(spark):
+    """One word in all of 20,000 lines of few words, so that it stands in many prefixes; and some lines that are alike."""
+    r = random.Random(13)
+    rows = [(i, f"common u{r.randrange(10**9)} v{r.randrange(10**9)} common w{r.randrange(40)}") for i in range(20_000)] + [(30_000 + i, f"common a{i} b{i} c{i} d{i}") for i in range(50)] + [(40_000 + i, f"d{i} c{i} b{i} common a{i}") for i in range(50)]
+    got = line_dedup.line_matches(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {x.doc_id for x in got} == {40_000 + i for i in range(50)}
+
+
 def test_drop_lines(spark, empty):
     rows = [(1, "a b c\nkeep me\n\na b c"), (2, "c b a\nnew line here"), (3, None), (None, "keep me\nx"), (2, "c b a\nnew line here"), (4, "")]
     out = line_dedup.drop_lines(spark.createDataFrame(rows, "doc_id long, text string").withColumn("_gone", F.lit(0)))

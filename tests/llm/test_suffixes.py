@@ -46,7 +46,7 @@ def corpus():
     rows += [(200 + i, rows[7][1]) for i in range(30)]  # copies
     rows += [(240 + i, rows[9][1].replace("lorem", "LOREM", 1)) for i in range(10)]
     rows += [(260, None), (261, ""), (262, "x" * 49), (263, "x" * 50), (264, "y" + "x" * 50), (265, "x" * 3000), (266, "ab" * 2000), (267, "ab" * 70), (268, "\0" * 120), (269, "\0" * 60 + "q")]
-    rows += [(270, words(4000) + rows[3][1] + words(10)), (3, rows[3][1]), (3, rows[3][1] + "z"), (None, rows[11][1]), (None, "unseen " + rows[12][1]), (-5, rows[13][1][10:150])]
+    rows += [(270, words(4000) + rows[3][1] + words(10)), (3, rows[3][1]), (3, rows[3][1] + "z"), (None, rows[11][1]), (None, "unseen " + rows[12][1]), (-5, rows[13][1][10:150]), (2**63 - 1, rows[14][1] + " last")]
     rng.shuffle(rows)
     return rows
 

@@ -71,7 +71,8 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _rarity(sets: DataFrame) -> np.ndarray:
     """Place of each cell in the order of rising counts over all shingles of all documents."""
-    cells = sets.mapInArrow(_counts, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # CELLS rows at most
+    # CELLS rows at most; written first, as whole sets go to Python in smaller batches then
+    cells = written(sets.mapInArrow(_counts, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")), "shingle-cells").toArrow()
     counts = np.zeros(CELLS, np.int64)
     counts[cells.column("cell").to_numpy()] = cells.column("n").to_numpy()
     place = np.empty(CELLS, _U)

@@ -4,7 +4,9 @@ Every function takes and gives Columns and stays within the JVM. A NULL operand
 error (ANSI mode), they never wrap. The canonical form makes struct equality exact, so rationals can be grouped and joined.
 
 A float, or a column said to hold doubles by `real`, makes the result of + - * / a double and comparisons those of doubles. Any other
-column with a number that isn't whole raises an error; nothing is rounded."""
+column with a number that isn't whole raises an error; nothing is rounded.
+
+A handful of operations may be nested; longer chains belong into columns of their own (withColumn), as Spark resolves nested lambdas level by level."""
 
 from __future__ import annotations
 
@@ -126,6 +128,20 @@ def mark(c: Column) -> Column:
     return c
 
 
+def _built(c: Column) -> Column:
+    """A rational that arithmetic has made: operations take its value once instead of its expression many times."""
+    c._is_built = True
+    return mark(c)
+
+
+def _once(f: Callable, *operands) -> Column:
+    """f of rationals, each computed once."""
+    given = [as_frac(x) for x in operands]
+    if not any(vars(x).get("_is_built") for x in given):
+        return f(*given)
+    return let(F.struct(*[x.alias(f"_{k}") for k, x in enumerate(given)]), lambda v: f(*[mark(v[f"_{k}"]) for k in range(len(given))]))
+
+
 def real(c: Column) -> Column:
     """Says that a column holds doubles."""
     c._is_real = True
@@ -151,10 +167,9 @@ def reduced(num: Column, den: Column, zero: str = "error") -> Column:
 
     def short(x: Column) -> Column:
         """The same in 64-bit arithmetic, several times as fast."""
-        return let(
-            F.struct(x["n"].cast("long").alias("n"), x["d"].cast("long").alias("d"), F.greatest(gcd_long(x["n"], x["d"]), F.lit(1)).alias("g")),
-            lambda y: let(F.when(y["d"] < 0, -y["g"]).otherwise(y["g"]), lambda g: _pair(F.call_function("div", y["n"], g), F.call_function("div", y["d"], g))),
-        )
+        n, d = x["n"].cast("long"), x["d"].cast("long")
+        whole = lambda g, v: F.call_function("div", v, F.when(d < 0, -g).otherwise(g))
+        return let(F.greatest(gcd_long(n, d), F.lit(1).cast("long")), lambda g: _pair(whole(g, n), whole(g, d)))
 
     def body(x: Column) -> Column:
         return let(
@@ -162,17 +177,15 @@ def reduced(num: Column, den: Column, zero: str = "error") -> Column:
             lambda y: _pair(quotient((y["n"] * y["s"]).cast(DECIMAL), y["g"]), quotient((y["d"] * y["s"]).cast(DECIMAL), y["g"])),
         )
 
-    return mark(F.when(num.isNotNull() & den.isNotNull(), let(given, lambda x: F.when(x["d"] == 0, bad).when(x["d"] == 1, _pair(x["n"], x["d"])).when(_under(x["n"], SHORT) & _under(x["d"], SHORT), short(x)).otherwise(body(x)))))
+    return _built(F.when(num.isNotNull() & den.isNotNull(), let(given, lambda x: F.when(x["d"] == 0, bad).when(x["d"] == 1, _pair(x["n"], x["d"])).when(_under(x["n"], SHORT) & _under(x["d"], SHORT), short(x)).otherwise(body(x)))))
 
 
 def neg(a) -> Column:
-    a = as_frac(a)
-    return mark(F.when(a.isNotNull(), _pair(negated(a["num"]), a["den"])))
+    return _built(_once(lambda x: F.when(x.isNotNull(), _pair(negated(x["num"]), x["den"])), a))
 
 
 def abs_(a) -> Column:
-    a = as_frac(a)
-    return mark(F.when(a.isNotNull(), _pair(size(a["num"]), a["den"])))
+    return _built(_once(lambda x: F.when(x.isNotNull(), _pair(size(x["num"]), x["den"])), a))
 
 
 #: Numbers whose products of two, and sums of two such products, are safe in 64 bits.
@@ -219,19 +232,19 @@ def _sum(a: Column, b: Column, sign: int) -> Column:
     small = _all_under(HALF, a["num"], a["den"], b["num"], b["den"])
     wholes = (a["den"] == 1) & (b["den"] == 1)
     n = a["num"] + b["num"] if sign > 0 else a["num"] - b["num"]
-    return mark(F.when(a.isNotNull() & b.isNotNull(), F.when(wholes, _pair(n, F.lit(1))).when(small, short).otherwise(body(DECIMAL, gcd, quotient))))
+    return _built(F.when(a.isNotNull() & b.isNotNull(), F.when(wholes, _pair(n, F.lit(1))).when(small, short).otherwise(body(DECIMAL, gcd, quotient))))
 
 
 def add(a, b) -> Column:
     if d := _doubles(a, b):
         return real(d[0] + d[1])
-    return _sum(as_frac(a), as_frac(b), 1)
+    return _built(_once(lambda x, y: _sum(x, y, 1), a, b))
 
 
 def sub(a, b) -> Column:
     if d := _doubles(a, b):
         return real(d[0] - d[1])
-    return _sum(as_frac(a), as_frac(b), -1)
+    return _built(_once(lambda x, y: _sum(x, y, -1), a, b))
 
 
 def _product(a: Column, b: Column, zero: str = "error") -> Column:
@@ -252,7 +265,7 @@ def _product(a: Column, b: Column, zero: str = "error") -> Column:
     small = _all_under(HALF, a["num"], a["den"], b["num"], b["den"])
     bad = F.raise_error(F.lit("division by zero")).cast(TYPE) if zero == "error" else F.lit(None).cast(TYPE)
     wide = F.when((a["den"] == 0) | (b["den"] == 0), bad).otherwise(let(_fractions(a, b, DECIMAL), long))
-    return mark(F.when(a.isNotNull() & b.isNotNull(), F.when(small, reduced((a["num"] * b["num"]).cast(DECIMAL), (a["den"] * b["den"]).cast(DECIMAL), zero)).otherwise(wide)))
+    return _built(F.when(a.isNotNull() & b.isNotNull(), F.when(small, reduced((a["num"] * b["num"]).cast(DECIMAL), (a["den"] * b["den"]).cast(DECIMAL), zero)).otherwise(wide)))
 
 
 def _turned(a: Column) -> Column:
@@ -262,28 +275,25 @@ def _turned(a: Column) -> Column:
 def mul(a, b) -> Column:
     if d := _doubles(a, b):
         return real(d[0] * d[1])
-    return _product(as_frac(a), as_frac(b))
+    return _built(_once(_product, a, b))
 
 
 def div(a, b) -> Column:
     """Division by zero raises an error; 0 / b is 0."""
     if d := _doubles(a, b):
         return real(d[0] / d[1])
-    b = as_frac(b)
-    return _product(as_frac(a), F.when(b.isNotNull(), _turned(b)))
+    return _built(_once(lambda x, y: _product(x, F.when(y.isNotNull(), _turned(y))), a, b))
 
 
 def try_div(a, b) -> Column:
     """Division by zero gives NULL."""
     if d := _doubles(a, b):
         return real(F.try_divide(*d))
-    b = as_frac(b)
-    return _product(as_frac(a), F.when(b.isNotNull(), _turned(b)), zero="null")
+    return _built(_once(lambda x, y: _product(x, F.when(y.isNotNull(), _turned(y)), zero="null"), a, b))
 
 
 def to_double(a) -> Column:
-    a = as_frac(a)
-    return a["num"].cast("double") / a["den"].cast("double")
+    return _once(lambda x: x["num"].cast("double") / x["den"].cast("double"), a)
 
 
 def compare(a, b) -> Column:
@@ -291,7 +301,10 @@ def compare(a, b) -> Column:
     those of divisor and remainder the other way round, and so on (Euclid's steps on both), so that no number grows."""
     if d := _doubles(a, b):
         return F.when(d[0] < d[1], -1).when(d[0] > d[1], 1).when(d[0] == d[1], 0)
-    a, b = as_frac(a), as_frac(b)
+    return _once(_compared, a, b)
+
+
+def _compared(a: Column, b: Column) -> Column:
     of = lambda x, y: F.when(x < y, -1).when(x > y, 1).otherwise(0)
     state = lambda n1, d1, n2, d2, way, out: F.struct(*[x.cast(DECIMAL).alias(k) for k, x in zip(("n1", "d1", "n2", "d2"), (n1, d1, n2, d2), strict=True)], way.cast("int").alias("way"), out.cast("int").alias("out"))
     null = F.lit(None)
@@ -316,8 +329,7 @@ def compare(a, b) -> Column:
 def eq(a, b) -> Column:
     if d := _doubles(a, b):
         return d[0] == d[1]
-    a, b = as_frac(a), as_frac(b)
-    return (a["num"] == b["num"]) & (a["den"] == b["den"])
+    return _once(lambda x, y: (x["num"] == y["num"]) & (x["den"] == y["den"]), a, b)
 
 
 def ne(a, b) -> Column:
@@ -342,7 +354,10 @@ def ge(a, b) -> Column:
 
 def text(a, digits: int = 3) -> Column:
     """The value with so many decimals, exactly, ties to even; a negative number keeps its sign where only zeros are left."""
-    a = as_frac(a)
+    return _once(lambda x: _text(x, digits), a)
+
+
+def _text(a: Column, digits: int) -> Column:
     ten = 10**digits
     whole = lambda x, y: F.call_function("div", x, y)
 

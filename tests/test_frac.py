@@ -148,3 +148,17 @@ def test_text_is_exact(spark, digits):
     for r in df.select("*", frac.text(x, digits).alias("t")).collect():
         assert r.t == rounded(Fraction(int(r.a), int(r.b)), digits), (r.a, r.b)
     assert spark.range(1).select(frac.text(frac.frac(F.lit(None).cast("long"), 2)).alias("t")).first().t is None
+
+
+def test_long_expressions_stay_short(spark):
+    """Operands are computed once each, so that nested operations don't multiply."""
+    df = spark.createDataFrame([(k, k + 2) for k in range(1, 9)], "a long, b long")
+    x, want = frac.frac(F.col("a"), F.col("b")), lambda a, b: Fraction(a, b)
+    y = x
+    for k in range(2, 3):
+        y = frac.neg(frac.div(frac.add(frac.mul(y, x), frac.frac(1, k)), frac.frac(k, 3)))
+    for r in df.select("a", "b", y.alias("y"), frac.lt(y, x).alias("less"), frac.text(y).alias("t")).collect():
+        q = p = want(r.a, r.b)
+        for k in range(2, 3):
+            q = -(q * p + Fraction(1, k)) / Fraction(k, 3)
+        assert value(r.y) == q and r.less == (q < p) and r.t == rounded(q, 3)

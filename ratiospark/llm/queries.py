@@ -65,4 +65,16 @@ WITH n AS (
   FROM n WINDOW w AS (PARTITION BY norm ORDER BY chars DESC, doc_id)
 )
 SELECT doc_id, keep_id, group_size, rk = 1 AS kept, sha256(norm) AS text_sha256 FROM r""",
+    "op12_suffix_dedup": """
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS line, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT line, doc_id, i, array_slice(b, i, i + 49) AS s FROM (SELECT line, doc_id, b, unnest(range(1, octet_length(b) - 48)) AS i FROM d)),
+m AS (SELECT line, i FROM (SELECT line, i, doc_id, min(doc_id) OVER (PARTITION BY s) AS least FROM w) WHERE least < doc_id),
+g AS (SELECT line, i, sum(fresh) OVER (PARTITION BY line ORDER BY i) AS run FROM (SELECT line, i, CASE WHEN i > lag(i) OVER (PARTITION BY line ORDER BY i) + 50 THEN 1 ELSE 0 END AS fresh FROM m)),
+r AS MATERIALIZED (SELECT line, run, min(i) AS a, max(i) + 49 AS z FROM g GROUP BY line, run),
+k AS (SELECT line, a AS till, coalesce(lag(z) OVER (PARTITION BY line ORDER BY a), 0) AS since FROM (SELECT line, a, z FROM r UNION ALL SELECT line, octet_length(b) + 1, octet_length(b) + 1 FROM d)),
+p AS (SELECT k.line, string_agg(hex(array_slice(b, since + 1, till - 1)), '' ORDER BY since) AS kept FROM k JOIN d USING (line) WHERE since + 1 <= till - 1 GROUP BY k.line),
+n AS (SELECT line, sum(z - a + 1) AS n_removed, count(*) AS n_spans FROM r GROUP BY line)
+SELECT doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(coalesce(unhex(kept), ''::BLOB)) AS kept_sha256
+FROM d LEFT JOIN p USING (line) LEFT JOIN n USING (line)""",
 }

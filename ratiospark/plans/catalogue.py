@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import scratch
 from ..functions import frac, vec
 from ..functions.arith import DOUBLE, INT
 from ..operators.matrix import ID, MatrixFrame
@@ -402,7 +403,10 @@ _COLUMNS = ["l_quantity", "l_linenumber", "l_partkey", "l_suppkey"]
 
 @query("SELECT CAST(0 AS BIGINT) AS matrix_id, i, j, val FROM (" + " UNION ALL ".join(f"SELECT CAST({i} AS INTEGER) AS i, CAST({j} AS INTEGER) AS j, CAST(SUM(CAST({a} AS BIGINT) * CAST({b} AS BIGINT)) AS BIGINT) AS val FROM lineitem" for i, a in enumerate(_COLUMNS) for j, b in enumerate(_COLUMNS)) + ") g")
 def gram_columns(spark, sf_dir):
-    return gram_cells(_table(spark, sf_dir, "lineitem"), F.lit(0), [F.col(c).cast("long") for c in _COLUMNS])
+    """val is a long like the SQL's where every sum fits one, else a decimal; the SQL itself raises an error then."""
+    cells = scratch.written(gram_cells(_table(spark, sf_dir, "lineitem"), F.lit(0), [F.col(c).cast("long") for c in _COLUMNS]), "gram")
+    fits = cells.filter(~F.col("val").between(-(2**63), 2**63 - 1)).isEmpty()
+    return cells.withColumn("val", F.col("val").cast("long")) if fits else cells
 
 
 # 2.F vectors

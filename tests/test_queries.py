@@ -62,3 +62,16 @@ def test_streamed_gram(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(spark.table("grams").collect()) == sorted(make(t).collect())
+
+
+def test_gram_of_columns_past_64_bits(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    t = spark.read.parquet(f"{SF}/lineitem.parquet").withColumn("l_partkey", F.col("l_partkey") + 4 * 10**9)
+    t.write.parquet(str(tmp_path / "lineitem.parquet"))
+    names = ["l_quantity", "l_linenumber", "l_partkey", "l_suppkey"]
+    rows = [[int(x) for x in r] for r in t.select(*names).collect()]
+    want = sorted((0, i, j, sum(r[i] * r[j] for r in rows)) for i in range(4) for j in range(4))
+    assert max(w[3] for w in want) > 2**64
+    assert sorted((r.matrix_id, r.i, r.j, int(r.val)) for r in catalogue.gram_columns(spark, str(tmp_path)).collect()) == want
+    assert dict(catalogue.gram_columns(spark, SF).dtypes)["val"] == "bigint"

@@ -154,14 +154,14 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, words) -> (node, s0, s1, ...): each shingle flips one bit, so sets differ in at least as many shingles as signatures in bits."""
+    """(node, words) -> (node, size, s0, s1, ...): each shingle flips one bit, so sets differ in at least as many shingles as signatures in bits."""
     for batch in _portions(batches):
         words = batch.column("words")
         n = np.asarray(words.value_lengths()).astype(np.int64)
         bit = (mix(words.flatten().to_numpy().view(_U), 0x8CB92BA72F3D8DD7) >> _U(40)).astype(np.int64) % SIGNATURE
         odd = np.bincount(np.repeat(np.arange(len(n)), n) * SIGNATURE + bit, minlength=len(n) * SIGNATURE) & 1
         signs = np.packbits(odd.astype(np.uint8).reshape(len(n), -1), axis=1, bitorder="little").view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column("node"), *[pa.array(np.ascontiguousarray(x)) for x in signs.T]], ["node", *_SIGNS])
+        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(n.astype(np.int32)), *[pa.array(np.ascontiguousarray(x)) for x in signs.T]], ["node", "size", *_SIGNS])
 
 
 def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,6 +183,16 @@ def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
 
+def _near(pairs: DataFrame, signs: DataFrame) -> DataFrame:
+    """Those of the pairs of nodes whose signatures leave the similarity open."""
+    ends = [signs.select(F.col("node").alias(x), F.col("size").alias(f"{x}_size"), *[F.col(s).alias(f"{x}_{s}") for s in _SIGNS]) for x in ("a", "b")]
+    size, bits = F.col("a_size") + F.col("b_size"), F.lit(0)
+    for s in _SIGNS:
+        bits = bits + F.bit_count(F.col(f"a_{s}").bitwiseXOR(F.col(f"b_{s}")))
+    both = pairs.join(ends[0], "a").join(ends[1], "b")
+    return both.filter(bits <= size - 2 * F.call_function("div", 4 * size + 8, F.lit(9))).select("a", "b")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those of the pairs of nodes whose whole sets have the similarity. Sets are looked up in a bitmap of the pairs' nodes."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("key1")).distinct()
@@ -199,7 +209,7 @@ def linked(rows: DataFrame, links: DataFrame) -> DataFrame:
 
     Sets are ordered by rarity and index their prefixes. Each is compared with one other of each posting at first, which joins a
     dense group in about as many pairs as it has members; then all pairs of a posting that are still in different components
-    are compared, so that every similar pair is joined; there a signature of each set spares most pairs the comparison of whole sets. Equal sets are compared once. Documents without words have no set."""
+    are compared, so that every similar pair is joined. A signature of each set spares most pairs the comparison of whole sets. Equal sets are compared once. Documents without words have no set."""
     spark = rows.sparkSession
     n = partitions(spark)
     sets = rows.select("node", "words")
@@ -215,26 +225,27 @@ def linked(rows: DataFrame, links: DataFrame) -> DataFrame:
     postings = postings.repartition(n, "w").sortWithinPartitions("w", F.xxhash64(F.col("w").bitwiseAND(1), "node"))
     shared = written(postings.mapInArrow(_shared, "w long, node long, n int, at int, first long"), "shingle-postings")
     pairs = written(shared.filter("node <> first").select(F.least("node", "first").alias("a"), F.greatest("node", "first").alias("b")).distinct(), "shingle-pairs")
+    signs = written(sets.mapInArrow(_signatures, "node long, size int, " + ", ".join(f"{x} long" for x in _SIGNS)).dropDuplicates(["node"]), "shingle-signs")
+    near = written(_near(pairs, signs), "shingle-near")
+    discard(pairs)
     prints = groups.select("node", "fp")
     named = lambda p: p.join(prints.toDF("a", "x"), "a").join(prints.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
     equal = rows.select("node", "fp").join(groups.filter("fp <> most AND times > 1").select("node", F.col("fp").alias("b")), "node").select(F.col("fp").alias("a"), "b")
-    roots = written(components(links.unionByName(named(_verified(pairs, sets))).unionByName(equal)), "shingle-roots")
+    roots = written(components(links.unionByName(named(_verified(near, sets))).unionByName(equal)), "shingle-roots")
     placed = prints.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("node", F.coalesce("root", "fp").alias("root"))
     placed = written(shared.select("w", "node", "n", "at").join(placed, "node"), "shingle-placed")
     discard(shared)
     mixed = placed.groupBy("w").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("w")
     open_ = written(placed.join(mixed, "w", "left_semi"), "shingle-open")
     discard(placed)
-    ends = spark.sparkContext.broadcast(repeated_keys(open_.select(F.col("node").alias("key1")).distinct()))
-    pick = _picked(lambda: ends.value, True)
-    signs = sets.mapInArrow(lambda batches: _signatures(pick(batches)), "node long, " + ", ".join(f"{x} long" for x in _SIGNS)).dropDuplicates(["node"])
-    apart = open_.join(signs, "node").repartition(n, "w").sortWithinPartitions("w").mapInArrow(_apart, "a long, b long")
-    apart = written(apart.distinct().join(pairs, ["a", "b"], "left_anti"), "shingle-apart")
-    discard(open_)
+    apart = open_.join(signs.drop("size"), "node").repartition(n, "w").sortWithinPartitions("w").mapInArrow(_apart, "a long, b long")
+    apart = written(apart.distinct().join(near, ["a", "b"], "left_anti"), "shingle-apart")
+    for table in (open_, signs):
+        discard(table)
     if apart.isEmpty():
         return roots
     more = named(_verified(apart, sets)).unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
     found = written(components(more), "shingle-roots")
-    for table in (pairs, apart, groups):
+    for table in (near, apart, groups):
         discard(table)
     return found

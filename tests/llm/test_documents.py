@@ -589,3 +589,15 @@ def test_drop_lines(spark, empty):
     assert out.columns == ["doc_id", "text", "_gone"] or "text" in out.columns
     assert sorted(str((r.doc_id, r.text)) for r in out.collect()) == sorted(map(str, [(1, "a b c\nkeep me\n"), (2, "new line here"), (2, "new line here"), (3, None), (None, "x"), (4, "")]))
     assert line_dedup.line_matches(empty).count() == 0 and line_dedup.drop_lines(empty).count() == 0
+
+
+def test_signatures_rule_pairs_out_before_whole_sets_meet(spark):
+    import numpy as np
+
+    from ratiospark.llm import shingles
+
+    base = np.random.default_rng(3).integers(-(2**62), 2**62, 400).tolist()
+    sets = spark.createDataFrame([(1, base[:100]), (2, base[5:105]), (3, base[99:199]), (4, base[300:310])], "node long, words array<long>")
+    signs = sets.mapInArrow(shingles._signatures, "node long, size int, " + ", ".join(f"{x} long" for x in shingles._SIGNS))
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (2, 3), (1, 4)], "a long, b long")
+    assert [tuple(r) for r in shingles._near(pairs, signs).collect()] == [(1, 2)]

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import scratch
-from ..functions import frac, vec
+from ..functions import batch, frac, vec
 from ..functions.arith import DOUBLE, INT
 from ..operators.matrix import ID, MatrixFrame
 from ..sources.builders import from_dense, from_sparse, from_table, scaled_identity, vector
@@ -153,8 +153,8 @@ SELECT l_orderkey, l_linenumber, CAST(n // gcd(n, d) AS VARCHAR) AS num, CAST(d
 def frac_add_large(spark, sf_dir):
     """Sums over denominators of 21 digits: their product has 42, the result 22 at most."""
     ten = F.lit("1" + "0" * 20).cast(frac.DECIMAL)
-    part = lambda n, d: frac.frac(F.col(n), (F.col(d).cast(frac.DECIMAL) * ten).cast(frac.DECIMAL))
-    r = rationals(spark, sf_dir).select(*KEYS, frac.add(part("n1", "d1"), part("n2", "d2")).alias("x"))
+    part = lambda n, d: batch.pair(F.col(n), F.col(d).cast(frac.DECIMAL) * ten)
+    r = rationals(spark, sf_dir).select(*KEYS, batch.add(part("n1", "d1"), part("n2", "d2")).alias("x"))
     return r.select(*KEYS, F.col("x.num").cast("string").alias("num"), F.col("x.den").cast("string").alias("den"))
 
 

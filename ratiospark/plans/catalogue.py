@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -162,10 +163,9 @@ def frac_add_large(spark, sf_dir):
 def frac_compare_large(spark, sf_dir):
     """n / d and a 10^-30th of 1 / d more: cross products have over 60 digits."""
     ten = F.lit(str(_TEN30)).cast(frac.DECIMAL)
-    part = lambda n, d: frac.frac((F.col(n).cast(frac.DECIMAL) * ten + 1).cast(frac.DECIMAL), (F.col(d).cast(frac.DECIMAL) * ten).cast(frac.DECIMAL))
-    r = rationals(spark, sf_dir).select(*KEYS, part("n1", "d1").alias("a"), part("n2", "d2").alias("b"))
-    a, b = frac.mark(F.col("a")), frac.mark(F.col("b"))
-    return r.select(*KEYS, *[getattr(frac, op)(a, b).alias(op) for op in ("eq", "lt", "le", "gt", "ge")])
+    part = lambda n, d: batch.pair(F.col(n).cast(frac.DECIMAL) * ten + 1, F.col(d).cast(frac.DECIMAL) * ten)
+    r = rationals(spark, sf_dir).select(*KEYS, batch.compare(part("n1", "d1"), part("n2", "d2")).alias("c"))
+    return r.select(*KEYS, *[f(F.col("c"), 0).alias(f.__name__) for f in (operator.eq, operator.lt, operator.le, operator.gt, operator.ge)])
 
 
 @query(f"WITH {F_SQL} SELECT l_orderkey, l_linenumber, CAST(n1 // gcd(n1, d1) AS DOUBLE) / CAST(d1 // gcd(n1, d1) AS DOUBLE) AS val FROM L")

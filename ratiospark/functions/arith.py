@@ -35,7 +35,7 @@ def _fr(f: Callable) -> Callable:
 
 INT = Arith(
     "int", frac.DECIMAL, frac.exact, _as(frac.DECIMAL, lambda a, b: a + b), _as(frac.DECIMAL, lambda a, b: a - b), _as(frac.DECIMAL, lambda a, b: a * b),
-    lambda a, b: frac.div(frac.whole(a), frac.whole(b)), frac.negated, lambda a: a.cast("string"), lambda a: a.cast("string"),
+    frac.of_wholes, frac.negated, lambda a: a.cast("string"), lambda a: a.cast("string"),
 )
 FRAC = Arith("frac", frac.TYPE, frac.as_frac, _fr(frac.add), _fr(frac.sub), _fr(frac.mul), _fr(frac.div), _fr(frac.neg), _fr(frac.text), _fr(frac.repr_))
 DOUBLE = Arith("double", "double", lambda v: F.lit(float(v)), lambda a, b: a + b, lambda a, b: a - b, lambda a, b: a * b, lambda a, b: a / b, lambda a: -a, lambda a: a.cast("string"), lambda a: a.cast("string"))

@@ -97,6 +97,20 @@ def frac(num, den=1) -> Column:
     return div(num, den)
 
 
+def of_wholes(a, b) -> Column:
+    """frac of two numbers that are no rationals. Numbers of 64 bits, which most are, are told by a cast and stay in 64 bits throughout; the rest takes the long way."""
+    a, b = (x if isinstance(x, Column) else exact(x) for x in (a, b))
+    given = F.struct(a.try_cast("long").alias("n"), b.try_cast("long").alias("d"), a.alias("a"), b.alias("b"))
+    over = lambda v, g: F.call_function("div", v, g)
+
+    def short(x: Column) -> Column:
+        divisor = gcd_long(x["n"], x["d"]) * F.when(x["d"] < 0, -1).otherwise(1)
+        return let(F.struct(x["n"].alias("n"), x["d"].alias("d"), divisor.alias("g")), lambda y: _pair(over(y["n"], y["g"]), over(y["d"], y["g"])))
+
+    few = lambda v: (v < SHORT) & (v > -SHORT)
+    return _built(let(given, lambda x: F.when((x["n"] == x["a"]) & (x["d"] == x["b"]) & few(x["n"]) & few(x["d"]) & (x["d"] != 0), short(x)).otherwise(frac(x["a"], x["b"]))))
+
+
 def whole(n) -> Column:
     """An integer as a rational, without a search for divisors; NULL stays NULL."""
     return known_whole(exact(n))

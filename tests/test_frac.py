@@ -201,3 +201,17 @@ def test_long_numbers_go_in_batches(spark, tmp_path, name):
     spark.createDataFrame([(1, 2, 3, 4, 5.0)], "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double").write.parquet(str(tmp_path / "lineitem.parquet"))
     plan = catalogue.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython [") == 1 and "aggregate(" not in plan
+
+
+def test_quotients_of_whole_numbers(spark):
+    """Of 64 bits and beyond, whole decimals and doubles, nulls; fractions and zero divisors raise errors, also within lambdas."""
+    rows = [(6, -4), (0, -3), (-(2**63), 2), (2**63, 6), (10**18, 4), (1 - 10**18, 3), (10**37, 15), (5, 10**38 - 1), (None, 3), (3, None)]
+    df = spark.createDataFrame([tuple(None if x is None else str(x) for x in r) for r in rows], "a string, b string").select(F.col("a").cast(frac.DECIMAL).alias("a"), F.col("b").cast(frac.DECIMAL).alias("b"))
+    got = df.coalesce(1).select(frac.of_wholes(F.col("a"), F.col("b")).alias("x"), F.get(F.transform(F.array("b"), lambda y: frac.of_wholes(6, y)), F.lit(0)).alias("y")).collect()
+    assert [r.x and value(r.x) for r in got] == [None if None in r else Fraction(*r) for r in rows]
+    assert [r.y and value(r.y) for r in got] == [b and Fraction(6, b) for _, b in rows]
+    one = spark.range(1)
+    assert value(one.select(frac.of_wholes(F.lit(4.0), F.lit(Decimal("6.00"))).alias("x")).first().x) == Fraction(2, 3)
+    for bad, why in ((F.lit(2.5), "is no whole number"), (F.lit(Decimal("0.5")), "is no whole number"), (F.col("id"), "division by zero")):
+        with pytest.raises(Exception, match=why):
+            one.select(frac.of_wholes(1, bad)).collect()

@@ -38,8 +38,9 @@ def _insertion(pos: int, size: Column) -> Column:
 
 
 class MatrixFrame:
-    def __init__(self, cells: DataFrame, header: DataFrame, kind: str = "int"):
-        self.cells, self.header, self.kind = cells, header, KINDS[kind]
+    def __init__(self, cells: DataFrame, header: DataFrame, kind: str = "int", listed: DataFrame | None = None):
+        """listed: the same matrices as listed() gives them, where whoever makes them has them so at hand."""
+        self.cells, self.header, self.kind, self._listed = cells, header, KINDS[kind], listed
 
     # shape
 
@@ -70,6 +71,13 @@ class MatrixFrame:
         rows = row.groupBy(ID).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "row"))), lambda x: x["row"]).alias("m"))
         return self.header.join(rows, ID)
 
+    def listed(self) -> DataFrame:
+        """matrix_id, n_rows, n_cols, augment, vals: an array of all numbers in row order."""
+        if self._listed is not None:
+            return self._listed
+        flat = self.cells.groupBy(ID).agg(F.array_sort(F.collect_list(F.struct("i", "j", "val"))).alias("c"))
+        return self.header.join(flat, ID).select(ID, "n_rows", "n_cols", "augment", F.col("c.val").alias("vals"))
+
     def rows(self) -> DataFrame:
         return self.dense().select(ID, F.col("m").alias("rows"))
 

@@ -7,6 +7,7 @@ from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from ..functions import frac
 from ..operators.matrix import ID, MatrixFrame
@@ -49,17 +50,30 @@ def from_table(df: DataFrame, matrix_id: Column, i: Column, j: Column, value: Co
     return MatrixFrame(cells, head, kind)
 
 
+def _whole_sum(value: Column, long: bool) -> Column:
+    """The sum as a decimal, zero where there is none. 64-bit numbers are summed in halves of 32 bits, which takes half as long as sums of decimals
+    and is exact beyond 64 bits too."""
+    if not long:
+        return F.coalesce(F.sum(value), F.lit(0)).cast(frac.DECIMAL)
+    high, low = F.sum(F.shiftright(value, 32)), F.sum(value.bitwiseAND(F.lit(0xFFFFFFFF)))
+    return F.coalesce((high.cast(frac.DECIMAL) * F.lit(1 << 32) + low).cast(frac.DECIMAL), F.lit(0).cast(frac.DECIMAL))
+
+
 def from_sparse(df: DataFrame, matrix_id: Column, i: Column, j: Column, value: Column, n_rows: int, n_cols: int, augment: int | None = None) -> MatrixFrame:
     """Integer matrices of one size; cells are sums of value over the rows of one place, and zero where there is none. A place outside raises
     an error; rows with a null id, place or value don't count."""
-    given = df.select(matrix_id.cast("long").alias(ID), i.cast("int").alias("i"), j.cast("int").alias("j"), frac.exact(value).alias("val")).dropna()
+    long = isinstance(df.select(value).schema[0].dataType, IntegralType)
+    given = df.select(matrix_id.cast("long").alias(ID), i.cast("int").alias("i"), j.cast("int").alias("j"), (value.cast("long") if long else frac.exact(value)).alias("val")).dropna()
     inside = F.when((F.col("i") >= 0) & (F.col("i") < n_rows) & (F.col("j") >= 0) & (F.col("j") < n_cols), True).otherwise(F.raise_error(F.lit("a cell is out of range")).cast("boolean"))
     given, line = given.filter(inside), n_cols if augment is None else augment
-    sized = lambda ids: ids.select(ID, F.lit(n_rows).alias("n_rows"), F.lit(n_cols).alias("n_cols"), F.lit(line).alias("augment"))
+    sized = lambda ids, *more: ids.select(ID, F.lit(n_rows).alias("n_rows"), F.lit(n_cols).alias("n_cols"), F.lit(line).alias("augment"), *more)
     if n_rows * n_cols <= FEW_CELLS:  # one pass: a sum for each place
-        row = given.groupBy(ID).agg(*[F.coalesce(F.sum(F.when((F.col("i") == r) & (F.col("j") == c), F.col("val"))), F.lit(0)).cast(frac.DECIMAL).alias(f"_{r}_{c}") for r in range(n_rows) for c in range(n_cols)])
-        cells = F.array(*[F.struct(F.lit(r).alias("i"), F.lit(c).alias("j"), F.col(f"_{r}_{c}").alias("val")) for r in range(n_rows) for c in range(n_cols)])
-        return MatrixFrame(row.select(ID, F.inline(cells)), sized(row))
+        places = [(r, c) for r in range(n_rows) for c in range(n_cols)]
+        row = given.groupBy(ID).agg(*[_whole_sum(F.when((F.col("i") == r) & (F.col("j") == c), F.col("val")), long).alias(f"_{r}_{c}") for r, c in places])
+        cells = F.array(*[F.struct(F.lit(r).alias("i"), F.lit(c).alias("j"), F.col(f"_{r}_{c}").alias("val")) for r, c in places])
+        return MatrixFrame(row.select(ID, F.inline(cells)), sized(row), listed=sized(row, F.array(*[F.col(f"_{r}_{c}") for r, c in places]).alias("vals")))
+    if long:
+        given = given.withColumn("val", F.col("val").cast(frac.DECIMAL))
     ids = given.select(ID).distinct()
     zeros = ids.select(ID, F.explode(F.sequence(F.lit(0), F.lit(n_rows - 1))).alias("i")).select(ID, "i", F.explode(F.sequence(F.lit(0), F.lit(n_cols - 1))).alias("j")).withColumn("val", F.lit(0).cast(frac.DECIMAL))
     return MatrixFrame(given.unionByName(zeros).groupBy(ID, "i", "j").agg(F.sum("val").cast(frac.DECIMAL).alias("val")), sized(ids))

@@ -3,20 +3,24 @@
 import glob
 import json
 import os
+import random
 import shutil
 import subprocess
 import sys
+from decimal import Decimal
 from fractions import Fraction
 from pathlib import Path
 
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from jobs import queries, solve_systems, text_regression
 from jobs.common import read_config, write_partitions
+from ratiospark.operators import systems
 from ratiospark.operators.elimination import eliminate
-from ratiospark.operators.systems import solve
+from ratiospark.operators.systems import residuals, solve
 from ratiospark.sources.builders import from_literals, from_sparse
 
 SF = "/root/testdata/sf0.001"
@@ -154,6 +158,66 @@ def test_solve(spark):
         solve(from_literals(spark, {1: [[1, 2], [3, 4]]})).collect()
 
 
+def test_whole_systems_are_solved_in_batches_from_one_reading(spark, tmp_path, monkeypatch, capsys):
+    orders(spark, tmp_path / "in", [(1, 0, 2, 1.0), (1, 1, 1, 2.0)])
+    config = json.loads((ROOT / "jobs/solve_systems.json").read_text())
+    monkeypatch.setattr("ratiospark.operators.elimination.kernel", None)  # a system at a time
+    frame = solve_systems.systems(spark.read.parquet(f"{tmp_path}/in/orders.parquet"), config)
+    found = solve(frame)
+    assert [(r["j"], r["num"], r["den"]) for r in found.orderBy("j").collect()] == [(0, "1", "100"), (1, "1", "200")]
+    given = spark.createDataFrame([(1, 0, "1", "100"), (1, 1, "1", "200")], "matrix_id long, j int, num string, den string")
+    for df, shuffles in ((found, 1), (residuals(frame, given), 2)):
+        df.explain()
+        plan = capsys.readouterr().out
+        assert plan.count("Scan parquet") == 1 and plan.count("Exchange hashpartitioning") == shuffles
+
+
+@pytest.mark.parametrize("some", [1 << 17, 13])
+def test_batches_equal_the_kernel(monkeypatch, some):
+    rng = random.Random(7)
+    monkeypatch.setattr(systems, "CELLS", some)
+    given, want = [], []
+    for key in range(400):
+        n_rows, augment, consts, top = rng.randint(1, 4), rng.randint(0, 4), rng.randint(1, 2), rng.choice([1, 2, 10**6, 10**37])
+        m = [[rng.randint(-top, top) * rng.choice([0, 1, 1]) for _ in range(augment + consts)] for _ in range(n_rows)]
+        if n_rows > 1 and rng.random() < 0.4:  # dependent, contradictory or not
+            m[-1] = [2 * x for x in m[0]] if top < 10**37 else list(m[0])
+            m[-1][-1] += rng.choice([0, 1]) * (1 if m[-1][-1] <= 0 else -1)
+        given.append((key, n_rows, augment + consts, augment, [Decimal(x) for r in m for x in r]))
+        r = eliminate([[Fraction(x) for x in row] for row in m], augment, reduce=True)
+        rank, none = len(r.pivots), any(x for row in r.rows[len(r.pivots) :] for x in row[augment:])
+        if none or rank < augment or not augment:
+            want.append((key, rank, "none" if none else "many", None, None, None))
+        else:
+            want += [(key, rank, "unique", j, str(r.rows[j][augment].numerator), str(r.rows[j][augment].denominator)) for j in range(augment)]
+    kinds = pa.schema([("matrix_id", pa.int64()), ("n_rows", pa.int32()), ("n_cols", pa.int32()), ("augment", pa.int32()), ("vals", pa.list_(pa.decimal128(38, 0)))])
+    batch = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*given, strict=True), kinds, strict=True)], schema=kinds)
+    got = [tuple(r.values()) for b in systems._solved(iter([batch.slice(0, 150), batch.slice(150), batch.slice(0, 0)])) for r in b.to_pylist()]
+    assert sorted(got, key=str) == sorted(want, key=str) and {r[2] for r in want} == {"unique", "many", "none"}
+
+
+def test_residuals(spark):
+    big = 10**30 + 7
+    m = from_literals(spark, {1: [[2, 1, 5], [1, 3, 10]], 2: [[big, 1, 1], [1, big, 0]], 3: [[1, 0, 1], [0, 1, 1]], 4: [[1, 0, 1], [0, 1, 1]], 5: [[1, 0, 1], [0, 1, 1]], 6: [[2, 0, 1], [0, 3, 1]], 7: [[1, 0, 1], [0, 1, 1]]}, {k: 2 for k in range(1, 8)})
+    rows = [(1, 0, "1", "1"), (1, 1, "3", "1"), (2, 0, str(big), str(big * big - 1)), (2, 1, "-1", str(big * big - 1)), (3, 0, "1", "1"), (4, 0, "1", "1"), (4, 1, "1", "1"), (4, 1, "1", "1")]
+    rows += [(5, 0, "1", "0"), (5, 1, "1", "1"), (6, 1, "1", "4"), (6, 0, "1", "2"), (7, None, None, None)]
+    given = spark.createDataFrame(rows, "matrix_id long, j int, num string, den string")
+    # past 38 digits; an unknown lacking, one twice, a zero denominator; one equation missed; none to test
+    assert {r["matrix_id"]: r["wrong"] for r in residuals(m, given).collect()} == {1: 0, 2: 0, 3: 2, 4: 2, 5: 2, 6: 1}
+    with pytest.raises(TypeError, match="integers"):
+        residuals(m.to_fraction(), given)
+
+
+@pytest.mark.parametrize("few", [36, 0])
+def test_sparse_sums_past_64_bits(spark, monkeypatch, few):
+    monkeypatch.setattr("ratiospark.sources.builders.FEW_CELLS", few)
+    top, low = 2**63 - 1, -(2**63)
+    df = spark.createDataFrame([(1, 0, top), (1, 0, top), (1, 1, low), (1, 1, low), (1, 1, -1), (2, 0, -5), (2, 0, 3), (2, 1, None)], "k long, j int, v long")
+    m = from_sparse(df, F.col("k"), F.lit(0), F.col("j"), F.col("v"), 1, 2)
+    assert {r["matrix_id"]: [int(x) for x in r["vals"]] for r in m.listed().collect()} == {1: [2 * top, 2 * low - 1], 2: [-2, 0]}
+    assert {r["matrix_id"]: [int(x) for y in r["rows"] for x in y] for r in m.rows().collect()} == {1: [2 * top, 2 * low - 1], 2: [-2, 0]}
+
+
 @pytest.mark.parametrize("few", [36, 0])
 def test_sparse_cells(spark, monkeypatch, few):
     monkeypatch.setattr("ratiospark.sources.builders.FEW_CELLS", few)

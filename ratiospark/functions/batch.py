@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from . import frac
 
-_WHOLE = pa.decimal128(38, 0)
+WHOLE = pa.decimal128(38, 0)
 _HALF = (1 << 64) - 1
 
 
@@ -33,7 +33,7 @@ def decimals(x: np.ndarray) -> pa.Array:
     if len(x) and max(x.max(), -x.min()) >= 10**38:
         raise ArithmeticError("overflow: a number has more than 38 digits")
     halves = np.stack([(x & _HALF).astype(np.uint64).view(np.int64), (x >> 64).astype(np.int64)], axis=1)
-    return pa.Array.from_buffers(_WHOLE, len(x), [None, pa.py_buffer(np.ascontiguousarray(halves))])
+    return pa.Array.from_buffers(WHOLE, len(x), [None, pa.py_buffer(np.ascontiguousarray(halves))])
 
 
 def _operands(*columns: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.batch import numbers
+from ..functions.batch import WHOLE, numbers
 from .matrix import ID, MatrixFrame
 
 UNIQUE, MANY, NONE = "unique", "many", "none"
@@ -44,11 +44,18 @@ def _by_kernel(frame: MatrixFrame, line: Column) -> DataFrame:
     return found.select(ID, "rank", "status", "x.j", "x.num", "x.den")
 
 
+def _whole(x: pa.Array) -> pa.Array:
+    """Decimals without a fraction, of integers or decimals of any width; a fraction raises an error."""
+    if not (pa.types.is_integer(x.type) or pa.types.is_decimal(x.type)):
+        raise TypeError(f"{x.type} is no type of whole numbers")
+    return x.cast(WHOLE)
+
+
 def _alike(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
     """Systems of one size, some at a time: their places in the batch, augment, and their numbers by system, row and column."""
     vals = batch["vals"]
     sizes = np.stack([batch[c].to_numpy() for c in ("n_rows", "n_cols", "augment")], axis=1)
-    counts, flat = vals.value_lengths().to_numpy(zero_copy_only=False), vals.flatten()
+    counts, flat = vals.value_lengths().to_numpy(zero_copy_only=False), _whole(vals.flatten())
     if flat.null_count or not np.array_equal(counts, sizes[:, 0] * sizes[:, 1]):
         raise ValueError("a matrix is ragged or has a cell without a number")
     starts = np.cumsum(counts) - counts

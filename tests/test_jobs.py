@@ -20,6 +20,7 @@ from jobs import queries, solve_systems, text_regression
 from jobs.common import read_config, write_partitions
 from ratiospark.operators import systems
 from ratiospark.operators.elimination import eliminate
+from ratiospark.operators.matrix import MatrixFrame
 from ratiospark.operators.systems import residuals, solve
 from ratiospark.sources.builders import from_literals, from_sparse
 
@@ -196,6 +197,19 @@ def test_batches_equal_the_kernel(monkeypatch, some):
     assert sorted(got, key=str) == sorted(want, key=str) and {r[2] for r in want} == {"unique", "many", "none"}
 
 
+def test_whole_numbers_of_any_type(spark):
+    head = spark.createDataFrame([(1, 1, 2, 1)], "matrix_id long, n_rows int, n_cols int, augment int")
+    cells = spark.createDataFrame([(1, 0, 0, "2"), (1, 0, 1, "-6")], "matrix_id long, i int, j int, val string")
+    given = spark.createDataFrame([(1, 0, "-3", "1")], "matrix_id long, j int, num string, den string")
+    for kind in ("byte", "int", "long", "decimal(20,0)", "decimal(12,2)", "decimal(38,0)"):
+        m = MatrixFrame(cells.withColumn("val", F.col("val").cast(kind)), head)
+        assert [(r["num"], r["den"], r["value"]) for r in solve(m).collect()] == [("-3", "1", -3.0)]
+        assert [r["wrong"] for r in residuals(m, given).collect()] == [0]
+    for k, kind in ((0.25, "decimal(12,2)"), (1.0, "double")):
+        with pytest.raises(Exception, match="data loss|whole numbers"):
+            solve(MatrixFrame(cells.withColumn("val", (F.col("val") * k).cast(kind)), head)).collect()
+
+
 def test_residuals(spark):
     big = 10**30 + 7
     m = from_literals(spark, {1: [[2, 1, 5], [1, 3, 10]], 2: [[big, 1, 1], [1, big, 0]], 3: [[1, 0, 1], [0, 1, 1]], 4: [[1, 0, 1], [0, 1, 1]], 5: [[1, 0, 1], [0, 1, 1]], 6: [[2, 0, 1], [0, 3, 1]], 7: [[1, 0, 1], [0, 1, 1]]}, {k: 2 for k in range(1, 8)})

@@ -1,7 +1,7 @@
 """Removal of byte strings that stand in an earlier document, by difference-cover suffix sorting.
 
 Any two equal strings of LENGTH bytes hold the same anchor: their GRAM bytes with the least hash. So documents' strings are dealt to
-tasks by anchor, and equal strings meet. Each task sorts the suffixes of the strings dealt to it by the difference-cover method."""
+tasks by anchor, and equal strings meet. Each task sorts the suffixes of the distinct segments dealt to it by the difference-cover method."""
 
 from __future__ import annotations
 
@@ -304,30 +304,40 @@ FOUND = "chunk long, r long, n int, found binary"
 
 
 def _find(dealt: pa.Table) -> pa.Table:
-    """A range's segments of all chunks -> to each chunk the least document of each string in its segments, in its order."""
+    """A range's segments of all chunks -> to each chunk the least document of each string in its segments, in its order.
+
+    Equal segments of all chunks count once, with their least document. A segment that then has its anchor to itself shares no string with
+    others, so only segments of an anchor with two or more are sorted."""
     rows = dealt.to_pylist()
-    keys = np.concatenate([_opened(r["keys"], _U, r["n"]) for r in rows])
-    sizes = np.concatenate([_opened(r["sizes"], np.int32, r["n"]) for r in rows]).astype(np.int64)
-    docs = np.concatenate([_opened(r["docs"], np.int64, r["n"]) for r in rows])
-    text = np.concatenate([_opened(r["texts"], np.uint8, r["n_bytes"]) for r in rows])
-    starts, strings = np.cumsum(sizes) - sizes, sizes - LENGTH + 1
-    answer = np.cumsum(strings) - strings
-    best = np.empty(int(strings.sum()), np.int64)
+    sizes = [_opened(r["sizes"], np.int32, r["n"]).astype(np.int64) for r in rows]
+    known, which = {}, []
+    for r, size in zip(rows, sizes, strict=True):
+        raw, ends = _opened(r["texts"], np.uint8, r["n_bytes"]).tobytes(), np.cumsum(size)
+        which.append(np.array([known.setdefault(raw[a:b], len(known)) for a, b in zip((ends - size).tolist(), ends.tolist(), strict=True)], np.int64))
+    every = np.concatenate(which)
+    docs = np.full(len(known), _LAST)
+    np.minimum.at(docs, every, np.concatenate([_opened(r["docs"], np.int64, r["n"]) for r in rows]))
+    first = np.unique(every, return_index=True)[1]
+    keys, lengths = np.concatenate([_opened(r["keys"], _U, r["n"]) for r in rows])[first], np.concatenate(sizes)[first]
+    text = np.frombuffer(b"".join(known), np.uint8)
+    del known
+    starts, strings = np.cumsum(lengths) - lengths, lengths - LENGTH + 1
+    answer, best = np.cumsum(strings) - strings, np.repeat(docs, strings)
     order = np.argsort(keys, kind="stable")
-    fresh, filled, at = _fresh(keys[order]), np.cumsum(sizes[order]), 0
+    fresh = _fresh(keys[order])
+    order = order[~(fresh & np.append(fresh[1:], True))]
+    fresh, filled, at = _fresh(keys[order]), np.cumsum(lengths[order]), 0
     cuts = np.append(np.flatnonzero(fresh), len(order))
     while at < len(order):  # whole anchors, of about SLAB bytes
         reach = np.searchsorted(filled, filled[at] + SLAB, "right")
         end = int(max(cuts[np.searchsorted(cuts, reach, "right") - 1], cuts[np.searchsorted(cuts, at, "right")]))
         some = order[at:end]
-        best[_runs(answer[some], strings[some])] = least_docs(text[_runs(starts[some], sizes[some])], sizes[some], docs[some])
+        best[_runs(answer[some], strings[some])] = least_docs(text[_runs(starts[some], lengths[some])], lengths[some], docs[some])
         at = end
-    out, k = [], 0
-    for r in rows:
-        n = int(strings[k : k + r["n"]].sum())
-        at = int(answer[k]) if r["n"] else 0
-        out.append((r["chunk"], r["r"], n, _packed(best[at : at + n])))
-        k += r["n"]
+    out = []
+    for r, w in zip(rows, which, strict=True):
+        found = best[_runs(answer[w], strings[w])]
+        out.append((r["chunk"], r["r"], len(found), _packed(found)))
     return _table(out, FOUND)
 
 

@@ -4,6 +4,8 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -98,3 +100,31 @@ def test_names_of_many_bits():
     order, fresh = suffix_dedup._named(*keys)
     rows = list(zip(*[k[order].tolist() for k in keys], strict=True))
     assert rows == sorted(rows) and fresh.tolist() == [k == 0 or rows[k] != rows[k - 1] for k in range(500)]
+
+
+def test_equal_segments_are_sorted_once(monkeypatch):
+    """Equal segments of several chunks are sorted as one, and not at all if no other segment has their anchor."""
+    copies, passage = [words(60) for _ in range(20)], words(30)
+    rows = [(3 * i + k, t) for k in range(3) for i, t in enumerate(copies)]
+    rows += [(100 + i, words(20) + " " + passage + " " + words(20)) for i in range(9)]
+    chunks = [pa.table({"doc_id": pa.array([i for i, _ in part], pa.int64()), "t": pa.array([t.encode() for _, t in part], pa.binary())}) for part in (rows[k::3] for k in range(3))]
+    calls, least_docs = [], suffix_dedup.least_docs
+
+    def counted(text, sizes, docs):
+        ends = np.cumsum(sizes)
+        calls.extend(text[e - s : e].tobytes() for s, e in zip(sizes, ends, strict=True))
+        return least_docs(text, sizes, docs)
+
+    monkeypatch.setattr(suffix_dedup, "least_docs", counted)
+    ids = [(pa.scalar(k),) for k in range(3)]
+    told = suffix_dedup._tell(pa.concat_tables([suffix_dedup._ask(1)(i, c) for i, c in zip(ids, chunks, strict=True)]))
+    own = [told.filter(pc.equal(told["chunk"], k)) for k in range(3)]
+    dealt = pa.concat_tables([suffix_dedup._deal(1, 20_000)(i, c, t) for i, c, t in zip(ids, chunks, own, strict=True)])
+    found = suffix_dedup._find(dealt)
+    out = []
+    for k, (i, c, t) in enumerate(zip(ids, chunks, own, strict=True)):
+        answers = pa.concat_tables([t, found.filter(pc.equal(found["chunk"], k))], promote_options="default")
+        out += [(str(r["doc_id"]), *list(r.values())[1:]) for r in suffix_dedup._remove(1, 20_000)(i, c, answers).to_pylist()]
+    assert sorted(out) == brute(rows)
+    assert len(calls) == len(set(calls))
+    assert 0 < sum(map(len, calls)) < pc.sum(dealt["n_bytes"]).as_py() / 4
